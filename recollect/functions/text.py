@@ -48,3 +48,58 @@ def _compose(s: pd.Series) -> pd.Series:
 def composed(c: Column) -> Column:
     """NFC of ``c``."""
     return _compose(c)
+
+
+# Fixed value: a token is a run of letters and digits with inner apostrophes.
+TOKEN = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)*"
+# Characters that composition (NFC) may change, as a superset; only texts holding one leave the JVM.
+_COMPOSABLE = (
+    r"[\p{M}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{1100}-\x{11ff}\x{1f71}-\x{1ffd}"
+    r"\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
+)
+
+
+def nfc(c: Column) -> Column:
+    """NFC of ``c``; null stays null."""
+    return F.coalesce(composed(F.when(c.rlike(_COMPOSABLE), c)), c)
+
+
+def tokens(c: Column, compose: bool = True) -> Column:
+    """Tokens of ``c`` in order, with repeats; null has none."""
+    text = F.lower(nfc(c) if compose else c)
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def query_tokens(text: str) -> list[str]:
+    """Tokens of a query text, on the driver."""
+    import regex
+
+    return regex.findall(TOKEN, unicodedata.normalize("NFC", text).lower())
+
+
+def phrase(toks: Column) -> Column:
+    """Tokens joined by single spaces."""
+    return F.array_join(toks, " ")
+
+
+def contains_phrase(toks: Column, wanted: list[str]) -> Column:
+    """Whether the tokens hold ``wanted`` in a row."""
+    if not wanted:
+        return F.lit(False)
+    return F.instr(F.concat(F.lit(" "), phrase(toks), F.lit(" ")), " " + " ".join(wanted) + " ") > 0
+
+
+def hits(wanted: list[str], have: Column) -> Column:
+    """The wanted tokens, repeats kept, that ``have`` holds."""
+    return F.filter(F.array(*map(F.lit, wanted)), lambda t: F.array_contains(have, t))
+
+
+def clamp01(c: Column) -> Column:
+    """``c`` limited to 0..1; NaN stays NaN."""
+    return F.when(F.isnan(c), c).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+
+
+def excerpt(c: Column, room: Column) -> Column:
+    """``c`` cut to ``room`` characters, ending in dots where three fit."""
+    cut = F.when(room >= 3, F.concat(F.substring(c, F.lit(1), room - 3), F.lit("..."))).otherwise(F.substring(c, F.lit(1), room))
+    return F.when(F.length(c) > room, cut).otherwise(c)

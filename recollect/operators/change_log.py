@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.session import delete_path, scratch_path
+from recollect.session import delete_path, freeing_shuffles, scratch_path
 
 # Operation types of the log.
 OP_TYPE = r"^ether\.(note|diary|graph-node|graph-edge)\.(put|remove)$"
@@ -137,8 +137,9 @@ class ChangeLog:
     def _write(self, level: int, ops: DataFrame, commits: DataFrame) -> None:
         self._serial += 1
         run = f"{self.root}/run-{self._serial:05d}"
-        ops.repartition(*[F.col(k) for k in KEY]).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
-        commits.write.parquet(f"{run}/commits")
+        with freeing_shuffles(self.spark):
+            ops.repartition(*[F.col(k) for k in KEY]).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
+            commits.write.parquet(f"{run}/commits")
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
