@@ -10,9 +10,9 @@ with its fingerprint to every anchor within that reach (covering radius plus thr
 the replicas cover all ways to miss ``m`` words. Words found in one record only are misses for certain and lessen ``m``.
 
 The smaller record of a pair needs the lesser reach (it misses at most ``n - 14 n / 17`` words at 0.7), so each replica says whether its
-record may also play the smaller one; only such replicas meet the others. Fingerprints fold the words into 47 parity bits: each
-word in one record only flips one bit, so records whose fingerprints differ in more bits than the threshold allows are
-dropped unseen, without loss. What remains is decided exactly on the word sets.
+record may also play the smaller one; only such replicas meet the others. Fingerprints fold the words into 118 parity bits: a word in
+one record only changes one bit, hence records whose fingerprints differ in more bits than the threshold allows are dropped unseen,
+without loss. A second fingerprint of 256 parity bits thins what remains, and the word sets decide exactly.
 
 Equal word sets form one class first; links are found between classes and members expanded only where the result is pairs of
 records. The order of words uses a sketch of word frequencies over all records, of bounded size; a wrong estimate costs time, never
@@ -29,43 +29,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.text import WORD
 from recollect.operators.skew import pairs_in_groups
-from recollect.session import scratch_path
+from recollect.session import freeing_shuffles, scratch_path
 
 MIN_WORDS = 20
 SHARE = (7, 10)
-RARE_ROWS = 48
-PAIR_ROWS = 256
-CLASSES = 3
+RARE_ROWS = 500
+PAIR_ROWS = 2000
+CLASSES = 4
 SKETCH_BITS = (18, 24)
 WIDE = 48
-PRINT_BITS = 47
-SIZE_LIMIT = (1 << 16) - 1
+PRINT_BITS = (54, 64)
+SIZE_LIMIT = (1 << 9) - 1
+HASH_CACHE = 1 << 20
+DICTIONARY_BYTES = 16 << 20
+PARITY = [f"parity{i}" for i in range(4)]
 
 
-def word_sets(df: DataFrame, kind: str) -> DataFrame:
-    """``ref, words``: the sorted distinct word hashes of each record."""
-    found = F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1))
-    return df.where("id is not null and content is not null").select(F.concat(F.lit(f"{kind}:"), F.col("id")).alias("ref"), F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))).alias("words"))
+def contents(df: DataFrame, kind: str) -> DataFrame:
+    """``ref, content`` of the records of one table."""
+    return df.where("id is not null and content is not null").select(F.concat(F.lit(f"{kind}:"), F.col("id")).alias("ref"), "content")
+
+
+def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``ref, k1, k2, words``: the sorted distinct word hashes of each record with enough of them, and two hashes of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        import xxhash
+
+        find, cache = regex.compile(WORD).findall, {}
+        for batch in batches:
+            keep, flat, sizes, keys = [], [], [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                words = set(find(text.lower()))
+                if len(words) < min_words:
+                    continue
+                if len(cache) > HASH_CACHE:
+                    cache.clear()
+                hashes = []
+                for w in words:
+                    h = cache.get(w)
+                    if h is None:
+                        h = cache[w] = xxhash.xxh3_64_intdigest(w.encode())
+                    hashes.append(h)
+                hashes = np.unique(np.array(hashes, np.uint64).view(np.int64))
+                keep.append(at)
+                flat.append(hashes)
+                sizes.append(len(hashes))
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            if keep:
+                both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), words], names=["ref", "k1", "k2", "words"])
+
+    return records.select("ref", "content").mapInArrow(run, "ref string, k1 bigint, k2 bigint, words array<bigint>")
 
 
 def word_classes(records: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal word sets ``k1, k2, n, words`` and their members ``k1, k2, ref``; a class is named by two hashes of its words.
+    """Classes of equal word sets ``k1, k2, n, words, parity*`` and their members ``k1, k2, ref``; a class is named by ``k1, k2``.
 
-    Classes are written bucketed by ``k1``: they meet the candidate pairs twice without being shuffled again.
+    Both are one table, written bucketed by ``k1``: it meets candidate pairs and links without being shuffled again. The first member of
+    a class holds its words.
     """
     spark = records.sparkSession
-    big = records.where(F.size("words") >= min_words).withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "word-classes")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    once = big.select("k1", "k2", "words").repartition(parts, "k1").dropDuplicates(["k1", "k2"])
-    once.select("k1", "k2", F.size("words").alias("n"), "words").write.bucketBy(parts, "k1").option("path", path).saveAsTable(name)
-    return spark.table(name), big.select("k1", "k2", "ref").distinct()
+    names = ["k1", "k2", "ref", "n", "words", *PARITY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_ref = None, None
+        for batch in batches:
+            k1, k2, refs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            keep, first = [], []
+            for at, key in enumerate(zip(k1, k2)):
+                if key == last_key and refs[at] == last_ref:
+                    continue
+                keep.append(at)
+                first.append(key != last_key)
+                last_key, last_ref = key, refs[at]
+            if not keep:
+                continue
+            rows = batch.take(pa.array(keep))
+            own = pa.array(first)
+            words = pa.compute.if_else(own, rows.column(3), pa.scalar(None, rows.column(3).type))
+            sizes = pa.compute.list_value_length(rows.column(3))
+            lists = rows.column(3)
+            parity = parities(lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), sizes, words, *[pa.array(parity[:, i], mask=~np.array(first)) for i in range(4)]], names=names)
+
+    once = word_sets(records, min_words).select("k1", "k2", "ref", "words").repartition(parts, "k1").sortWithinPartitions("k1", "k2", "ref")
+    columns = "k1 bigint, k2 bigint, ref string, n int, words array<bigint>, " + ", ".join(f"{c} bigint" for c in PARITY)
+    spark.sql(f"create table {name} ({columns}) using parquet options (`parquet.dictionary.page.size` '{DICTIONARY_BYTES}', compression 'zstd') clustered by (k1) into {parts} buckets location '{path}'")
+    with freeing_shuffles(spark):
+        once.mapInArrow(run, columns).write.insertInto(name)
+    table = spark.table(name)
+    return table.where("words is not null").drop("ref"), table.select("k1", "k2", "ref")
+
+
+def parities(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """256 parity bits of each word set, as four whole numbers."""
+    w = words.view(np.uint64)
+    out = np.zeros((len(offsets) - 1, 4), np.uint64)
+    rec = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    np.bitwise_xor.at(out, (rec, ((w >> np.uint64(8)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << ((w >> np.uint64(10)) & np.uint64(63)))
+    return out.view(np.int64)
 
 
 def frequency_sketch(classes: DataFrame, bits: int) -> np.ndarray:
@@ -73,7 +149,8 @@ def frequency_sketch(classes: DataFrame, bits: int) -> np.ndarray:
     cells = classes.select(F.explode("words").alias("w")).groupBy(F.shiftrightunsigned("w", 64 - bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     sketch = np.zeros(1 << bits, np.int32)
     packed = cells.select(F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), F.col("cell").cast("int").alias("cell"))
-    got = packed.toArrow()
+    with freeing_shuffles(classes.sparkSession):
+        got = packed.toArrow()
     sketch[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return sketch
 
@@ -150,14 +227,21 @@ class AnchorCover:
             k = k + 1
 
 
-def fingerprints(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """``PRINT_BITS`` parity bits of each word set."""
-    bits = np.left_shift(np.uint64(1), words.view(np.uint64) % np.uint64(PRINT_BITS))
-    return np.bitwise_xor.reduceat(bits, (offsets[:-1] - offsets[0]).astype(np.int64)) if len(offsets) > 1 else np.empty(0, np.uint64)
+def fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word set 118 parity bits in two numbers, of 54 and 64 bits."""
+    low = PRINT_BITS[0]
+    bit = words.view(np.uint64) % np.uint64(sum(PRINT_BITS))
+    rec = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.zeros((2, len(offsets) - 1), np.uint64)
+    np.bitwise_xor.at(out, ((bit >= low).astype(np.int64), rec), np.uint64(1) << np.where(bit >= low, bit - np.uint64(low), bit))
+    return out[0], out[1]
 
 
 def anchor_rows(classes: DataFrame, cover: AnchorCover) -> DataFrame:
-    """``anchor, k1, info``: every class at every anchor within reach. ``info`` packs fingerprint, size (16 bits) and role (1 bit)."""
+    """``anchor, k1, info, more``: every class at every anchor within reach.
+
+    ``info`` packs the first part of the fingerprint, size (9 bits) and role (1 bit), ``more`` is its second part.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(cover)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +252,12 @@ def anchor_rows(classes: DataFrame, cover: AnchorCover) -> DataFrame:
                 offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
                 r, anchor, smaller = shared.value.anchors(words, offsets)
                 k1, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), SIZE_LIMIT).astype(np.uint64)
-                info = (fingerprints(words, offsets) << np.uint64(17) | n << np.uint64(1))[r] | smaller.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(k1[r]), pa.array(info.view(np.int64))], names=["anchor", "k1", "info"])
+                first, second = fingerprints(words, offsets)
+                info = (first << np.uint64(10) | n << np.uint64(1))[r] | smaller.astype(np.uint64)
+                columns = [anchor.view(np.int64), k1[r], info.view(np.int64), second.view(np.int64)[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "k1", "info", "more"])
 
-    return classes.select("k1", "n", "words").mapInArrow(run, "anchor bigint, k1 bigint, info bigint")
+    return classes.select("k1", "n", "words").mapInArrow(run, "anchor bigint, k1 bigint, info bigint, more bigint")
 
 
 def class_links(classes: DataFrame, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, bits: int | None = None, pair: int = PAIR_ROWS) -> DataFrame:
@@ -181,6 +267,9 @@ def class_links(classes: DataFrame, rare: int = RARE_ROWS, share: tuple[int, int
     bits = bits if bits is not None else min(max((8 * rows).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     at = anchor_rows(classes, AnchorCover(frequency_sketch(classes, bits), rows, rare, share, pair))
     near = meetings(at, p, q)
+    ends = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in PARITY]) for s in "ab"}
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PARITY), F.lit(0))
+    near = near.join(ends["a"], "ka").join(ends["b"], "kb").where(apart * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("ka", "kb").distinct()
     side = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("k2").alias(f"k2{s}"), F.col("n").alias(f"n{s}"), F.col("words").alias(f"words{s}")) for s in "ab"}
     both = F.size(F.array_intersect("wordsa", "wordsb"))
     linked = near.join(side["a"], "ka").join(side["b"], "kb").where(both * q >= (F.col("na") + F.col("nb") - both) * p)
@@ -195,7 +284,7 @@ def meetings(at: DataFrame, p: int, q: int) -> DataFrame:
     x, y = at.alias("x"), at.alias("y")
     size = {s: F.shiftrightunsigned(f"{s}.info", 1).bitwiseAND(F.lit(SIZE_LIMIT)) for s in "xy"}
     as_smaller = F.when(F.col("x.info").bitwiseAND(F.lit(1)) == 1, size["x"]).otherwise(F.lit(SIZE_LIMIT + 1))
-    apart = F.bit_count(F.shiftrightunsigned(F.col("x.info").bitwiseXOR(F.col("y.info")), 17))
+    apart = F.bit_count(F.shiftrightunsigned(F.col("x.info").bitwiseXOR(F.col("y.info")), 10)) + F.bit_count(F.col("x.more").bitwiseXOR(F.col("y.more")))
     meet = (
         (F.col("x.anchor") == F.col("y.anchor"))
         & ((as_smaller < size["y"]) | ((as_smaller == size["y"]) & (F.col("x.k1") != F.col("y.k1"))))
@@ -210,12 +299,20 @@ def near_duplicate_pairs(records: DataFrame, min_words: int = MIN_WORDS, share:
     """``ref_a, ref_b`` of every two records that share at least ``share`` of all their words, equal ones included."""
     classes, members = word_classes(records, min_words)
     links = class_links(classes, rare, share)
-    a, b = (members.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("ref").alias(f"r{s}")) for s in "ab")
-    across = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(F.least("ra", "rb").alias("ref_a"), F.greatest("ra", "rb").alias("ref_b"))
-    within = pairs_in_groups(members, ["k1", "k2"], "ref").select(F.col("id_a").alias("ref_a"), F.col("id_b").alias("ref_b"))
+    for end in ("a", "b"):
+        links = of_class(links, members.withColumnRenamed("ref", f"r{end}"), end)
+    across = links.select(F.least("ra", "rb").alias("ref_a"), F.greatest("ra", "rb").alias("ref_b"))
+    several = members.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("k1", "k2"))).where("n > 1")
+    within = pairs_in_groups(several, ["k1", "k2"], "ref").select(F.col("id_a").alias("ref_a"), F.col("id_b").alias("ref_b"))
     return across.unionByName(within)
 
 
+def of_class(links: DataFrame, members: DataFrame, end: str) -> DataFrame:
+    """Links with the members of the class at ``end``. The key of the join is ``k1`` alone, so the bucketed members stay in place."""
+    m, at = members.alias("m"), F.col(f"{end}2")
+    return links.join(m, (F.col(f"{end}1") == F.col("m.k1")) & (at <= F.col("m.k2")) & (at >= F.col("m.k2"))).drop("k1", "k2")
+
+
 def near_duplicate_degrees(records: DataFrame, min_words: int = MIN_WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per record in scope: ``ref, class_id`` (smallest ref with equal words), ``n_equal`` and ``n_near`` classes linked to it."""
     classes, members = word_classes(records, min_words)

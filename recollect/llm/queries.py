@@ -62,7 +62,7 @@ def p5_consistent(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, root: str) -> DataFrame:
-    return near_duplicates.word_sets(_notes(spark, root), "memory").unionByName(near_duplicates.word_sets(_diary(spark, root), "diary"))
+    return near_duplicates.contents(_notes(spark, root), "memory").unionByName(near_duplicates.contents(_diary(spark, root), "diary"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

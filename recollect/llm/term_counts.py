@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import term_of
-from recollect.session import materialize, scratch_path
+from recollect.session import freeing_shuffles, materialize, scratch_path
 
 RARE_RECORDS = 3
 COMMON_SHARE = (1, 10)
@@ -83,7 +83,8 @@ class TermCounts:
         old = self.read(touched).withColumn("bucket", bucket)
         new = deltas.select("field", "term", F.col("d_occurrences").alias("n_occurrences"), F.col("d_records").alias("n_records"), "bucket")
         merged = old.unionByName(new).groupBy("bucket", "field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-        merged.where("n_records > 0").write.partitionBy("bucket").parquet(path)
+        with freeing_shuffles(self.spark):
+            merged.where("n_records > 0").write.partitionBy("bucket").parquet(path)
         have = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if self._any(path) else set()
         for b in touched:
             self.current.pop(b, None)
