@@ -90,7 +90,7 @@ def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), words], names=["ref", "k1", "k2", "words"])
 
-    return records.select("ref", "content").mapInArrow(run, "ref string, k1 bigint, k2 bigint, words array<bigint>")
+    return records.where("ref is not null and content is not null").select("ref", "content").mapInArrow(run, "ref string, k1 bigint, k2 bigint, words array<bigint>")
 
 
 def word_classes(records: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
