@@ -1,10 +1,9 @@
 """Change feeds applied as a log-structured merge (problem 4).
 
-Transactions are appended as runs. A run is two Parquet tables: ``ops``, one slim row per operation, sorted by object key
-and sequence (``tx_id``, position in the transaction), and ``commits``, which transactions carry which mutation id.
-Runs are merged on read: a shuffle by object key, a sort that meets already sorted stretches, and one streaming window
-that keeps the last operation of each key; a last operation that removes is a tombstone. ``fan_in`` runs of one level are
-compacted into one run of the next level, in which repeated frames are gone. Superseded operations stay: a late
+Transactions are appended as runs. A run is two Parquet tables: ``ops``, one slim row per operation, range-partitioned and sorted
+by object key and sequence (``tx_id``, position in the transaction), and ``commits``, which transactions carry which mutation id.
+Runs are merged on read by key: the greatest sequence of each key wins, combined within the sorted files before rows move;
+a last operation that removes is a tombstone. ``fan_in`` runs of one level are compacted into one run of the next level, in which repeated frames are gone. Superseded operations stay: a late
 transaction with a lower ``tx_id`` can still take a mutation id away from the transaction that seems to own it, and the
 operations under that one would then show again.
 
@@ -27,6 +26,7 @@ from recollect.session import delete_path, freeing_shuffles, scratch_path
 OP_TYPE = r"^ether\.(note|diary|graph-node|graph-edge)\.(put|remove)$"
 KEY = ["store_id", "obj_kind", "obj_id"]
 SEQ = ["tx_id", "op_ord"]
+BLOCK = 1 << 16
 
 
 def explode_ops(transactions: DataFrame) -> DataFrame:
@@ -78,19 +78,13 @@ def without_replays(ops: DataFrame, commits: DataFrame) -> DataFrame:
 def merge_runs(ops: DataFrame) -> DataFrame:
     """The state after all operations: one row per object that exists, with the transaction of its last put.
 
-    One window over the key, in sequence: the last operation decides, and a node's remove counts only where the node was
-    there. An edge lives if no such remove of either end comes after its last put.
+    The last operation of a key is its greatest sequence, an algebraic aggregate that combines before the shuffle, so a key with a third
+    of all operations is no burden. An edge lives if no effective remove of either end comes after its last put.
     """
-    by_key = W.partitionBy(*KEY).orderBy(*SEQ)
-    seq = F.struct(*SEQ)
-    marked = ops.select(*KEY, *SEQ, "is_put", "source", "target", F.lead("tx_id").over(by_key).isNull().alias("is_last"), F.lag("is_put").over(by_key).alias("was_put"))
-    objects = marked.where("is_last and is_put")
-    gone = (
-        marked.where("obj_kind = 'graph-node' and not is_put and was_put")
-        .groupBy("store_id", F.col("obj_id").alias("node_id"))
-        .agg(F.max(seq).alias("removed_seq"))
-    )
-    edges = objects.where("obj_kind = 'graph-edge'").withColumn("put_seq", seq).alias("e")
+    last = ops.groupBy(*KEY).agg(F.max(F.struct(*SEQ, "is_put", "source", "target")).alias("last"))
+    objects = last.where("last.is_put").select(*KEY, "last.*").drop("is_put")
+    gone = effective_removes(ops)
+    edges = objects.where("obj_kind = 'graph-edge'").withColumn("put_seq", F.struct(*SEQ)).alias("e")
     for end in ("source", "target"):
         g = gone.alias("g")
         hit = (F.col("e.store_id") == F.col("g.store_id")) & (F.col(f"e.{end}") == F.col("g.node_id")) & (F.col("g.removed_seq") > F.col("e.put_seq"))
@@ -98,6 +92,21 @@ def merge_runs(ops: DataFrame) -> DataFrame:
     return objects.where("obj_kind != 'graph-edge'").select(*KEY, "tx_id").unionByName(edges.select(*KEY, "tx_id"))
 
 
+def effective_removes(ops: DataFrame) -> DataFrame:
+    """``store_id, node_id, removed_seq``: the last remove of each node that found the node there.
+
+    A node's history is cut into blocks of transaction numbers; the first operation of a block looks back to the last one
+    of the block before.
+    """
+    nodes = ops.where("obj_kind = 'graph-node'").select("store_id", F.col("obj_id").alias("node_id"), *SEQ, "is_put", F.floor(F.col("tx_id") / BLOCK).alias("block"))
+    block = ["store_id", "node_id", "block"]
+    inside = F.lag("is_put").over(W.partitionBy(*block).orderBy(*SEQ))
+    ends = nodes.groupBy(*block).agg(F.max(F.struct(*SEQ, "is_put")).alias("end"))
+    carry = ends.select(*block, F.lag("end.is_put").over(W.partitionBy("store_id", "node_id").orderBy("block")).alias("carry"))
+    seen = nodes.withColumn("inside", inside).join(carry, block).where(~F.col("is_put") & F.coalesce("inside", "carry", F.lit(False)))
+    return seen.groupBy("store_id", "node_id").agg(F.max(F.struct(*SEQ)).alias("removed_seq"))
+
+
 @dataclass
 class ChangeLog:
     """Runs in a shared folder. ``levels[n]`` lists the runs of level n; ``fan_in`` of them become one of level n + 1."""
@@ -138,7 +147,7 @@ class ChangeLog:
         self._serial += 1
         run = f"{self.root}/run-{self._serial:05d}"
         with freeing_shuffles(self.spark):
-            ops.repartition(*[F.col(k) for k in KEY]).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
+            ops.repartitionByRange(*KEY, *SEQ).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
             commits.write.parquet(f"{run}/commits")
         while len(self.levels) <= level:
             self.levels.append([])
@@ -154,11 +163,9 @@ class ChangeLog:
     def _merge(self, runs: list[str], level: int) -> None:
         """Write the merged run first, then forget and delete its parts: a failure between leaves the old runs valid.
 
-        Equal rows of one key and sequence are frames received again; they lie side by side after the sort.
+        Equal rows of one key and sequence are frames received again; one of each stays.
         """
-        same = W.partitionBy(*KEY).orderBy(*SEQ)
-        here = F.struct("tx_id", "op_ord", "mutation_id", "is_put", "source", "target")
-        ops = self._load("ops", runs).withColumn("again", F.lag(here).over(same).eqNullSafe(here)).where("not again").drop("again")
+        ops = self._load("ops", runs).dropDuplicates([*KEY, *SEQ, "mutation_id", "is_put"])
         self._write(level, ops, self._load("commits", runs).distinct())
         for i, have in enumerate(self.levels):
             keep = [r for r in have if r not in runs]

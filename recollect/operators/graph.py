@@ -59,26 +59,23 @@ def recall_nodes(edges: DataFrame, seeds: DataFrame, recall: Recall) -> DataFram
     among the steps walked before the cap was hit. Self-loops are no steps.
     """
     adj = adjacency(edges, recall.direction, recall.relations, loops=False)
-    own = W.partitionBy("seed")
+    own, cap = W.partitionBy("seed"), F.lit(recall.max_results)
     key = code_unit_key(F.col("edge_id"))
     first = seeds.select("seed", F.col("seed").alias("node")).join(adj, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.struct(key.alias("k"), "edge_id")).alias("e"))
-    one = (
-        first.withColumns({"found": F.row_number().over(own.orderBy("e.k", code_unit_key(F.col("node")))), "n_one": F.count(F.lit(1)).over(own)})
-        .where(F.col("found") <= recall.max_results)
-        .select("seed", "node", F.col("e.edge_id").alias("e1"), "found", "n_one")
-    )
+    # Rank and limit stand alone, so only the first rows of a seed are shuffled to its task, however many edges it has.
+    one = first.withColumn("found", F.row_number().over(own.orderBy("e.k", code_unit_key(F.col("node"))))).where(F.col("found") <= cap)
+    one = one.select("seed", "node", F.col("e.edge_id").alias("e1"), "found", F.count(F.lit(1)).over(own).alias("n_one"))
     level1 = one.select("seed", "node", F.array("e1").alias("path"), "found")
     if min(recall.depth, 2) < 2:
         return level1
-    steps = one.where(F.col("n_one") < recall.max_results).join(adj, "node").where(F.col("other") != F.col("seed"))
+    steps = one.where(F.col("n_one") < cap).join(adj, "node").where(F.col("other") != F.col("seed"))
     steps = steps.join(one.select("seed", F.col("node").alias("other")), ["seed", "other"], "left_anti")
-    walked = steps.withColumn("seq", F.row_number().over(own.orderBy(code_unit_key(F.col("node")), key)))
-    order = walked.groupBy("seed", "other").agg(F.min("seq").alias("at"), F.max("n_one").alias("n_one"))
-    kept = order.withColumn("place", F.row_number().over(own.orderBy("at"))).where(F.col("place") <= F.lit(recall.max_results) - F.col("n_one"))
-    full = F.count(F.lit(1)).over(own) == F.lit(recall.max_results) - F.col("n_one")
-    kept = kept.withColumns({"cut": F.when(full, F.max("at").over(own))}).select("seed", "other", "place", "n_one", "cut")
+    walked = steps.withColumn("step", F.struct(code_unit_key(F.col("node")).alias("p"), key.alias("k")))
+    order = walked.groupBy("seed", "other").agg(F.min("step").alias("first_step"), F.max("n_one").alias("n_one"))
+    kept = order.withColumn("place", F.row_number().over(own.orderBy("first_step"))).where(F.col("place") <= cap).where(F.col("place") <= cap - F.col("n_one"))
+    kept = kept.withColumn("cut", F.when(F.count(F.lit(1)).over(own) == cap - F.col("n_one"), F.max("first_step").over(own))).select("seed", "other", "place", "n_one", "cut")
     least = F.min(F.struct(code_unit_key(F.col("e1")).alias("k1"), key.alias("k2"), "e1", "edge_id")).alias("p")
-    paths = walked.drop("n_one").join(kept, ["seed", "other"]).where("cut is null or seq <= cut").groupBy("seed", "other").agg(least, F.max(F.col("n_one") + F.col("place")).alias("found"))
+    paths = walked.drop("n_one").join(kept, ["seed", "other"]).where("cut is null or step <= cut").groupBy("seed", "other").agg(least, F.max(F.col("n_one") + F.col("place")).alias("found"))
     return level1.unionByName(paths.select("seed", F.col("other").alias("node"), F.array("p.e1", "p.edge_id").alias("path"), "found"))
 
 
