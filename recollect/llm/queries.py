@@ -156,7 +156,47 @@ s as (select claim_key, min(id) as lo, max(id) as hi,
     from c group by claim_key)
 """
 
+
+
+def _near_sql(tenths: int) -> str:
+    """Pairs ``ra, rb`` of records that share at least ``tenths`` tenths of all their words, as ``hit``; by an inverted index."""
+    return rf"""
+with recs as (select distinct 'memory:' || id as ref, content from memory_notes union all select distinct 'diary:' || id, content from diary_entries),
+r as (select ref, ws, len(ws) as n from (select ref, list_sort(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'))) as ws from recs where content is not null) where len(ws) >= 20),
+t as (select ref, n, unnest(ws) as word from r), df as (select word, count(*) as d from t group by 1),
+p as (select ref, n, word, row_number() over (partition by ref order by d, word) as pos from t join df using (word)),
+f as (select * from p where pos <= n - (({tenths} * n + 9) // 10) + 1),
+c as (select distinct a.ref as ra, b.ref as rb from f a join f b on a.word = b.word and a.ref < b.ref),
+hit as (select ra, rb, x.ws as wa, y.ws as wb from c join r x on x.ref = ra join r y on y.ref = rb
+    where len(list_intersect(x.ws, y.ws)) * 10 >= {tenths} * (x.n + y.n - len(list_intersect(x.ws, y.ws))))
+"""
+
+
+# Look-alike letters that the corpus holds, and the letters they are drawn like.
+_ALIKE = (
+    "АВЕКМНОРСТУХЬЅІЈ" + "агеорсухѕіјһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹνο" + "ɑɡօ" + "ЁёӦӧӒӓӰӱЀѐЇї",
+    "ABEKMHOPCTYXbSIJ" + "areopcyxsijhdqw" + "ABEZHIKMNOPTYXCvo" + "ago" + "ËëÖöÄäŸÿÈèÏï",
+)
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_SPACES = "".join(map(chr, (0x3000, 0xA0, 0x2007, 0x202F)))
+_FORMS = (
+    r"with f as (select doc_id, text, regexp_replace(text, '[\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g') as t from documents),"
+    + f" n as (select doc_id, text, nfc_normalize(translate(nfc_normalize(t), '{_ALIKE[0]}{_WIDE}{_SPACES}', '{_ALIKE[1]}{_PLAIN}    ')) as form from f) "
+)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE_SQL: dict[str, str] = {
+    "p6_found": _near_sql(7) + "select ra as ref_a, rb as ref_b from hit",
+    "p6_degrees": _near_sql(8)
+    + """, k as (select ref, ws, min(ref) over (partition by ws) as class_id, count(*) over (partition by ws) as n_equal from r),
+l as (select wa as ws, wb as other from hit where wa <> wb union select wb, wa from hit where wa <> wb), d as (select ws, count(*) as n_near from l group by ws)
+select ref, class_id, n_equal, coalesce(n_near, 0) as n_near from k left join d using (ws)""",
+    "p10_forms": _FORMS + "select doc_id, form from n",
+    "p10_found": _FORMS + f"select a.doc_id as doc_a, b.doc_id as doc_b from n a join n b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text where trim(a.form, {_BLANKS}) <> ''",
+    "p10_classes": _FORMS
+    + f""", c as (select form, min(doc_id) as class_id, count(distinct text) as n_texts from n where trim(form, {_BLANKS}) <> '' group by form)
+select doc_id, class_id, n_texts from n join c using (form) where n_texts > 1""",
     "p1_found": _CANONICAL + "select first_id, id as note_id from g where id <> first_id",
     "p1_collapsed": _CANONICAL + "select id as note_id, n_copies from g where id = first_id",
     "p2_found": _COUNTS + f"select field, term, {_MARK} as mark from m where {_MARK} is not null",
