@@ -1,6 +1,8 @@
 """Bounded context assembly: notes, diary, graph slice, citations, trace and truncation report.
 
-Every list is cut by ``orderBy().limit()`` before its rows are numbered, so only a budget's worth of rows meets one task.
+Every list is cut by ``orderBy().limit()`` before its rows are numbered, so only a budget's worth of rows meets one task. Each stage,
+a budget's rows at most or the neighbourhood of these, is written once in the shared folder: the large tables are read once however
+many parts of the context are asked for.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from recollect.functions.text import code_unit_key, excerpt
 from recollect.operators.graph import Recall, neighbourhood, query_with_recall
 from recollect.operators.retrieval import Query, query_notes, search_diary
+from recollect.session import materialize
 
 
 @dataclass(frozen=True)
@@ -50,10 +53,10 @@ class Context:
         found = query_with_recall(self.index, self.edges, q, self.recall) if self.recall else query_notes(self.index, q)
         ranked = found.select("id", (F.col("rank") + len(asked)).alias("place"), "match_class", "score")
         if not asked:
-            return ranked
+            return materialize(ranked, "candidates")
         own = self.index.where(F.col("id").isin(*asked) & self.query.filters.passes(self.query.as_of))
         own = own.select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"), F.lit("explicit_id").alias("match_class"), F.lit(0.0).alias("score"))
-        return own.unionByName(ranked.join(own.select("id"), "id", "left_anti"))
+        return materialize(own.unionByName(ranked.join(own.select("id"), "id", "left_anti")), "candidates")
 
     @cached_property
     def diary_candidates(self) -> DataFrame:
@@ -61,9 +64,9 @@ class Context:
         asked = self.diary_ids
         found = search_diary(self.diary_index, self.query.text, max(self.budget.max_diary * 4, 20)).select("id", (F.col("rank") + len(asked)).alias("place"))
         if not asked:
-            return found
+            return materialize(found, "diary-candidates")
         own = self.diary_index.where(F.col("id").isin(*asked)).select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"))
-        return own.unionByName(found.join(own.select("id"), "id", "left_anti"))
+        return materialize(own.unionByName(found.join(own.select("id"), "id", "left_anti")), "diary-candidates")
 
     @cached_property
     def chosen(self) -> DataFrame:
@@ -80,7 +83,8 @@ class Context:
         else:
             before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
             room = F.greatest(F.lit(0), F.lit(self.budget.max_chars) - before).cast("int")
-        return both.withColumn("room", room).withColumn("shown", excerpt(F.col("content"), F.col("room"))).withColumn("ord", F.row_number().over(order))
+        shown = both.withColumn("room", room).withColumn("shown", excerpt(F.col("content"), F.col("room"))).withColumn("ord", F.row_number().over(order))
+        return materialize(shown, "chosen")
 
     @cached_property
     def reached(self) -> tuple[DataFrame, DataFrame]:
@@ -93,13 +97,14 @@ class Context:
         others = near.join(seeds, "seed").select(F.col("node").alias("id"), "seed_ord", F.lit(1).alias("part"))
         nodes = roots.unionByName(others).groupBy("id").agg(F.min(F.struct("seed_ord", "part")).alias("at"))
         edges = used.join(seeds, "seed").groupBy(F.col("edge_id").alias("id")).agg(F.min("seed_ord").alias("at"))
-        return nodes, edges
+        return materialize(nodes, "context-nodes"), materialize(edges, "context-edges")
 
     @cached_property
     def graph_nodes(self) -> DataFrame:
         """``id, ord`` of the nodes kept."""
         order = [F.col("at.seed_ord"), F.col("at.part"), code_unit_key(F.col("id"))]
-        return self.reached[0].orderBy(*order).limit(self.budget.max_nodes).select("id", F.row_number().over(W.orderBy(*order)).alias("ord"))
+        kept = self.reached[0].orderBy(*order).limit(self.budget.max_nodes).select("id", F.row_number().over(W.orderBy(*order)).alias("ord"))
+        return materialize(kept, "graph-nodes")
 
     @cached_property
     def graph_edges(self) -> DataFrame:
@@ -109,7 +114,8 @@ class Context:
         for end in ("source", "target"):
             full = full.join(kept.select(F.col("id").alias(end)), end, "left_semi")
         order = [F.col("at"), code_unit_key(F.col("id"))]
-        return full.orderBy(*order).limit(self.budget.max_edges).select("id", "source", "target", "relationship", F.row_number().over(W.orderBy(*order)).alias("ord"))
+        kept = full.orderBy(*order).limit(self.budget.max_edges).select("id", "source", "target", "relationship", F.row_number().over(W.orderBy(*order)).alias("ord"))
+        return materialize(kept, "graph-edges")
 
     def citations(self) -> DataFrame:
         """``ref, kind, id, ord``: notes, diary, nodes, edges."""

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.text import code_unit_key
-from recollect.operators.retrieval import Query, class_rank, direct_matches, final_score, top_matches
+from recollect.operators.retrieval import Query, class_rank, classified, direct_matches, final_score, note_index, top_matches
+from recollect.session import materialize
 
 DAMPING = (0.5, 0.25)
 
@@ -79,21 +80,30 @@ def recall_nodes(edges: DataFrame, seeds: DataFrame, recall: Recall) -> DataFram
     return level1.unionByName(paths.select("seed", F.col("other").alias("node"), F.array("p.e1", "p.edge_id").alias("path"), "found"))
 
 
-def query_with_recall(index: DataFrame, edges: DataFrame, query: Query, recall: Recall) -> DataFrame:
+def query_with_recall(index: DataFrame, edges: DataFrame, query: Query, recall: Recall, notes: DataFrame | None = None) -> DataFrame:
     """Direct matches and notes recalled through the graph from the best of them, ranked together.
 
-    A recalled note scores its seed's score, halved per hop; the best seed wins. Direct matches are never replaced.
+    A recalled note scores its seed's score, halved per hop; the best seed wins. Direct matches are never replaced: a recalled note that
+    matches by itself is none. The direct matches are ranked in one pass and kept, ``limit`` rows; only as many can be in the
+    result. With ``notes``, not indexed, only the few recalled ones are tokenized.
     """
-    direct = direct_matches(index, query)
-    best = top_matches(direct, query.limit).select(F.concat(F.lit("memory:"), "id").alias("seed"), F.col("score").alias("seed_score"), F.col("id").alias("seed_id"))
+    direct = materialize(top_matches(direct_matches(index, query), query.limit), "direct")
+    best = direct.select(F.concat(F.lit("memory:"), "id").alias("seed"), F.col("score").alias("seed_score"), F.col("id").alias("seed_id"))
     reached = recall_nodes(edges, best.select("seed"), recall).where(F.col("node").startswith("memory:")).select("seed", F.substring("node", 8, 2**31 - 1).alias("id"), "path")
-    notes = index.where(query.filters.passes(query.as_of)).join(reached, "id").join(direct.select("id"), "id", "left_anti").join(best, "seed")
+    reached = materialize(reached.join(best, "seed"), "reached")
+    few = reached.select("id").distinct()
+    found = note_index(notes.join(few, "id", "left_semi")) if notes is not None else index.join(few, "id", "left_semi")
+    found = found.where(query.filters.passes(query.as_of))
+    alone = classified(found, query.text).select("id")
+    if query.explicit_ids:
+        alone = alone.unionByName(found.where(F.col("id").isin(*query.explicit_ids)).select("id"))
     lexical = F.col("seed_score") * F.when(F.size("path") == 1, DAMPING[0]).otherwise(DAMPING[1])
     none = F.array().cast("array<string>")
-    scored = notes.withColumns({"match_class": F.lit("graph_only"), "lexical": lexical, "matched_by": F.array(F.lit("graph")), "matched_tokens": none, "tag_hits": none, "metadata_hits": none}).withColumn("score", final_score(F.col("lexical")))
+    extra = {"match_class": F.lit("graph_only"), "lexical": lexical, "matched_by": F.array(F.lit("graph")), "matched_tokens": none, "tag_hits": none, "metadata_hits": none}
+    scored = found.join(alone, "id", "left_anti").join(reached, "id").withColumns(extra).withColumn("score", final_score(F.col("lexical")))
     order = W.partitionBy("id").orderBy(F.col("score").desc(), code_unit_key(F.col("seed_id")))
     once = scored.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "seed", "seed_score")
-    both = direct.withColumns({"path": F.lit(None).cast("array<string>"), "seed_id": F.lit(None).cast("string")}).unionByName(once.drop("seed"), allowMissingColumns=True)
+    both = direct.drop("rank").withColumns({"path": F.lit(None).cast("array<string>"), "seed_id": F.lit(None).cast("string")}).unionByName(once, allowMissingColumns=True)
     return top_matches(both, query.limit)
 
 

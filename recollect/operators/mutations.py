@@ -107,3 +107,8 @@ def foundation_links(notes: DataFrame, diary: DataFrame, edges: DataFrame) -> Da
     wanted = wanted.join(diary.select(F.col("id").alias("parent")), "parent", "left_semi")
     new = wanted.select("source", F.concat(F.lit("diary:"), "parent").alias("target")).distinct()
     return new.join(edges.select("source", "target"), ["source", "target"], "left_anti").withColumn("relationship", F.lit("derived_from"))
+
+
+def touched(identity: DataFrame, at: Column) -> DataFrame:
+    """The identity row with its last activity moved to ``at``."""
+    return identity.withColumn("last_active", at)

@@ -212,7 +212,8 @@ r as (select *, {_RANK} as rk from u) select rk as rank, id, match_class, score
 )
 def query_with_recall(spark: SparkSession, root: str) -> DataFrame:
     q = retrieval.Query("archive choir", AS_OF, limit=20)
-    return graph.query_with_recall(_index(spark, root), views.edges(spark, root), q, graph.Recall()).select(*MATCH)
+    notes = views.notes(spark, root)
+    return graph.query_with_recall(retrieval.note_index(notes), views.edges(spark, root), q, graph.Recall(), notes).select(*MATCH)
 
 
 def _context(spark: SparkSession, root: str) -> Context:
