@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators.skew import pairs_in_groups
+from recollect.session import materialize
 
 # Characters without width, spaces at which no line breaks, and kinds of compatibility mapping that stay apart.
 ZERO_WIDTH = (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
@@ -105,7 +106,7 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 def lookalike_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_texts`` of documents whose class holds texts stored differently; the class is its smallest id."""
-    keyed = _digests(docs)
+    keyed = materialize(_digests(docs), "skeletons")
     classes = keyed.groupBy("skeleton_key", "text_key").agg(F.min("doc_id").alias("first"))
     classes = classes.groupBy("skeleton_key").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
     return keyed.join(classes, "skeleton_key").select("doc_id", "class_id", "n_texts")
@@ -116,7 +117,7 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
 
     Skeletons stored in one way only are left out before pairs are made; large groups are paired block by block.
     """
-    keyed = _digests(docs)
+    keyed = materialize(_digests(docs), "skeletons")
     several = keyed.groupBy("skeleton_key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("skeleton_key")
     pairs = pairs_in_groups(keyed.join(several, "skeleton_key", "left_semi"), ["skeleton_key"], "doc_id", differ="text_key")
     return pairs.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
