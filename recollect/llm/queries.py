@@ -174,8 +174,8 @@ hit as (select ra, rb, x.ws as wa, y.ws as wb from c join r x on x.ref = ra join
 
 # Look-alike letters that the corpus holds, and the letters they are drawn like.
 _ALIKE = (
-    "АВЕКМНОРСТУХЬЅІЈ" + "агеорсухѕіјһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹνο" + "ɑɡօ" + "ЁёӦӧӒӓӰӱЀѐЇї",
-    "ABEKMHOPCTYXbSIJ" + "areopcyxsijhdqw" + "ABEZHIKMNOPTYXCvo" + "ago" + "ËëÖöÄäŸÿÈèÏï",
+    "АВЕКМНОРСТУХЬЅІЈ" + "агеорсухѕіјһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹνο" + "ɑɡօ" + "ЁёӦӧӒӓӰӱЀѐЇї" + "αγιρσυάίόύϊϋΆΈΊΌΎ",
+    "ABEKMHOPCTYXbSIJ" + "areopcyxsijhdqw" + "ABEZHIKMNOPTYXCvo" + "ago" + "ËëÖöÄäŸÿÈèÏï" + "ayipouáíóúïüÁÉÍÓÝ",
 )
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
