@@ -55,7 +55,7 @@ class Context:
         if not asked:
             return materialize(ranked, "candidates")
         own = self.index.where(F.col("id").isin(*asked) & self.query.filters.passes(self.query.as_of))
-        own = own.select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"), F.lit("explicit_id").alias("match_class"), F.lit(0.0).alias("score"))
+        own = own.select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"), F.lit("explicit_id").alias("match_class"), F.lit(0.0).alias("score")).dropDuplicates(["id"])
         return materialize(own.unionByName(ranked.join(own.select("id"), "id", "left_anti")), "candidates")
 
     @cached_property
@@ -65,7 +65,7 @@ class Context:
         found = search_diary(self.diary_index, self.query.text, max(self.budget.max_diary * 4, 20)).select("id", (F.col("rank") + len(asked)).alias("place"))
         if not asked:
             return materialize(found, "diary-candidates")
-        own = self.diary_index.where(F.col("id").isin(*asked)).select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"))
+        own = self.diary_index.where(F.col("id").isin(*asked)).select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place")).dropDuplicates(["id"])
         return materialize(own.unionByName(found.join(own.select("id"), "id", "left_anti")), "diary-candidates")
 
     @cached_property
@@ -76,7 +76,7 @@ class Context:
         """
         notes = _first(self.candidates, self.budget.max_notes).join(self.index.select("id", "content", "metadata"), "id").withColumn("kind", F.lit("note"))
         diary = _first(self.diary_candidates, self.budget.max_diary).join(self.diary_index.select("id", "content"), "id").withColumn("kind", F.lit("diary"))
-        both = notes.unionByName(diary, allowMissingColumns=True)
+        both = notes.unionByName(diary, allowMissingColumns=True).dropDuplicates(["kind", "id"])
         order = W.orderBy(F.col("kind").desc(), "ord")
         if self.budget.max_chars is None:
             room = F.length("content")

@@ -93,7 +93,7 @@ def query_with_recall(index: DataFrame, edges: DataFrame, query: Query, recall:
     reached = materialize(reached.join(best, "seed"), "reached")
     few = reached.select("id").distinct()
     found = note_index(notes.join(few, "id", "left_semi")) if notes is not None else index.join(few, "id", "left_semi")
-    found = found.where(query.filters.passes(query.as_of))
+    found = found.where(query.filters.passes(query.as_of)).dropDuplicates(["id"])
     alone = classified(found, query.text).select("id")
     if query.explicit_ids:
         alone = alone.unionByName(found.where(F.col("id").isin(*query.explicit_ids)).select("id"))

@@ -124,12 +124,15 @@ def explicit_matches(index: DataFrame, ids: tuple[str, ...]) -> DataFrame:
 
 
 def direct_matches(index: DataFrame, query: Query) -> DataFrame:
-    """All direct candidates of a query, one row per note: explicit ids before lexical matches."""
+    """All direct candidates of a query, one row per note: explicit ids before lexical matches.
+
+    Rows of ``index`` that repeat a note are dropped here, among the matches, rather than before whole texts are shuffled.
+    """
     seen = index.where(query.filters.passes(query.as_of))
-    lexical = classified(seen, query.text)
-    if not query.explicit_ids:
-        return lexical
-    return explicit_matches(seen, query.explicit_ids).unionByName(lexical.where(~F.col("id").isin(*query.explicit_ids)))
+    found = classified(seen, query.text)
+    if query.explicit_ids:
+        found = explicit_matches(seen, query.explicit_ids).unionByName(found.where(~F.col("id").isin(*query.explicit_ids)))
+    return found.dropDuplicates(["id"])
 
 
 def top_matches(matches: DataFrame, limit: int) -> DataFrame:
@@ -170,6 +173,7 @@ def search_diary(index: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return (
         index.where(F.arrays_overlap("tokens", F.array(*map(F.lit, q))))
         .withColumn("matched_by", F.when(exact, F.array(F.lit("exact_phrase"), F.lit("token"))).otherwise(F.array(F.lit("token"))))
+        .dropDuplicates(["id"])
         .orderBy(*order)
         .limit(limit)
         .withColumn("rank", F.row_number().over(W.orderBy(*order)))

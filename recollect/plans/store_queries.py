@@ -27,11 +27,11 @@ checked_by, QUERIES, ORACLE_SQL = _registry.checked_by, _registry.queries, _regi
 
 
 def _index(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.note_index(views.notes(spark, root))
+    return retrieval.note_index(views.notes(spark, root, once=False))
 
 
 def _diary_index(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.diary_index(views.diary(spark, root))
+    return retrieval.diary_index(views.diary(spark, root, once=False))
 
 
 def _list(words: list[str]) -> str:
@@ -212,7 +212,7 @@ r as (select *, {_RANK} as rk from u) select rk as rank, id, match_class, score
 )
 def query_with_recall(spark: SparkSession, root: str) -> DataFrame:
     q = retrieval.Query("archive choir", AS_OF, limit=20)
-    notes = views.notes(spark, root)
+    notes = views.notes(spark, root, once=False)
     return graph.query_with_recall(retrieval.note_index(notes), views.edges(spark, root), q, graph.Recall(), notes).select(*MATCH)
 
 

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import clamp01, strip_white
-from recollect.sources.tables import records
+from recollect.sources.tables import records, table
 
 # States of a note, and the relation vocabulary.
 STATUSES = ("candidate", "active", "archived", "rejected")
 RELATIONS = ("related_to", "mentions", "derived_from", "supports", "prefers", "worked_on", "part_of", "about")
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
-    """Notes; unknown states are active, scores default to 0.5 and 0.75."""
+def notes(spark: SparkSession, root: str, once: bool = True) -> DataFrame:
+    """Notes; unknown states are active, scores default to 0.5 and 0.75.
+
+    Without ``once`` redelivered rows stay, for operators that select first and drop repeats among the few rows left.
+    """
     status = F.lower(strip_white(F.col("status")))
     category = F.lower(strip_white(F.col("category")))
-    return records(spark, root, "memory_notes").select(
+    df = records(spark, root, "memory_notes") if once else table(spark, root, "memory_notes")
+    return df.select(
         "id",
         F.coalesce("content", F.lit("")).alias("content"),
         "summary",
@@ -36,9 +40,10 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def diary(spark: SparkSession, root: str) -> DataFrame:
-    """Diary entries."""
-    return records(spark, root, "diary_entries").select(
+def diary(spark: SparkSession, root: str, once: bool = True) -> DataFrame:
+    """Diary entries; ``once`` as for notes."""
+    df = records(spark, root, "diary_entries") if once else table(spark, root, "diary_entries")
+    return df.select(
         "id", F.coalesce("content", F.lit("")).alias("content"), F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("tags"), "created_at", "updated_at", "metadata"
     )
 
