@@ -126,13 +126,13 @@ def added_notes(spark: SparkSession, root: str) -> DataFrame:
     return mutations.new_notes(raw, F.lit(AS_OF)).select("id", "content", "importance", "confidence", "pinned")
 
 
-@checked_by(f"""with {VIEWS_SQL}, p as (select id, length(content) % 2 = 0 as change from notes where id < 'mem_4' union all select 'mem_absent', true)
+@checked_by(f"""with {VIEWS_SQL}, p as (select id, length(content) % 2 = 0 as change from notes where status <> 'archived' union all select 'mem_absent', true)
 select n.id, case when p.id is not null and not (pinned and change) then 'patched' when p.id is not null then 'CONFLICT' else 'same' end as outcome from notes n left join p using (id)
 union all select id, 'NOT_FOUND' from p where id not in (select id from notes)""")
 def patched_notes(spark: SparkSession, root: str) -> DataFrame:
-    """Patches a quarter of the notes, half of these in their content, which pinned notes refuse."""
+    """Patches all notes but archived ones, about half of these in their content, which pinned notes refuse."""
     n = views.notes(spark, root)
-    new = n.where("id < 'mem_4'").select("id", F.when(F.length("content") % 2 == 0, F.concat("content", F.lit(" (edited)"))).alias("content"), F.lit("edited").alias("category"))
+    new = n.where("status != 'archived'").select("id", F.when(F.length("content") % 2 == 0, F.concat("content", F.lit(" (edited)"))).alias("content"), F.lit("edited").alias("category"))
     new = new.unionByName(spark.createDataFrame([("mem_absent", "x", "edited")], "id string, content string, category string"))
     out, refused = mutations.patched(n, new, F.lit(AS_OF).cast("timestamp_ntz"))
     seen = out.join(refused, "id", "left").select("id", F.when(F.col("code").isNotNull(), F.col("code")).when(F.col("category") == "edited", "patched").otherwise("same").alias("outcome"))
@@ -179,13 +179,13 @@ def reversed_edges(spark: SparkSession, root: str) -> DataFrame:
     return new.unionByName(refused.select("id", F.col("code").alias("outcome")))
 
 
-@checked_by(f"""with {VIEWS_SQL}, b as (select id, content from notes where id >= 'mem_4'), a as (select id, case when id >= 'mem_c' then content || '.' else content end as content from notes where id >= 'mem_2')
+@checked_by(f"""with {VIEWS_SQL}, b as (select id, content from notes where status <> 'archived'), a as (select id, case when pinned then content || '.' else content end as content from notes where status <> 'candidate')
 select 'note' as kind, case when a.id is null then 'remove' else 'put' end as verb, coalesce(a.id, b.id) as id from b full join a on a.id = b.id where a.content is distinct from b.content""")
 def diff_effects(spark: SparkSession, root: str) -> DataFrame:
-    """The operations between two states of the notes."""
-    n = views.notes(spark, root).select("id", F.col("content").alias("body"))
-    after = n.where("id >= 'mem_2'").withColumn("body", F.when(F.col("id") >= "mem_c", F.concat("body", F.lit("."))).otherwise(F.col("body")))
-    return history.effects(n.where("id >= 'mem_4'"), after, "note").select("kind", "verb", "id")
+    """The operations from the notes without archived ones to those without candidates, in which pinned ones are edited."""
+    n = views.notes(spark, root).withColumn("body", F.col("content"))
+    after = n.where("status != 'candidate'").withColumn("body", F.when(F.col("pinned"), F.concat("body", F.lit("."))).otherwise(F.col("body")))
+    return history.effects(n.where("status != 'archived'"), after, "note").select("kind", "verb", "id")
 
 
 # --- analysis cycle ----------------------------------------------------------------------------------------------
@@ -325,14 +325,15 @@ def payload_objects(spark: SparkSession, root: str) -> DataFrame:
     return history.payload_objects(_wal(spark, root)).select("digest", "n_uses")
 
 
-@checked_by("""with t as (select distinct store_id, tx_id, ops from wal_transactions), p as (select store_id, unnest(list_transform(ops, lambda o: o.payload)) as payload from t),
-o as (select distinct sha256(payload) as digest, payload from p), m as (select distinct sha256(payload) as digest from p where store_id < 'store-8'), i as (select digest from o where digest >= '2')
+@checked_by("""with o as (select distinct unnest(ops) as op from wal_transactions), p as (select op.type as type, sha256(op.payload) as digest from o),
+i as (select distinct digest from p where type like '%.put'), m as (select distinct digest from p where type like 'ether.note.%' or type like 'ether.diary.%')
 select digest, 'reclaim' as state from i where digest not in (select digest from m) union all select digest, 'missing' from m where digest not in (select digest from i)""")
 def object_sweep(spark: SparkSession, root: str) -> DataFrame:
-    """Marks from the stores below ``store-8`` against an inventory that lost the digests below 2."""
+    """The objects of all puts as inventory against marks from all operations on notes and diary."""
     w = _wal(spark, root)
-    inventory = history.payload_objects(w).where("digest >= '2'")
-    free, lost = history.reclaimable(inventory, history.payload_objects(w.where("store_id < 'store-8'")))
+    inventory = history.payload_objects(w.withColumn("ops", F.filter("ops", lambda o: o["type"].endswith(".put"))))
+    marks = history.payload_objects(w.withColumn("ops", F.filter("ops", lambda o: o["type"].rlike(r"^ether\.(note|diary)\."))))
+    free, lost = history.reclaimable(inventory, marks)
     return free.withColumn("state", F.lit("reclaim")).unionByName(lost.withColumn("state", F.lit("missing")))
 
 
