@@ -93,7 +93,12 @@ def merge_runs(ops: DataFrame) -> DataFrame:
 
 
 def effective_removes(ops: DataFrame) -> DataFrame:
-    """``store_id, node_id, removed_seq``: the last remove of each node that found the node there.
+    """``store_id, node_id, removed_seq``: the last remove of each node that found the node there."""
+    return node_removes(ops).groupBy("store_id", "node_id").agg(F.max(F.struct(*SEQ)).alias("removed_seq"))
+
+
+def node_removes(ops: DataFrame) -> DataFrame:
+    """``store_id, node_id``, sequence: every remove of a node that found the node there.
 
     A node's history is cut into blocks of transaction numbers; the first operation of a block looks back to the last one
     of the block before.
@@ -104,7 +109,35 @@ def effective_removes(ops: DataFrame) -> DataFrame:
     ends = nodes.groupBy(*block).agg(F.max(F.struct(*SEQ, "is_put")).alias("end"))
     carry = ends.select(*block, F.lag("end.is_put").over(W.partitionBy("store_id", "node_id").orderBy("block")).alias("carry"))
     seen = nodes.withColumn("inside", inside).join(carry, block).where(~F.col("is_put") & F.coalesce("inside", "carry", F.lit(False)))
-    return seen.groupBy("store_id", "node_id").agg(F.max(F.struct(*SEQ)).alias("removed_seq"))
+    return seen.select("store_id", "node_id", *SEQ)
+
+
+def absent_removes(ops: DataFrame) -> DataFrame:
+    """``store_id, obj_kind, obj_id, tx_id`` of every remove that found nothing to remove, edges included.
+
+    An object is absent if its operation before is no put; an edge also if an effective remove of either end lies between
+    that put and its remove. Keys and nodes are cut into blocks as in ``node_removes``. ``ops`` is read several times.
+    """
+    blocked = ops.withColumn("block", F.floor(F.col("tx_id") / BLOCK))
+    this, block = F.struct(*SEQ, "is_put", "source", "target"), [*KEY, "block"]
+    inside = F.lag(this).over(W.partitionBy(*block).orderBy(*SEQ))
+    ends = blocked.groupBy(*block).agg(F.max(this).alias("end"))
+    carry = ends.select(*block, F.lag("end").over(W.partitionBy(*KEY).orderBy("block")).alias("carry"))
+    removes = blocked.withColumn("inside", inside).where("not is_put").join(carry, block).withColumn("was", F.coalesce("inside", "carry"))
+    found = F.coalesce("was.is_put", F.lit(False))
+    lost = removes.where(~found).select(*KEY, *SEQ)
+
+    # The edges found put are asked at each end for the last effective remove before their own.
+    ends_of = F.explode(F.array_distinct(F.array("was.source", "was.target"))).alias("node_id")
+    asked = removes.where(found & (F.col("obj_kind") == "graph-edge")).select("store_id", "obj_kind", "obj_id", *SEQ, F.struct(*[f"was.{c}" for c in SEQ]).alias("put_seq"), ends_of).where("node_id is not null")
+    events = asked.unionByName(node_removes(ops), allowMissingColumns=True).withColumn("block", F.floor(F.col("tx_id") / BLOCK))
+    gone, node = F.when(F.col("obj_id").isNull(), F.struct(*SEQ)), ["store_id", "node_id"]
+    here = F.max(gone).over(W.partitionBy(*node, "block").orderBy(*SEQ).rowsBetween(W.unboundedPreceding, W.currentRow))
+    tops = events.groupBy(*node, "block").agg(F.max(gone).alias("top"))
+    before = tops.select(*node, "block", F.max("top").over(W.partitionBy(*node).orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    last = events.withColumn("here", here).where("obj_id is not null").join(before, [*node, "block"])
+    cascaded = last.where(F.coalesce("here", "before") > F.col("put_seq")).select(*KEY, *SEQ).distinct()
+    return lost.unionByName(cascaded).select(*KEY, "tx_id")
 
 
 @dataclass

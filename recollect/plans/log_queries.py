@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect.operators import dream, history, mutations, portable, validate
 from recollect.plans.registry import Registry
 from recollect.plans.store_queries import AS_OF, CONDENSE_SQL
+from recollect.session import materialize
 from recollect.sources import views
 from recollect.sources.tables import records, table
 from recollect.sources.views import TOKENS_SQL, VIEWS_SQL
@@ -344,7 +345,7 @@ o as (select store_id, tx_id, ord, split_part(op.type, '.', 2) as obj_kind, spli
 m as (select *, lag(is_put) over (partition by store_id, obj_kind, obj_id order by tx_id, ord) as was_put from o)
 select store_id, obj_kind, obj_id, tx_id::varchar as tx_id from m where not is_put and not coalesce(was_put, false) and obj_kind <> 'graph-edge'""")
 def absent_removes(spark: SparkSession, root: str) -> DataFrame:
-    """Removes of notes, entries and nodes that were not there; they have no effect."""
+    """Removes of notes, entries and nodes that were not there; they have no effect. ``all_absent_removes`` has edges too."""
     from recollect.operators.change_log import KEY, SEQ, commits_of, explode_ops, without_replays
 
     w = _wal(spark, root)
@@ -353,3 +354,24 @@ def absent_removes(spark: SparkSession, root: str) -> DataFrame:
     was = F.lag("is_put").over(W.partitionBy(*KEY).orderBy(*SEQ))
     lost = ops.withColumn("was", F.coalesce(was, F.lit(False))).where("not is_put and not was and obj_kind != 'graph-edge'")
     return lost.select("store_id", "obj_kind", "obj_id", F.col("tx_id").cast("string").alias("tx_id"))
+
+
+@checked_by("""with t as (select distinct store_id, tx_id, mutation_id, ops from wal_transactions),
+own as (select * from t qualify mutation_id is null or tx_id = min(tx_id) over (partition by store_id, mutation_id)),
+e as (select store_id, tx_id, unnest(ops) as op, generate_subscripts(ops, 1) as ord from own),
+o as (select store_id, tx_id, ord, split_part(op.type, '.', 2) as obj_kind, split_part(op.type, '.', 3) = 'put' as is_put, json_extract_string(op.payload, '$.id') as obj_id,
+    json_extract_string(op.payload, '$.source') as source, json_extract_string(op.payload, '$.target') as target from e),
+m as (select *, coalesce(lag(is_put) over w, false) as was_put, lag(source) over w as s, lag(target) over w as t, lag(tx_id) over w as put_tx, lag(ord) over w as put_ord
+    from o window w as (partition by store_id, obj_kind, obj_id order by tx_id, ord)),
+g as (select store_id, obj_id as node, tx_id, ord from m where obj_kind = 'graph-node' and not is_put and was_put),
+ed as (select store_id, obj_kind, obj_id, tx_id, ord, put_tx, put_ord, unnest([s, t]) as node from m where obj_kind = 'graph-edge' and not is_put and was_put),
+c as (select distinct ed.store_id, ed.obj_kind, ed.obj_id, ed.tx_id, ed.ord from ed join g on g.store_id = ed.store_id and g.node = ed.node
+    where (g.tx_id > put_tx or g.tx_id = put_tx and g.ord > put_ord) and (g.tx_id < ed.tx_id or g.tx_id = ed.tx_id and g.ord < ed.ord))
+select store_id, obj_kind, obj_id, tx_id::varchar as tx_id from m where not is_put and not was_put union all select store_id, obj_kind, obj_id, tx_id::varchar from c""")
+def all_absent_removes(spark: SparkSession, root: str) -> DataFrame:
+    """Removes of objects of every kind that were not there, edges gone with a node included; they have no effect."""
+    from recollect.operators.change_log import absent_removes, commits_of, explode_ops, without_replays
+
+    w = _wal(spark, root)
+    ops = materialize(without_replays(explode_ops(w.dropDuplicates(["store_id", "tx_id"])), commits_of(w)), "operations")
+    return absent_removes(ops).withColumn("tx_id", F.col("tx_id").cast("string"))

@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+from recollect.operators import change_log
 from recollect.operators.change_log import ChangeLog, current_state
 from recollect.streaming.log_stream import FRAME_SCHEMA, StreamingReplay, chain_watch, read_frames
 
@@ -71,6 +72,47 @@ def test_random_feeds_in_any_order(spark):
         assert state(current_state(spark.createDataFrame(frames, FRAME_SCHEMA), runs=4, fan_in=2)) == replay(frames)
 
 
+def absent(frames):
+    """Removes that find nothing, by one ordered pass."""
+    out = []
+    for store in {f[0] for f in frames}:
+        seen, state = set(), {}
+        for f in sorted({x[2]: x for x in frames if x[0] == store}.values(), key=lambda f: f[2]):
+            if f[4] in seen:
+                continue
+            seen.add(f[4])
+            for kind, _, body in f[6]:
+                _, kind, verb = kind.split(".")
+                b = json.loads(body)
+                if verb == "put":
+                    state[kind, b["id"]] = b
+                elif state.pop((kind, b["id"]), None) is None:
+                    out.append((store, kind, b["id"], str(f[2])))
+                elif kind == "graph-node":
+                    for e in [e for e, x in state.items() if e[0] == "graph-edge" and b["id"] in (x["source"], x["target"])]:
+                        del state[e]
+    return sorted(out)
+
+
+def test_absent_removes_report_every_kind(spark, monkeypatch):
+    def found(frames):
+        w = spark.createDataFrame(frames, FRAME_SCHEMA)
+        ops = change_log.without_replays(change_log.explode_ops(w.dropDuplicates(["store_id", "tx_id"])), change_log.commits_of(w))
+        return sorted((r.store_id, r.obj_kind, r.obj_id, str(r.tx_id)) for r in change_log.absent_removes(ops).collect())
+
+    node, edge = op("graph-node", "put", id="n"), op("graph-edge", "put", id="e", source="n", target="k")
+    no_node, no_edge = op("graph-node", "remove", id="n"), op("graph-edge", "remove", id="e")
+    steps = [[no_edge], [node, edge], [no_node], [node], [no_edge], [edge], [no_edge], [no_edge], [edge, no_node, node, no_edge]]
+    frames = [frame("s", i, f"m{i}", ops) for i, ops in enumerate(steps, 1)]
+    assert found(frames) == [("s", "graph-edge", "e", str(t)) for t in (1, 5, 8, 9)] == absent(frames)
+    for block in (change_log.BLOCK, 7):
+        monkeypatch.setattr(change_log, "BLOCK", block)
+        for seed in range(2):
+            frames = random_feed(seed, 320)
+            want = absent(frames)
+            assert found(frames) == want and any(k == "graph-edge" for _, k, _, _ in want)
+
+
 def test_compaction_keeps_what_a_late_transaction_may_uncover(spark):
     log = ChangeLog.temporary(spark, fan_in=2)
     log.append(spark.createDataFrame([frame("s", 5, "m", [op("note", "put", id="a")]), frame("s", 4, "k", [op("note", "put", id="a")])], FRAME_SCHEMA))
