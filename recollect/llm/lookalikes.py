@@ -3,7 +3,8 @@
 Confusables skeleton: decompose canonically, replace every character by its prototype, decompose again; originals are grouped by
 equal skeleton. Prototypes come from rules, not from a transcribed list: wide forms by their compatibility mapping, letters in a rare
 font by theirs, white space that does not break to a space, zero-width characters to nothing, and letters of other scripts by the
-public look-alike data (UTS #39) in the ICU library that Spark ships, where they map to one basic Latin letter.
+public look-alike data (UTS #39) in the ICU library that Spark ships, where their skeleton is that of one basic Latin letter
+(the data takes ``m`` apart into ``rn``; the texts ``m`` and ``rn`` themselves stay apart).
 
 Kept apart: letter case, accents, superscripts, fractions, circled and narrow forms, number of spaces.
 
@@ -14,6 +15,7 @@ one class member each but never a found pair; an empty table gives no rows; othe
 from __future__ import annotations
 
 import hashlib
+import string
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -46,13 +48,15 @@ def prototypes(spark: SparkSession) -> dict[int, str]:
     single = [c for c in letters if (how := unicodedata.decomposition(c)) == "" or how[0] == "<" and not how.startswith(APART)]
     jvm = spark.sparkContext._jvm
     checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    alike = checker.getSkeleton("\n".join(single)).split("\n")
-    assert len(alike) == len(single), "the look-alike data must keep line breaks"
+    basic = [*string.ascii_letters]
+    alike = checker.getSkeleton("\n".join(basic + single)).split("\n")
+    assert len(alike) == len(basic) + len(single), "the look-alike data must keep line breaks"
+    letter = dict(zip(alike, basic)) | {"l": "l"}
     table: dict[int, str] = {}
-    for ch, proto in zip(single, alike):
-        if _basic_latin(proto):
+    for ch, proto in zip(single, alike[len(basic) :]):
+        if proto in letter:
             # The data has one prototype for I, l and the digit one; the case of the letter tells them apart.
-            table[ord(ch)] = "I" if proto == "l" and unicodedata.category(ch) in ("Lu", "Nl") else proto
+            table[ord(ch)] = "I" if proto == "l" and unicodedata.category(ch) in ("Lu", "Nl") else letter[proto]
     for c in range(0x80, sys.maxunicode + 1):
         kind, _, rest = unicodedata.decomposition(chr(c)).partition(" ")
         to = "".join(chr(int(x, 16)) for x in rest.split()) if kind.startswith("<") else ""

@@ -152,6 +152,15 @@ def test_lookalikes(spark):
     assert lookalikes.lookalike_pairs(documents(spark, [])).count() == 0
 
 
+def test_letters_drawn_like_m(spark):
+    table = lookalikes.prototypes(spark)
+    alike = [f"{c}odern" for c in ("m", "\u217f", "\U00011700", "\uff4d", "\U0001d426")]
+    assert {lookalikes.skeleton(t, table) for t in alike} == {"modern"}
+    rows = [(i, t, "s") for i, t in enumerate([*alike, "rnodern", "Modern"])]
+    assert {tuple(r) for r in lookalikes.lookalike_pairs(documents(spark, rows)).collect()} == {(a, b) for b in range(5) for a in range(b)}
+    assert {r.doc_id: r.form for r in lookalikes.normal_forms(documents(spark, rows)).collect()} == {i: "modern" for i in range(5)} | {5: "rnodern", 6: "Modern"}
+
+
 def test_a_third_of_all_texts_look_alike(spark):
     rows = [(i, ("сop" if i % 6 else "cop") if i % 3 == 0 else f"t{i}", "s") for i in range(300)]
     want = {(min(a, b), max(a, b)) for a in range(0, 300, 6) for b in range(3, 300, 6)}
