@@ -105,6 +105,13 @@ def selected(notes: DataFrame, request: Request) -> DataFrame:
     return notes.where(ok)
 
 
+def _selection_bytes(notes: DataFrame, request: Request) -> int:
+    """The bytes a selector other than ids reads: every id, and of eligible notes the distinct tags or the content."""
+    read = {"tags": F.aggregate(F.array_distinct("tags"), F.lit(0), lambda n, t: n + F.octet_length(t)), "query": F.octet_length("content")}
+    more = F.when(eligible(request.as_of), read.get(request.selector["kind"], F.lit(0)))
+    return notes.agg(F.sum(F.octet_length("id") + F.coalesce(more, F.lit(0)))).first()[0] or 0
+
+
 def _millis(c: str) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
@@ -149,13 +156,19 @@ def preview(notes: DataFrame, edges: DataFrame, request: Request) -> Plan:
     b, s = request.budgets, request.selector
     if s["kind"] == "ids":
         have = {r.id: r.ok for r in notes.where(F.col("id").isin(*s["ids"])).select("id", eligible(request.as_of).alias("ok")).collect()}
+        read = 0
         for i in s["ids"]:
             if i not in have:
                 raise DreamError("a note asked for does not exist", "NOT_FOUND")
             if not have[i]:
                 raise DreamError("a note asked for is not eligible")
+            read += len(i.encode())
+            if read > b["maxSelectionBytes"]:
+                raise DreamError("the selector reads more bytes than its ceiling")
     elif notes.limit(b["maxPopulation"] + 1).count() > b["maxPopulation"]:
         raise DreamError("the population passes its ceiling; name ids")
+    elif _selection_bytes(notes, request) > b["maxSelectionBytes"]:
+        raise DreamError("the selector reads more bytes than its ceiling")
     picked = selected(notes, request)
     known = picked.count()
     deps = dependency_rows(picked, b["maxSources"])
@@ -167,6 +180,7 @@ def preview(notes: DataFrame, edges: DataFrame, request: Request) -> Plan:
         if len(r.tags) > b["maxTags"]:
             raise DreamError("a source has too many tags")
         captured.append({"id": r.id, "content": r.content, "tags": _ordered(r.tags), "status": "active", "createdAt": r.created_at, "expiresAt": r.expires_at})
+        _sha(captured[-1], b["maxNoteDependencyBytes"])
     relations = [r.asDict() for r in induced_relations(edges, deps).limit(b["maxRelationships"] + 1).collect()]
     if len(relations) > b["maxRelationships"]:
         raise DreamError("the relations pass their ceiling")

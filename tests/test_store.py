@@ -171,6 +171,21 @@ def test_dream_rules(spark):
             dream.Request.normal(bad, now)
 
 
+def test_dream_byte_budgets(spark):
+    notes = spark.createDataFrame([note("A", "héllo world", tags=["t", "uv", "t"]), note("é", "hello", tags=["t"]), note("CC", "gone", "archived", tags=["long tag"])], NOTE)
+    ids, now = 1 + 2 + 2, 1_600_000_000_000
+    needs = [({"kind": "all_active"}, ids), ({"kind": "date-window", "from": 0, "to": now}, ids), ({"kind": "tags", "tags": ["t"]}, ids + 3 + 1), ({"kind": "query", "query": "world"}, ids + 12 + 5), ({"kind": "ids", "ids": ["é", "A"]}, 3)]
+    for selector, need in needs:
+        def ask(**budgets):
+            return dream.preview(notes, edges(spark, []), dream.Request.normal(selector, now, budgets))
+
+        whole = max(len(canonical_json(n)) for n in ask().notes)
+        assert ask(maxSelectionBytes=need, maxNoteDependencyBytes=whole).notes == ask().notes
+        for low in ({"maxSelectionBytes": need - 1}, {"maxNoteDependencyBytes": whole - 1}):
+            with pytest.raises(dream.DreamError):
+                ask(**low)
+
+
 def test_canonical_json():
     assert canonical_json({"\U00010400": 1, "�": [True, None, 2.0], "a": "é\x1f"}) == '{"a":"é\\u001f","\U00010400":1,"�":[true,null,2]}'.encode()
     for bad in (-0.0, 0.5, 2**53, "\ud800", {"__proto__": 1}, float("nan"), object()):
