@@ -33,6 +33,7 @@ BUDGETS = {
     "maxRelationships": 1024,
     "maxPlanBytes": 65536,
 }
+MAX_NAMES = 256
 MAX_PROPOSALS, MAX_EDGES, MAX_PROPOSAL_BYTES, MAX_ARRAY_BYTES = 32, 8, 16384, 261120
 
 
@@ -70,8 +71,8 @@ class Request:
             raise DreamError("one supported selector with its own fields is needed")
         if kind in ("ids", "tags"):
             values = fields[kind]
-            if not values or len(values) > 256 or any(not isinstance(v, str) or not v.strip() or len(v) > 256 for v in values):
-                raise DreamError("a selector needs 1 to 256 names")
+            if not values or len(values) > MAX_NAMES or any(not isinstance(v, str) or not v.strip() or len(v) > 256 for v in values):
+                raise DreamError(f"a selector needs 1 to {MAX_NAMES} names")
             fields = {kind: _ordered(values)}
         elif kind == "query":
             q = " ".join(query_tokens(fields["query"]))

@@ -247,11 +247,14 @@ def dream_outputs(spark: SparkSession, root: str) -> DataFrame:
 
 @checked_by(None)
 def dream_cycle(spark: SparkSession, root: str) -> DataFrame:
-    """Plan and result of one cycle over the most linked eligible notes, as one row of JSON (a cycle is bounded by its format)."""
+    """Plan and result of one cycle over the most linked eligible notes, as one row of JSON.
+
+    A cycle is bounded by its format: as many ids are asked for as a selector takes, and the plan cuts them to its sources.
+    """
     notes, edges = views.notes(spark, root), views.edges(spark, root)
     linked = edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     ok = dream.selected(notes, _request({"kind": "all_active"})).select("id", F.concat(F.lit("memory:"), "id").alias("node"))
-    ids = [r.id for r in ok.join(linked, "node").orderBy(F.col("n").desc(), "id").limit(32).collect()]
+    ids = [r.id for r in ok.join(linked, "node").orderBy(F.col("n").desc(), "id").limit(dream.MAX_NAMES).collect()]
     plan = dream.preview(notes, edges, _request({"kind": "ids", "ids": ids}))
     result = dream.run(notes, edges, plan)
     return spark.createDataFrame([(plan.plan_id, dream.as_json(plan.fields), dream.as_json(result))], "plan_id string, plan string, result string")

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime
 
@@ -8,6 +9,7 @@ from recollect.functions.canonical import EncodingError, canonical_json, depth_a
 from recollect.functions.text import code_unit_key, code_unit_length, contains_phrase, query_tokens, strip_white, tokens
 from recollect.operators import context, dream, graph, portable, retrieval
 from recollect.operators.condense import condensed
+from recollect.plans.queries import all_queries
 from recollect.sources.snapshot import GenerationStore, read_snapshot, write_snapshot
 
 NOTE = "id string, content string, summary string, category string, tags array<string>, importance double, confidence double, pinned boolean, status string, created_at timestamp_ntz, updated_at timestamp_ntz, expires_at timestamp_ntz, metadata string"
@@ -186,6 +188,13 @@ def test_dream_byte_budgets(spark):
                 ask(**low)
 
 
+def test_dream_cycle_reaches_its_ceilings(spark, data):
+    r = all_queries()["dream_cycle"](spark, data.replace("sf0.001", "sf0.01")).first()
+    plan, result = json.loads(r.plan), json.loads(r.result)
+    assert (plan["knownCount"], plan["selectedCount"], plan["truncationReasons"]) == (256, 128, ["source-limit"])
+    assert result["knownProposalCount"] > result["proposalCount"] == 32 and result["truncationReasons"] == ["proposal-limit"]
+
+
 def test_canonical_json():
     assert canonical_json({"\U00010400": 1, "�": [True, None, 2.0], "a": "é\x1f"}) == '{"a":"é\\u001f","\U00010400":1,"�":[true,null,2]}'.encode()
     for bad in (-0.0, 0.5, 2**53, "\ud800", {"__proto__": 1}, float("nan"), object()):
