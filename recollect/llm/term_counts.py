@@ -12,13 +12,14 @@ records still count in the total; a redelivered row is one record; an emptied te
 from __future__ import annotations
 
 import functools
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import term_of
-from recollect.session import freeing_shuffles, materialize, scratch_path
+from recollect.session import freeing_shuffles, last_manifest, materialize, publish_manifest, scratch_path
 
 RARE_RECORDS = 3
 COMMON_SHARE = (1, 10)
@@ -53,7 +54,10 @@ def signed_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 
 @dataclass
 class TermCounts:
-    """Persistent counts in ``buckets`` partitions by term; ``current`` names the version folder of each written bucket."""
+    """Persistent counts in ``buckets`` partitions by term; ``current`` names the version folder of each written bucket.
+
+    Each version is published with a manifest below ``root``, from which ``open`` goes on in a later session.
+    """
 
     spark: SparkSession
     root: str
@@ -65,6 +69,15 @@ class TermCounts:
     def temporary(cls, spark: SparkSession, buckets: int = 16) -> TermCounts:
         return cls(spark, scratch_path(spark, "term-counts"), buckets)
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> TermCounts:
+        """The counts published below ``root``; none yet gives empty counts."""
+        last = last_manifest(spark, root)
+        if last is None:
+            return cls(spark, root)
+        version, m = last
+        return cls(spark, root, m["buckets"], {int(b): f"{root}/{p}" for b, p in m["current"].items()}, version)
+
     def read(self, only: list[int] | None = None) -> DataFrame:
         """``field, term, n_occurrences, n_records`` of the current version."""
         paths = [p for b, p in sorted(self.current.items()) if only is None or b in only]
@@ -78,18 +91,16 @@ class TermCounts:
         touched = [r[0] for r in deltas.select("bucket").distinct().collect()]  # at most ``buckets`` rows
         if not touched:
             return
-        self.version += 1
-        path = f"{self.root}/v{self.version:06d}"
+        path = f"{self.root}/v{self.version + 1:06d}-{uuid.uuid4().hex[:12]}"  # what a failed write left is never met again
         old = self.read(touched).withColumn("bucket", bucket)
         new = deltas.select("field", "term", F.col("d_occurrences").alias("n_occurrences"), F.col("d_records").alias("n_records"), "bucket")
         merged = old.unionByName(new).groupBy("bucket", "field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
         with freeing_shuffles(self.spark):
             merged.where("n_records > 0").write.partitionBy("bucket").parquet(path)
         have = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if self._any(path) else set()
-        for b in touched:
-            self.current.pop(b, None)
-            if b in have:
-                self.current[b] = f"{path}/bucket={b}"
+        current = {b: p for b, p in self.current.items() if b not in touched} | {b: f"{path}/bucket={b}" for b in touched if b in have}
+        publish_manifest(self.spark, self.root, self.version + 1, {"buckets": self.buckets, "current": {b: p.removeprefix(f"{self.root}/") for b, p in current.items()}})
+        self.version, self.current = self.version + 1, current
 
     def _any(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm

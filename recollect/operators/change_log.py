@@ -14,13 +14,14 @@ absent object does nothing (of an absent node, it takes no edges either); an emp
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.session import delete_path, freeing_shuffles, scratch_path
+from recollect.session import delete_path, freeing_shuffles, last_manifest, publish_manifest, scratch_path
 
 # Operation types of the log.
 OP_TYPE = r"^ether\.(note|diary|graph-node|graph-edge)\.(put|remove)$"
@@ -142,21 +143,35 @@ def absent_removes(ops: DataFrame) -> DataFrame:
 
 @dataclass
 class ChangeLog:
-    """Runs in a shared folder. ``levels[n]`` lists the runs of level n; ``fan_in`` of them become one of level n + 1."""
+    """Runs in a shared folder. ``levels[n]`` lists the runs of level n; ``fan_in`` of them become one of level n + 1.
+
+    The list of runs is published as a manifest below ``root`` with each change, from which ``open`` goes on in a later session.
+    """
 
     spark: SparkSession
     root: str
     fan_in: int = 3
     levels: list[list[str]] = field(default_factory=list)
     _serial: int = 0
+    _published: int = 0
 
     @classmethod
     def temporary(cls, spark: SparkSession, fan_in: int = 3) -> ChangeLog:
         return cls(spark, scratch_path(spark, "changelog"), fan_in)
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> ChangeLog:
+        """The log published below ``root``; none yet gives an empty log."""
+        last = last_manifest(spark, root)
+        if last is None:
+            return cls(spark, root)
+        number, m = last
+        return cls(spark, root, m["fan_in"], [[f"{root}/{r}" for r in level] for level in m["levels"]], m["serial"], number)
+
     def append(self, transactions: DataFrame) -> None:
         """Add a batch, in whatever order, as a sorted run of level 0, then compact the levels that are full."""
         self._write(0, explode_ops(transactions), commits_of(transactions))
+        self._publish()
         self._compact_full()
 
     def compact(self) -> None:
@@ -178,7 +193,7 @@ class ChangeLog:
 
     def _write(self, level: int, ops: DataFrame, commits: DataFrame) -> None:
         self._serial += 1
-        run = f"{self.root}/run-{self._serial:05d}"
+        run = f"{self.root}/run-{self._serial:05d}-{uuid.uuid4().hex[:12]}"  # what a failed write left is never met again
         with freeing_shuffles(self.spark):
             ops.repartitionByRange(*KEY, *SEQ).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
             commits.write.parquet(f"{run}/commits")
@@ -186,6 +201,11 @@ class ChangeLog:
             self.levels.append([])
         self.levels[level].append(run)
 
+    def _publish(self) -> None:
+        levels = [[r.removeprefix(f"{self.root}/") for r in level] for level in self.levels]
+        publish_manifest(self.spark, self.root, self._published + 1, {"fan_in": self.fan_in, "levels": levels, "serial": self._serial})
+        self._published += 1
+
     def _compact_full(self) -> None:
         level = 0
         while level < len(self.levels):
@@ -194,7 +214,7 @@ class ChangeLog:
             level += 1
 
     def _merge(self, runs: list[str], level: int) -> None:
-        """Write the merged run first, then forget and delete its parts: a failure between leaves the old runs valid.
+        """Write the merged run first, publish it, then delete its parts: a failure between leaves the old or the new runs valid.
 
         Equal rows of one key and sequence are frames received again; one of each stays.
         """
@@ -203,6 +223,7 @@ class ChangeLog:
         for i, have in enumerate(self.levels):
             keep = [r for r in have if r not in runs]
             self.levels[i] = keep
+        self._publish()
         for r in runs:
             delete_path(self.spark, r)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +86,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def publish_manifest(spark: SparkSession, root: str, number: int, value: dict[str, Any]) -> None:
+    """Write ``value`` as manifest ``number`` below ``root``, whole or not at all by one rename, then drop the one before.
+
+    For one writer at a time: one that did not see the newest manifest is refused.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    temp, to, old = path(f"{root}/_manifest-{uuid.uuid4().hex[:12]}"), *[path(f"{root}/manifest-{n:06d}.json") for n in (number, number - 1)]
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if _newest_manifest(spark, root) != number - 1:
+        raise ValueError("CONFLICT: another version was published below this root")
+    stream = fs.create(temp, True)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+    if fs.exists(to) or not fs.rename(temp, to):
+        fs.delete(temp, False)
+        raise ValueError("CONFLICT: another version was published below this root")
+    fs.delete(old, False)
+
+
+def _newest_manifest(spark: SparkSession, root: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return max((int(n[9:-5]) for n in names if n.startswith("manifest-")), default=0)
+
+
+def last_manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, Any]] | None:
+    """Number and value of the newest manifest below ``root``, if there is one."""
+    number = _newest_manifest(spark, root)
+    return (number, json.loads(spark.read.text(f"{root}/manifest-{number:06d}.json", wholetext=True).first()[0])) if number else None
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,6 +4,7 @@ import itertools
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import cooccurrence, format_duplicates, survivorship, term_counts
@@ -90,6 +91,22 @@ def test_unchanged_records_touch_nothing(spark):
     assert [(m.field, m.term, m.mark) for m in marked] == [("note_tag", "x", "rare")]
 
 
+def test_counts_go_on_in_a_later_session(spark):
+    store = term_counts.TermCounts.temporary(spark, 4)
+    first, second = images(spark, [("a", ["x", "y"], "c")]), images(spark, [("a", ["x"], "c"), ("b", ["z"], None)])
+    store.apply(first.limit(0), first)
+    later = term_counts.TermCounts.open(spark, store.root)
+    assert (later.buckets, later.version, counts(later)) == (4, 1, counts(store))
+    later.apply(first, second)
+    want = {("note_tag", "x"): (1, 1), ("note_tag", "z"): (1, 1), ("note_category", "c"): (1, 1), (term_counts.TOTAL, "note"): (2, 2)}
+    assert counts(later) == counts(term_counts.TermCounts.open(spark, store.root)) == want
+    for stale in (store, term_counts.TermCounts(spark, store.root, 4)):
+        with pytest.raises(ValueError, match="CONFLICT"):
+            stale.apply(first.limit(0), second)
+    assert counts(term_counts.TermCounts.open(spark, store.root)) == want
+    assert counts(term_counts.TermCounts.open(spark, store.root + "-none")) == {}
+
+
 def test_pairs(spark):
     rows = [("a", ["x", " X", "y"]), ("a", ["x", " X", "y"]), ("b", ["y", "x"]), ("c", ["y", None, ""]), ("d", None), ("e", ["z", "y", "x", "é" * 3000])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, tags array<string>, weight int")

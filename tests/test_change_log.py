@@ -3,6 +3,8 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
+
 from recollect.operators import change_log
 from recollect.operators.change_log import ChangeLog, current_state
 from recollect.streaming.log_stream import FRAME_SCHEMA, StreamingReplay, chain_watch, read_frames
@@ -125,6 +127,26 @@ def test_compaction_keeps_what_a_late_transaction_may_uncover(spark):
     assert len(log.runs()) == 1 and state(log.read()) == {("s", "note", "a", "4"), ("s", "note", "b", "6")}
 
 
+def test_a_log_goes_on_in_a_later_session(spark):
+    frames = random_feed(5)
+    log = ChangeLog.temporary(spark, fan_in=2)
+    for i in range(5):
+        log = ChangeLog.open(spark, log.root) if i else log
+        log.append(spark.createDataFrame(frames[i::5], FRAME_SCHEMA))
+        again = ChangeLog.open(spark, log.root)
+        assert again.levels == log.levels and again.fan_in == 2
+    assert state(again.read()) == replay(frames)
+    again._write(0, *[again._load(part, again.runs()) for part in ("ops", "commits")])  # not published: a driver lost here
+    assert ChangeLog.open(spark, log.root).levels == log.levels
+    last = ChangeLog.open(spark, log.root)
+    last.compact()
+    assert len(ChangeLog.open(spark, log.root).runs()) == 1 and state(ChangeLog.open(spark, log.root).read()) == replay(frames)
+    with pytest.raises(ValueError, match="CONFLICT"):
+        log.append(spark.createDataFrame(frames[:1], FRAME_SCHEMA))
+    assert state(ChangeLog.open(spark, log.root).read()) == replay(frames)
+    assert ChangeLog.open(spark, log.root + "-none").read().count() == 0
+
+
 def test_defined_results_for_odd_rows(spark):
     frames = [
         frame(None, 1, "m", [op("note", "put", id="a")]),
