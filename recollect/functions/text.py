@@ -59,9 +59,13 @@ _COMPOSABLE = (
 )
 
 
+# All of them lie in this one range, which is quicker to look for.
+_BEYOND = r"[\x{300}-\x{10ffff}]"
+
+
 def nfc(c: Column) -> Column:
     """NFC of ``c``; null stays null."""
-    return F.coalesce(composed(F.when(c.rlike(_COMPOSABLE), c)), c)
+    return F.coalesce(composed(F.when(c.rlike(_BEYOND) & c.rlike(_COMPOSABLE), c)), c)
 
 
 def tokens(c: Column, compose: bool = True) -> Column:

@@ -96,12 +96,9 @@ def classified(index: DataFrame, text: str) -> DataFrame:
         *[F.when(F.col("match_class") == k, F.array(*map(F.lit, v))) for k, v in MATCHED_BY.items()],
         F.array_compact(F.array(F.when(F.size("tag_hits") > 0, "tag"), F.when(F.size("metadata_hits") > 0, "metadata"))),
     )
-    return (
-        found.withColumn("match_class", kind)
-        .where("match_class is not null")
-        .withColumn("lexical", base + steps * F.lit(PER_HIT))
-        .withColumns({"score": final_score(F.col("lexical")), "matched_by": by})
-    )
+    # The filter on the class is the empty array of an explode: a predicate would be pushed below the tokens and compute them twice.
+    matching = F.explode(F.filter(F.array(kind), lambda k: k.isNotNull())).alias("match_class")
+    return found.select("*", matching).withColumn("lexical", base + steps * F.lit(PER_HIT)).withColumns({"score": final_score(F.col("lexical")), "matched_by": by})
 
 
 def class_rank(c: Column) -> Column:
