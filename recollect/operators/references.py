@@ -4,7 +4,7 @@ Parent ids become integers: an id is a stem and a tail of up to 15 hexadecimal d
 which is one-to-one. Sorted parent integers are compressed into contiguous runs within blocks of 4,096 values, so a run
 holds at most that many arrival times. Each distinct referenced key is as-of matched to the last run start at or below it;
 a key beyond the run's end names no parent. References are pre-aggregated to distinct keys first, so a parent named by a third of
-all notes is one row in the match; only keys with a problem are joined back to the references.
+all notes is one row in the match; only keys with a problem are joined back to the references, those of hot parents salted.
 
 Defined results: null and blank references are no references; a parent row stored twice counts once; a note with a null
 ``created_at`` gives a null period; one with a null ``ingested_at`` is never late; empty tables give no rows.
@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.text import strip_white
+from recollect.operators.skew import HOT_ROWS, hot_of, spread_join
+from recollect.session import materialize
 
 BLOCK_BITS = 12
 SPACE = ["kind", "stem", "tail", "block"]
@@ -90,20 +92,21 @@ def references_of(notes: DataFrame) -> DataFrame:
     )
 
 
-def dangling_references(notes: DataFrame, diary: DataFrame, edges: DataFrame, removals: DataFrame) -> DataFrame:
+def dangling_references(notes: DataFrame, diary: DataFrame, edges: DataFrame, removals: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``note_id, field, reason, period`` of each reference whose parent is missing, removed or came in after the note."""
     parents = None
     for kind, df in (("note", notes), ("diary", diary), ("edge", edges)):
         part = df.where("id is not null").select(F.lit(kind).alias("kind"), "id", "ingested_at")
         parents = part if parents is None else parents.unionByName(part)
     refs = references_of(notes)
-    asked = with_key(refs.groupBy("kind", "ref").agg(F.min("note_at").alias("first_at")), "ref")
+    asked = materialize(with_key(refs.groupBy("kind", "ref").agg(F.min("note_at").alias("first_at"), F.count(F.lit(1)).alias("n_rows")), "ref"), "references")
     matched = match_runs(asked.select(*SPACE, "key", "ref", "first_at"), parent_runs(parents))
     problem = matched.where("not found or parent_at > first_at").select("kind", "ref", "found", "parent_at")
     removed = removals.where("id is not null").select("kind", F.col("id").alias("ref"), F.lit(True).alias("was_removed")).distinct()
     problem = problem.join(removed, ["kind", "ref"], "left")
     reason = F.when(F.col("found"), F.when(F.col("parent_at") > F.col("note_at"), "late")).when(F.col("was_removed"), "removed").otherwise("missing")
-    return refs.join(problem, ["kind", "ref"]).select("note_id", "field", reason.alias("reason"), "period").where("reason is not null").distinct()
+    hot = hot_of(asked, ["kind", "ref"], hot_rows)
+    return spread_join(refs, problem, ["kind", "ref"], "note_id", hot, rows_per_salt=hot_rows).select("note_id", "field", reason.alias("reason"), "period").where("reason is not null").distinct()
 
 
 def dangling_report(dangling: DataFrame) -> DataFrame:

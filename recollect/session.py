@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -36,18 +37,24 @@ def build_session(app: str = "recollect", master: str | None = None, **conf: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``, which every executor can reach.
+    """This application's folder below ``spark.checkpoint.dir``, which every executor can reach; it is deleted when the application ends.
 
-    Only where that setting is missing (local tests) a temporary folder is made and used.
+    Only in local mode a missing setting gives a temporary folder; on a cluster it is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             local = tempfile.mkdtemp(prefix="recollect-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             base = f"file://{local}"
         _ROOTS[app] = f"{base.rstrip('/')}/recollect-{app}"
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
     return _ROOTS[app]
 
 
@@ -56,29 +63,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that survives executors."""
+def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that survives executors.
+
+    ``partitions`` is the number of shuffle partitions of this step, for steps that know the size of what they shuffle.
+    """
     path = scratch_path(df.sparkSession, name)
-    with freeing_shuffles(df.sparkSession):
+    with freeing_shuffles(df.sparkSession), setting(df.sparkSession, "spark.sql.shuffle.partitions", partitions and str(partitions)):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes an execution's shuffle files when it ends. For writes that cut the lineage: nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str | None) -> Iterator[None]:
+    """Inside, the session setting ``key`` is ``value``; None leaves it as it is."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    if value is not None:
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
+        if value is not None and before is None:
             spark.conf.unset(key)
-        else:
+        elif value is not None:
             spark.conf.set(key, before)
 
 
+def freeing_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside, Spark deletes an execution's shuffle files when it ends. For writes that cut the lineage: nothing reads them again."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -12,9 +12,9 @@ def at(day):
     return datetime(2024, 3, day)
 
 
-def check(spark, notes, diary=(), edges=(), removals=()):
+def check(spark, notes, diary=(), edges=(), removals=(), **kw):
     df = dangling_references(
-        spark.createDataFrame([(*n, "extra", 1) for n in notes], NOTE), spark.createDataFrame(list(diary), ROW), spark.createDataFrame(list(edges), ROW), spark.createDataFrame(list(removals), "kind string, id string")
+        spark.createDataFrame([(*n, "extra", 1) for n in notes], NOTE), spark.createDataFrame(list(diary), ROW), spark.createDataFrame(list(edges), ROW), spark.createDataFrame(list(removals), "kind string, id string"), **kw
     )
     return sorted(tuple(r) for r in df.collect())
 
@@ -37,7 +37,8 @@ def test_reasons_and_spellings(spark):
 
 def test_one_parent_named_by_all_and_empty_tables(spark):
     notes = [(f"n{i}", at(2), at(2), ("gone", None, None)) for i in range(500)]
-    assert check(spark, notes) == sorted((f"n{i}", "parentNoteId", "missing", "2024-03") for i in range(500))
+    for hot_rows in (50, 100_000):
+        assert check(spark, notes, hot_rows=hot_rows) == sorted((f"n{i}", "parentNoteId", "missing", "2024-03") for i in range(500))
     assert check(spark, []) == []
 
 
