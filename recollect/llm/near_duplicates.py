@@ -14,9 +14,15 @@ record may also play the smaller one; only such replicas meet the others. Finger
 one record only changes one bit, hence records whose fingerprints differ in more bits than the threshold allows are dropped unseen,
 without loss. A second fingerprint of 256 parity bits thins what remains, and the word sets decide exactly.
 
+Anchors that could be hot are counted over all records before any record goes there: an anchor holds at most as many records as its
+rarest word, and where that bound is over ``PAIR_ROWS`` the anchor's records are counted, by cells of a fixed number, so a count is never too
+low. A hot anchor is split by each further word its pairs must share, which lies one place further at most, for up to ``ROUNDS`` rounds
+of counting. What is hot even then is text that really shares that many words; its join is left to adaptive skew handling.
+
 Equal word sets form one class first; links are found between classes and members expanded only where the result is pairs of
-records. The order of words uses a sketch of word frequencies over all records, of bounded size; a wrong estimate costs time, never
-a link. A binary covering code over bit fingerprints cannot give this result: at 30 words and 0.7 a pair differs in up to 10 bits,
+records. A class of copies is collapsed in the task that reads it: its words travel once per task, and the other copies are slim rows
+spread by their own id, so a class with a third of all records is no task's burden. The order of words uses a sketch of word
+frequencies over all records, one byte for each of 2^24 cells whatever the data's size; a wrong estimate costs time, never a link. A binary covering code over bit fingerprints cannot give this result: at 30 words and 0.7 a pair differs in up to 10 bits,
 and perfect codes of radius 1 to 3 then need thousands of replicas per record.
 
 Defined results: null content and records with fewer than ``min_words`` distinct words are left out; a redelivered row is one record;
@@ -31,23 +37,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.text import WORD
-from recollect.operators.skew import pairs_in_groups
-from recollect.session import freeing_shuffles, scratch_path
+from recollect.operators.skew import HOT_ROWS, hot_groups, pairs_in_groups, spread_join
+from recollect.session import freeing_shuffles, materialize, scratch_path
 
 MIN_WORDS = 20
 SHARE = (7, 10)
 RARE_ROWS = 500
 PAIR_ROWS = 2000
 CLASSES = 4
-SKETCH_BITS = (18, 24)
+ROUNDS = 3
+CELL_BITS = 24
+BLOCK_BITS = 16
+STEPS = 8
 WIDE = 48
 PRINT_BITS = (54, 64)
 SIZE_LIMIT = (1 << 9) - 1
 HASH_CACHE = 1 << 20
+SEEN_KEYS = 1 << 18
+ROWS_PER_BUCKET = 20_000
+ROWS_PER_PARTITION = 8_000
+MOST_BUCKETS = 100_000
 DICTIONARY_BYTES = 16 << 20
 PARITY = [f"parity{i}" for i in range(4)]
 
@@ -58,15 +70,20 @@ def contents(df: DataFrame, kind: str) -> DataFrame:
 
 
 def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``ref, k1, k2, words``: the sorted distinct word hashes of each record with enough of them, and two hashes of the set."""
+    """``b, k1, k2, ref, words``: the sorted distinct word hashes of each record with enough of them, and two hashes of the set.
+
+    A task gives the words of a set once, with ``b = k1``; its further copies have null words and a ``b`` of their own. (Keys seen
+    are forgotten now and then, which only gives some words once more.)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import xxhash
 
-        find, cache = regex.compile(WORD).findall, {}
+        find, cache, seen = regex.compile(WORD).findall, {}, set()
         for batch in batches:
-            keep, flat, sizes, keys = [], [], [], []
+            keep, sizes, keys, flat, own = [], [], [], [], []
+            refs = batch.column(0).to_pylist()
             for at, text in enumerate(batch.column(1).to_pylist()):
                 words = set(find(text.lower()))
                 if len(words) < min_words:
@@ -80,59 +97,78 @@ def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         h = cache[w] = xxhash.xxh3_64_intdigest(w.encode())
                     hashes.append(h)
                 hashes = np.unique(np.array(hashes, np.uint64).view(np.int64))
+                key = xxhash.xxh3_128_digest(hashes.tobytes())
+                again = key in seen
+                if not again:
+                    if len(seen) > SEEN_KEYS:
+                        seen.clear()
+                    seen.add(key)
+                    flat.append(hashes)
                 keep.append(at)
-                flat.append(hashes)
-                sizes.append(len(hashes))
-                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(0 if again else len(hashes))
+                keys.append(key)
+                own.append(xxhash.xxh3_64_intdigest(key + refs[at].encode()) if again else None)
             if keep:
                 both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                again = np.array([x is not None for x in own])
+                spread = np.where(again, np.array([x or 0 for x in own], np.uint64).view(np.int64), both[:, 0])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), words], names=["ref", "k1", "k2", "words"])
+                words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)), mask=pa.array(again))
+                columns = [pa.array(spread), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(pa.array(keep)), words]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "k1", "k2", "ref", "words"])
 
-    return records.where("ref is not null and content is not null").select("ref", "content").mapInArrow(run, "ref string, k1 bigint, k2 bigint, words array<bigint>")
+    return records.where("ref is not null and content is not null").select("ref", "content").mapInArrow(run, "b bigint, k1 bigint, k2 bigint, ref string, words array<bigint>")
 
 
-def word_classes(records: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal word sets ``k1, k2, n, words, parity*`` and their members ``k1, k2, ref``; a class is named by ``k1, k2``.
+def word_classes(records: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """Classes of equal word sets ``k1, k2, ref, n, words, parity*``, their other members ``k1, k2, ref``, and the number of records.
 
-    Both are one table, written bucketed by ``k1``: it meets candidate pairs and links without being shuffled again. The first member of
-    a class holds its words.
+    A class is named by ``k1, k2`` and has one of its records as ``ref``; the others may name it again. The table of classes is bucketed by
+    ``k1``: it meets candidate pairs and links without being shuffled again. The number of buckets grows with the records.
     """
     spark = records.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = records.count()
+    parts = min(max(-(-rows // ROWS_PER_BUCKET), 2), MOST_BUCKETS)
     path = scratch_path(spark, "word-classes")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    names = ["k1", "k2", "ref", "n", "words", *PARITY]
+    names = ["c1", "k1", "k2", "ref", "n", "words", *PARITY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_ref = None, None
+        last_key, last_ref, of_class = None, None, None
         for batch in batches:
-            k1, k2, refs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            k1, k2, refs, slim = (batch.column(i).to_pylist() for i in (1, 2, 3, 5))
             keep, first = [], []
             for at, key in enumerate(zip(k1, k2)):
                 if key == last_key and refs[at] == last_ref:
                     continue
                 keep.append(at)
-                first.append(key != last_key)
+                first.append(not slim[at] and key != of_class)
                 last_key, last_ref = key, refs[at]
+                if not slim[at]:
+                    of_class = key
             if not keep:
                 continue
-            rows = batch.take(pa.array(keep))
-            own = pa.array(first)
-            words = pa.compute.if_else(own, rows.column(3), pa.scalar(None, rows.column(3).type))
-            sizes = pa.compute.list_value_length(rows.column(3))
-            lists = rows.column(3)
-            parity = parities(lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), sizes, words, *[pa.array(parity[:, i], mask=~np.array(first)) for i in range(4)]], names=names)
-
-    once = word_sets(records, min_words).select("k1", "k2", "ref", "words").repartition(parts, "k1").sortWithinPartitions("k1", "k2", "ref")
-    columns = "k1 bigint, k2 bigint, ref string, n int, words array<bigint>, " + ", ".join(f"{c} bigint" for c in PARITY)
+            rows, own = batch.take(pa.array(keep)), pa.array(first)
+            lists = rows.column(4)
+            words = pa.compute.if_else(own, lists, pa.scalar(None, lists.type))
+            sizes = pa.compute.list_value_length(words)
+            flat, counts = words.flatten().to_numpy(zero_copy_only=False), pa.compute.fill_null(sizes, 0).to_numpy()
+            parity = parities(flat, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(0), rows.column(2), rows.column(3), sizes, words, *[pa.array(parity[:, i], mask=~np.array(first)) for i in range(4)]], names=names)
+
+    once = word_sets(records, min_words).withColumn("slim", F.col("words").isNull()).repartition(parts, "b").sortWithinPartitions("b", "k1", "k2", "slim", "ref")
+    columns = "c1 bigint, k1 bigint, k2 bigint, ref string, n int, words array<bigint>, " + ", ".join(f"{c} bigint" for c in PARITY)
     spark.sql(f"create table {name} ({columns}) using parquet options (`parquet.dictionary.page.size` '{DICTIONARY_BYTES}', compression 'zstd') clustered by (k1) into {parts} buckets location '{path}'")
     with freeing_shuffles(spark):
         once.mapInArrow(run, columns).write.insertInto(name)
     table = spark.table(name)
-    return table.where("words is not null").drop("ref"), table.select("k1", "k2", "ref")
+    others = table.where("n is null").select(F.col("c1").alias("k1"), "k2", "ref").distinct()
+    return table.where("n is not null").drop("c1"), materialize(others, "class-members"), rows
+
+
+def partitions_for(classes: DataFrame, rows: int) -> int:
+    """Shuffle partitions for what ``rows`` records are replicated to."""
+    return max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-rows // ROWS_PER_PARTITION), MOST_BUCKETS))
 
 
 def parities(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,15 +180,42 @@ def parities(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def frequency_sketch(classes: DataFrame, bits: int) -> np.ndarray:
-    """Counts of words by hash, capped at the type's limit: ``2 ** bits`` entries whatever the data's size."""
-    cells = classes.select(F.explode("words").alias("w")).groupBy(F.shiftrightunsigned("w", 64 - bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    sketch = np.zeros(1 << bits, np.int32)
-    packed = cells.select(F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), F.col("cell").cast("int").alias("cell"))
-    with freeing_shuffles(classes.sparkSession):
-        got = packed.toArrow()
-    sketch[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return sketch
+def cell_levels(cells: DataFrame) -> np.ndarray:
+    """One byte for each of 2^24 cells out of ``cell, level`` (0 where missing), packed by tasks: 16 MB reach the driver at most."""
+    size = 1 << BLOCK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in np.unique(cell >> BLOCK_BITS):
+                mine = (cell >> BLOCK_BITS) == block
+                blocks.setdefault(int(block), np.zeros(size, np.uint8))[cell[mine] & (size - 1)] = level[mine]
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks.values()], pa.binary())], names=["block", "bytes"])
+
+    import zlib
+
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    packed = cells.repartition(8, F.shiftright("cell", BLOCK_BITS)).mapInArrow(run, "block int, bytes binary")
+    with freeing_shuffles(cells.sparkSession):
+        for block, data in packed.collect():  # at most 2^8 rows of 2^16 bytes
+            out[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as steps of an eighth of a power of two, rounded up; 0 for one and none."""
+    return np.minimum(np.ceil(STEPS * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
+
+
+def frequency_sketch(classes: DataFrame) -> np.ndarray:
+    """Levels of the number of classes that hold a word, by cell of its hash. Words of one class alone are not sent."""
+    cells = classes.select(F.explode("words").alias("w")).groupBy(F.shiftrightunsigned("w", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.ceil(F.log2("n") * STEPS), F.lit(255)).cast("int")
+    return cell_levels(cells.where("n > 1").select("cell", level.alias("level")))
 
 
 def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -167,11 +230,23 @@ def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
 
 
 class AnchorCover:
-    """Replicates records to anchors. ``sketch`` orders words, ``rows`` is the number of records it was made of."""
+    """Replicates records to anchors. ``sketch`` gives the levels of words, ``hot`` per round which cells of anchors are hot."""
 
-    def __init__(self, sketch: np.ndarray, rows: int, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, pair: int = PAIR_ROWS):
-        self.sketch, self.rows, self.rare, self.share, self.pair = sketch, max(rows, 1), rare, share, pair
+    def __init__(self, sketch: np.ndarray, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, pair: int = PAIR_ROWS):
+        self.sketch, self.rare, self.share, self.pair = sketch, rare, share, pair
         self.shift = np.uint64(64 - (len(sketch).bit_length() - 1))
+        self.hot: list[np.ndarray] = []
+
+    @staticmethod
+    def rounds(min_words: int, share: tuple[int, int]) -> int:
+        """How often a hot anchor may be split: all pairs must share enough words for one more."""
+        return max(0, min(ROUNDS, -(-share[0] * min_words // share[1]) - CLASSES - 1))
+
+    def is_hot(self, depth: int, key: np.ndarray) -> np.ndarray:
+        if depth >= len(self.hot):
+            return np.zeros(len(key), bool)
+        cell = (key >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        return (self.hot[depth][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
     def misses(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words a record of ``n`` may miss as the larger and as the smaller of a pair: with at least p/q of all words shared,
@@ -181,50 +256,75 @@ class AnchorCover:
 
     def anchors(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Record number, anchor and role (whether the record may be the smaller one) of each replica."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._each(words, offsets, out, None)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def suspects(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Anchors of the round after those in ``hot`` that may hold more than ``pair`` records, once per record."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        self._each(words, offsets, None, out)
+        return np.concatenate(out)
+
+    def _each(self, words: np.ndarray, offsets: np.ndarray, out: list | None, suspects: list | None) -> None:
         n = np.diff(offsets)
         rec = np.repeat(np.arange(len(n)), n)
         seen = self.sketch[(words.view(np.uint64) >> self.shift).astype(np.int64)]
-        larger, smaller = (m - np.bincount(rec[seen == 1], minlength=len(n)) for m in self.misses(n))
-        kept = (seen > 1) & (larger[rec] >= 0)
+        larger, smaller = (m - np.bincount(rec[seen == 0], minlength=len(n)) for m in self.misses(n))
+        kept = (seen > 0) & (larger[rec] >= 0)
         order = np.flatnonzero(kept)[np.lexsort((words[kept], seen[kept], rec[kept]))]
-        rec, w, e = rec[order], words[order].view(np.uint64), seen[order].astype(np.float64)
+        rec, w, e = rec[order], words[order].view(np.uint64), np.exp2(seen[order] / STEPS)
         first = np.searchsorted(rec, np.arange(len(n)))
         position = np.arange(len(rec)) - first[rec]
         rare = e <= self.rare
-        single = rare & (position <= larger[rec])
-        out = [(rec[single], _mix(w[single]), position[single] <= smaller[rec[single]])]
+        if out is not None:
+            single = rare & (position <= larger[rec])
+            out.append((rec[single], _mix(w[single]), position[single] <= smaller[rec[single]]))
         n_rare = np.bincount(rec[rare], minlength=len(n))
-        self._pairs(w, e, first + n_rare, np.bincount(rec, minlength=len(n)) - n_rare, larger - n_rare, smaller - n_rare, out)
-        return tuple(np.concatenate(x) for x in zip(*out))
+        self._pairs(w, e, first + n_rare, np.bincount(rec, minlength=len(n)) - n_rare, larger - n_rare, smaller - n_rare, out, suspects)
 
-    def _pairs(self, w, e, start, count, larger, smaller, out) -> None:
-        """Anchors of two or three frequent words: ``start`` and ``count`` say where a record's frequent words are."""
+    def _pairs(self, w, e, start, count, larger, smaller, out, suspects) -> None:
+        """Anchors of two or more frequent words: ``start`` and ``count`` say where a record's frequent words are."""
         reach = np.where(larger >= 0, np.minimum(larger + CLASSES, count - 1), -1)
         kind = ((w >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int8)
         for r in np.flatnonzero(reach >= WIDE):
             for c in range(CLASSES):
                 at = start[r] + np.flatnonzero(kind[start[r] : start[r] + reach[r] + 1] == c)
                 i, j = np.triu_indices(len(at), 1)
-                self._leaves(np.full(len(i), r), at[i], at[j], w, e, start, count, larger, smaller, out)
+                self._leaves(np.full(len(i), r), at[i], at[j], w, e, start, count, larger, smaller, out, suspects)
         narrow = np.where(reach < WIDE, reach, -1)
         for i in range(int(narrow.max(initial=-1))):
             for j in range(i + 1, int(narrow.max()) + 1):
                 r = np.flatnonzero(narrow >= j)
                 r = r[kind[start[r] + i] == kind[start[r] + j]]
                 if len(r):
-                    self._leaves(r, start[r] + i, start[r] + j, w, e, start, count, larger, smaller, out)
-
-    def _leaves(self, r, a, b, w, e, start, count, larger, smaller, out) -> None:
-        """Code words of two words, or of these and each later word within reach where the two are too frequent."""
-        key, done = _mix(w[a], w[b]), e[a] * e[b] / self.rows <= self.pair
-        may = (smaller[r] >= 0) & (b - start[r] <= smaller[r] + CLASSES)
-        out.append((r[done], key[done], may[done]))
-        r, key, k = r[~done], key[~done], b[~done] + 1
+                    self._leaves(r, start[r] + i, start[r] + j, w, e, start, count, larger, smaller, out, suspects)
+
+    def _leaves(self, r, a, b, w, e, start, count, larger, smaller, out, suspects) -> None:
+        """Code words of two words, or where these are hot of them and each later word within reach, and so on.
+
+        An anchor holds no more records than its rarest word, the first; only where that is too many can it be hot.
+        """
+        key, depth, may_grow = _mix(w[a], w[b]), 0, e[a] > self.pair
         while len(r):
-            inside = k - start[r] <= np.minimum(larger[r] + CLASSES + 1, count[r] - 1)
-            r, key, k = r[inside], key[inside], k[inside]
-            out.append((r, _mix(key, w[k]), (smaller[r] >= 0) & (k - start[r] <= smaller[r] + CLASSES + 1)))
-            k = k + 1
+            if suspects is not None and depth == len(self.hot):
+                suspects.append(key[may_grow])
+                return
+            hot = may_grow & self.is_hot(depth, key)
+            if out is not None:
+                done = ~hot
+                out.append((r[done], key[done], (smaller[r[done]] >= 0) & (b[done] - start[r[done]] <= smaller[r[done]] + CLASSES + depth)))
+            r, key, k = r[hot], key[hot], b[hot] + 1
+            grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            while len(r):
+                inside = k - start[r] <= np.minimum(larger[r] + CLASSES + 1 + depth, count[r] - 1)
+                r, key, k = r[inside], key[inside], k[inside]
+                grown.append((r, _mix(key, w[k]), k))
+                k = k + 1
+            if not grown:
+                return
+            r, key, b = (np.concatenate(x) for x in zip(*grown))
+            depth, may_grow = depth + 1, np.ones(len(r), bool)
 
 
 def fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,20 +360,45 @@ def anchor_rows(classes: DataFrame, cover: AnchorCover) -> DataFrame:
     return classes.select("k1", "n", "words").mapInArrow(run, "anchor bigint, k1 bigint, info bigint, more bigint")
 
 
-def class_links(classes: DataFrame, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, bits: int | None = None, pair: int = PAIR_ROWS) -> DataFrame:
-    """``a1, a2, b1, b2``: every two different classes whose word sets share at least ``share`` of all their words."""
+def hot_anchors(classes: DataFrame, cover: AnchorCover) -> np.ndarray | None:
+    """Bits of the cells of the next round's anchors that hold more than ``cover.pair`` records; None where there are none."""
+    shared = classes.sparkSession.sparkContext.broadcast(cover)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            found = [np.zeros(0, np.uint64)]
+            for at in range(0, whole.num_rows, 2000):
+                lists = whole.slice(at, 2000).column(0)
+                found.append(shared.value.suspects(lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()))
+            cell, n = np.unique((np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
+            if len(cell):
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    counted = classes.select("words").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > cover.pair)
+    hot = cell_levels(counted.select("cell", F.lit(1).alias("level")))
+    shared.destroy()
+    return np.packbits(hot, bitorder="little") if hot.any() else None
+
+
+def class_links(classes: DataFrame, rows: int, min_words: int = MIN_WORDS, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, pair: int | None = None) -> DataFrame:
+    """``a1, a2, ra, b1, b2, rb``: every two different classes whose word sets share at least ``share`` of all their words."""
     p, q = share
-    rows = classes.count()
-    bits = bits if bits is not None else min(max((8 * rows).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
-    at = anchor_rows(classes, AnchorCover(frequency_sketch(classes, bits), rows, rare, share, pair))
-    near = meetings(at, p, q)
+    partitions = partitions_for(classes, rows)
+    cover = AnchorCover(frequency_sketch(classes), rare, share, PAIR_ROWS if pair is None else pair)
+    for _ in range(cover.rounds(min_words, share) if (cover.sketch > STEPS * np.log2(max(cover.pair, 1))).any() else 0):
+        hot = hot_anchors(classes, cover)
+        if hot is None:
+            break
+        cover.hot.append(hot)
+    near = meetings(anchor_rows(classes, cover), p, q)
     ends = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in PARITY]) for s in "ab"}
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PARITY), F.lit(0))
     near = near.join(ends["a"], "ka").join(ends["b"], "kb").where(apart * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("ka", "kb").distinct()
-    side = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("k2").alias(f"k2{s}"), F.col("n").alias(f"n{s}"), F.col("words").alias(f"words{s}")) for s in "ab"}
+    near = materialize(near, "near-classes", partitions)
+    side = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("k2").alias(f"k2{s}"), F.col("ref").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("words").alias(f"words{s}")) for s in "ab"}
     both = F.size(F.array_intersect("wordsa", "wordsb"))
     linked = near.join(side["a"], "ka").join(side["b"], "kb").where(both * q >= (F.col("na") + F.col("nb") - both) * p)
-    return linked.select(F.col("ka").alias("a1"), F.col("k2a").alias("a2"), F.col("kb").alias("b1"), F.col("k2b").alias("b2"))
+    return materialize(linked.select(F.col("ka").alias("a1"), F.col("k2a").alias("a2"), "ra", F.col("kb").alias("b1"), F.col("k2b").alias("b2"), "rb"), "class-links", partitions)
 
 
 def meetings(at: DataFrame, p: int, q: int) -> DataFrame:
@@ -295,29 +420,30 @@ def meetings(at: DataFrame, p: int, q: int) -> DataFrame:
     return found.select(F.when(F.col("even"), low).otherwise(F.col("ka")).alias("ka"), F.when(F.col("even"), high).otherwise(F.col("kb")).alias("kb")).distinct()
 
 
-def near_duplicate_pairs(records: DataFrame, min_words: int = MIN_WORDS, share: tuple[int, int] = SHARE, rare: int = RARE_ROWS) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, min_words: int = MIN_WORDS, share: tuple[int, int] = SHARE, rare: int = RARE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``ref_a, ref_b`` of every two records that share at least ``share`` of all their words, equal ones included."""
-    classes, members = word_classes(records, min_words)
-    links = class_links(classes, rare, share)
+    classes, others, rows = word_classes(records, min_words)
+    links, key = class_links(classes, rows, min_words, rare, share), ["k1", "k2"]
+    hot = hot_groups(others, key, hot_rows)
     for end in ("a", "b"):
-        links = of_class(links, members.withColumnRenamed("ref", f"r{end}"), end)
+        names = {f"{end}1": "k1", f"{end}2": "k2"}
+        more = spread_join(others, links.withColumnsRenamed(names), key, "ref", hot, rows_per_salt=hot_rows).where(F.col("ref") != F.col(f"r{end}"))
+        more = more.drop(f"r{end}").withColumnsRenamed({"k1": f"{end}1", "k2": f"{end}2", "ref": f"r{end}"})
+        links = links.unionByName(more)
     across = links.select(F.least("ra", "rb").alias("ref_a"), F.greatest("ra", "rb").alias("ref_b"))
-    several = members.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("k1", "k2"))).where("n > 1")
-    within = pairs_in_groups(several, ["k1", "k2"], "ref").select(F.col("id_a").alias("ref_a"), F.col("id_b").alias("ref_b"))
+    firsts = classes.select(*key, "ref").join(others.select(*key).distinct(), key, "left_semi")
+    members = materialize(firsts.unionByName(others).distinct(), "members-of-several")
+    within = pairs_in_groups(members, key, "ref", hot_rows=hot_rows).select(F.col("id_a").alias("ref_a"), F.col("id_b").alias("ref_b"))
     return across.unionByName(within)
 
 
-def of_class(links: DataFrame, members: DataFrame, end: str) -> DataFrame:
-    """Links with the members of the class at ``end``. The key of the join is ``k1`` alone, so the bucketed members stay in place."""
-    m, at = members.alias("m"), F.col(f"{end}2")
-    return links.join(m, (F.col(f"{end}1") == F.col("m.k1")) & (at <= F.col("m.k2")) & (at >= F.col("m.k2"))).drop("k1", "k2")
-
-
-def near_duplicate_degrees(records: DataFrame, min_words: int = MIN_WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+def near_duplicate_degrees(records: DataFrame, min_words: int = MIN_WORDS, share: tuple[int, int] = SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per record in scope: ``ref, class_id`` (smallest ref with equal words), ``n_equal`` and ``n_near`` classes linked to it."""
-    classes, members = word_classes(records, min_words)
-    links = class_links(classes, RARE_ROWS, share)
+    classes, others, rows = word_classes(records, min_words)
+    links, key = class_links(classes, rows, min_words, RARE_ROWS, share), ["k1", "k2"]
     ends = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionAll(links.select(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
     near = ends.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_near"))
+    members = materialize(classes.select(*key, "ref").unionByName(others).distinct(), "members")
     own = members.groupBy("k1", "k2").agg(F.min("ref").alias("class_id"), F.count(F.lit(1)).alias("n_equal"))
-    return members.join(own.join(near, ["k1", "k2"], "left"), ["k1", "k2"]).select("ref", "class_id", "n_equal", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    hot = hot_groups(others, key, hot_rows)
+    return spread_join(members, own.join(near, key, "left"), key, "ref", hot, rows_per_salt=hot_rows).select("ref", "class_id", "n_equal", F.coalesce("n_near", F.lit(0)).alias("n_near"))

@@ -70,8 +70,8 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_degrees(spark: SparkSession, root: str) -> DataFrame:
-    """One row per record at a similarity of 0.8: its class of equal word sets and the number of classes near it."""
-    return near_duplicates.near_duplicate_degrees(_texts(spark, root), share=(8, 10))
+    """One row per record: its class of equal word sets and the number of classes near it."""
+    return near_duplicates.near_duplicate_degrees(_texts(spark, root))
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -156,19 +156,16 @@ s as (select claim_key, min(id) as lo, max(id) as hi,
     from c group by claim_key)
 """
 
-
-
-def _near_sql(tenths: int) -> str:
-    """Pairs ``ra, rb`` of records that share at least ``tenths`` tenths of all their words, as ``hit``; by an inverted index."""
-    return rf"""
+# Pairs ``ra, rb`` of records that share at least seven tenths of all their words, as ``hit``; by an inverted index.
+_NEAR = r"""
 with recs as (select distinct 'memory:' || id as ref, content from memory_notes union all select distinct 'diary:' || id, content from diary_entries),
-r as (select ref, ws, len(ws) as n from (select ref, list_sort(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'))) as ws from recs where content is not null) where len(ws) >= 20),
+r as (select ref, ws, len(ws) as n from (select ref, list_sort(list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))) as ws from recs where content is not null) where len(ws) >= 20),
 t as (select ref, n, unnest(ws) as word from r), df as (select word, count(*) as d from t group by 1),
 p as (select ref, n, word, row_number() over (partition by ref order by d, word) as pos from t join df using (word)),
-f as (select * from p where pos <= n - (({tenths} * n + 9) // 10) + 1),
+f as (select * from p where pos <= n - ((7 * n + 9) // 10) + 1),
 c as (select distinct a.ref as ra, b.ref as rb from f a join f b on a.word = b.word and a.ref < b.ref),
 hit as (select ra, rb, x.ws as wa, y.ws as wb from c join r x on x.ref = ra join r y on y.ref = rb
-    where len(list_intersect(x.ws, y.ws)) * 10 >= {tenths} * (x.n + y.n - len(list_intersect(x.ws, y.ws))))
+    where len(list_intersect(x.ws, y.ws)) * 10 >= 7 * (x.n + y.n - len(list_intersect(x.ws, y.ws))))
 """
 
 
@@ -187,8 +184,8 @@ _FORMS = (
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
-    "p6_found": _near_sql(7) + "select ra as ref_a, rb as ref_b from hit",
-    "p6_degrees": _near_sql(8)
+    "p6_found": _NEAR + "select ra as ref_a, rb as ref_b from hit",
+    "p6_degrees": _NEAR
     + """, k as (select ref, ws, min(ref) over (partition by ws) as class_id, count(*) over (partition by ws) as n_equal from r),
 l as (select wa as ws, wb as other from hit where wa <> wb union select wb, wa from hit where wa <> wb), d as (select ws, count(*) as n_near from l group by ws)
 select ref, class_id, n_equal, coalesce(n_near, 0) as n_near from k left join d using (ws)""",

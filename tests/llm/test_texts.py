@@ -106,10 +106,15 @@ def test_reach_covers_all_ways_to_miss_words():
             base = r.choice(vocab, int(r.integers(20, 58)), replace=False)
             keep = base[r.random(len(base)) > r.random() * 0.25]
             sets += [np.unique(base), np.unique(np.concatenate([keep, r.choice(vocab, int(r.integers(0, 6)))]))]
-        sets = [s for s in sets if len(s) >= 5]
+        sets = [s for s in sets if len(s) >= 20]
         flat, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        sketch = np.bincount((flat.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1 << 10).astype(np.int32)
-        rec, anchor, smaller = near_duplicates.AnchorCover(sketch, len(sets), int(r.integers(0, 30)), pair=float(r.integers(0, 5))).anchors(flat, offsets)
+        sketch = near_duplicates.levels(np.bincount((flat.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1 << 10))
+        cover = near_duplicates.AnchorCover(sketch, int(r.integers(0, 30)), pair=int(r.integers(0, 5)))
+        for _ in range(int(r.integers(0, 1 + cover.rounds(20, near_duplicates.SHARE)))):
+            found = cover.suspects(flat, offsets) >> np.uint64(64 - near_duplicates.CELL_BITS)
+            hot = np.bincount(found.astype(np.int64), minlength=1 << near_duplicates.CELL_BITS) > cover.pair
+            cover.hot.append(np.packbits(hot, bitorder="little"))
+        rec, anchor, smaller = cover.anchors(flat, offsets)
         at = [(set(anchor[rec == i]), set(anchor[(rec == i) & smaller])) for i in range(len(sets))]
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
@@ -131,8 +136,47 @@ def test_near_duplicates_of_odd_rows(spark):
 
 def test_one_class_with_a_third_of_all_records(spark):
     text = " ".join(f"word{i}" for i in range(25))
-    rows = [(f"r{i:03d}", text if i % 3 == 0 else " ".join(f"u{i}x{k}" for k in range(22))) for i in range(150)]
-    assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(records(spark, rows)).collect()} == brute(rows)
+    rows = [(f"r{i:03d}", text if i % 3 == 0 else text + " more" if i == 1 else " ".join(f"u{i}x{k}" for k in range(22))) for i in range(150)]
+    for hot_rows in (5, 100_000):
+        assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(records(spark, rows), hot_rows=hot_rows).collect()} == brute(rows)
+        degrees = {r.ref: (r.class_id, r.n_equal, r.n_near) for r in near_duplicates.near_duplicate_degrees(records(spark, rows), hot_rows=hot_rows).collect()}
+        assert len(degrees) == 150 and degrees["r003"] == ("r000", 50, 1) and degrees["r001"] == ("r001", 1, 1)
+
+
+def test_a_hot_class_is_spread_over_the_tasks(spark, monkeypatch):
+    """Two thirds of all records are copies: no bucket takes more than its share of rows, and words travel once per reading task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_duplicates, "ROWS_PER_BUCKET", 100)
+    text = " ".join(f"word{i}" for i in range(25))
+    rows = [(f"r{i:04d}", text if i % 3 else " ".join(f"u{i}x{k}" for k in range(22))) for i in range(1200)]
+    classes, others, n = near_duplicates.word_classes(records(spark, rows).repartition(4))
+    assert n == 1200 and classes.count() == 401 and others.where(F.col("ref").isNotNull()).count() >= 799
+    per_task = [r.n for r in near_duplicates.word_sets(records(spark, rows).repartition(4)).repartition(12, "b").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) == 12 and max(per_task) < 2 * 1200 / 12
+    with_words = near_duplicates.word_sets(records(spark, rows).repartition(4)).where("words is not null").groupBy("k1", "k2").count().agg(F.max("count")).first()[0]
+    assert with_words <= 4
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """Records of a small common vocabulary: hot anchors are counted and split, so none is met by as many records, and no pair is lost."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(f"r{i:03d}", " ".join(r.sample(vocab, 30))) for i in range(300)]
+    rows += [(f"s{i:03d}", f"{t} more") for i, (_, t) in enumerate(rows[::10])]
+    most = {}
+    for pair in (40, 10**6):
+        monkeypatch.setattr(near_duplicates, "PAIR_ROWS", pair)
+        classes, _, n = near_duplicates.word_classes(records(spark, rows))
+        cover = near_duplicates.AnchorCover(near_duplicates.frequency_sketch(classes), rare=3, pair=pair)
+        while len(cover.hot) < cover.rounds(20, near_duplicates.SHARE) and (hot := near_duplicates.hot_anchors(classes, cover)) is not None:
+            cover.hot.append(hot)
+        met = near_duplicates.anchor_rows(classes, cover).groupBy("anchor").agg(F.sum(F.col("info").bitwiseAND(F.lit(1))).alias("small"), F.count("*").alias("n"))
+        most[pair] = met.agg(F.max(F.col("small") * F.col("n"))).first()[0]
+        assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(records(spark, rows), rare=3).collect()} == brute(rows)
+    assert most[40] < most[10**6] / 2
 
 
 def test_lookalikes(spark):
