@@ -1,11 +1,16 @@
 """Change feeds applied as a log-structured merge (problem 4).
 
-Transactions are appended as runs. A run is two Parquet tables: ``ops``, one slim row per operation, range-partitioned and sorted
-by object key and sequence (``tx_id``, position in the transaction), and ``commits``, which transactions carry which mutation id.
-Runs are merged on read by key: the greatest sequence of each key wins, combined within the sorted files before rows move;
-a last operation that removes is a tombstone. ``fan_in`` runs of one level are compacted into one run of the next level, in which repeated frames are gone. Superseded operations stay: a late
-transaction with a lower ``tx_id`` can still take a mutation id away from the transaction that seems to own it, and the
-operations under that one would then show again.
+Transactions are appended as runs of one table, which is bucketed by object key and sorted by key and sequence (``tx_id``, position in the
+transaction). A row is one slim operation, or the commit of a mutation id, kept as an object of kind ``mutation``. A read is a k-way
+merge: the task of a bucket takes that bucket's file of each run, which is an ascending run of rows, merges them by the in-task sort
+(TimSort, which merges the ascending runs it finds) and keeps the greatest sequence of each key in one pass; no operation is shuffled before
+that. A last operation that removes is a tombstone. A key's bucket changes with its block of ``tx_id``, so a key with a third of all operations is
+many buckets' work, and the blocks' last rows are combined by key.
+
+``fan_in`` runs of one level are compacted into one run of the next level, bucket by bucket. What can never show again is dropped there: repeated frames
+and transactions without effect (a mutation id's owner only ever moves to a lower ``tx_id``). Superseded operations stay while a late
+transaction with a lower ``tx_id`` could take the mutation id of what superseded them. ``compact`` takes watermarks, the highest ``tx_id`` of
+each store below which nothing arrives any more; up to there only what exists is kept, tombstones go too.
 
 Defined results: transactions with a null store, tx_id or ops are no transactions and left out; a null ``mutation_id``
 belongs to its transaction alone; ops of an unknown type or without a top-level string ``id`` have no effect; a remove of an
@@ -14,6 +19,7 @@ absent object does nothing (of an absent node, it takes no edges either); an emp
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass, field
 
@@ -21,13 +27,60 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.session import delete_path, freeing_shuffles, last_manifest, publish_manifest, scratch_path
+from recollect.operators.skew import HOT_ROWS, hot_groups, hot_of, spread_join
+from recollect.session import delete_path, freeing_shuffles, last_manifest, materialize, publish_manifest, scratch_path
 
 # Operation types of the log.
 OP_TYPE = r"^ether\.(note|diary|graph-node|graph-edge)\.(put|remove)$"
 KEY = ["store_id", "obj_kind", "obj_id"]
 SEQ = ["tx_id", "op_ord"]
 BLOCK = 1 << 16
+CLUSTER = [*KEY, "block"]
+MUTATION = "mutation"
+ROW = "store_id string, obj_kind string, obj_id string, block decimal(38,0), tx_id decimal(38,0), op_ord int, is_put boolean, source string, target string"
+TRANSACTIONS_PER_BUCKET = 30_000
+MOST_BUCKETS = 100_000
+# Rows of transactions without effect that a broadcast takes, about 8 MB; more are joined by shuffle.
+SMALL = 1 << 17
+
+
+def log_rows(transactions: DataFrame) -> DataFrame:
+    """The rows of a run: every operation, and for each mutation id its transaction, from one pass over ``transactions``."""
+    op, is_commit = F.col("op"), F.col("op.type").isNull()
+    own = F.filter(F.transform("ops", lambda o: F.struct(F.coalesce(o["type"], F.lit("")).alias("type"), o["payload"].alias("payload"))), lambda o: o["type"].rlike(OP_TYPE))
+    commit = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("payload")))
+    body = F.from_json(op["payload"], "id string, source string, target string")
+    kind = F.when(is_commit, MUTATION).otherwise(F.regexp_extract(op["type"], OP_TYPE, 1))
+    return (
+        transactions.where("store_id is not null and tx_id is not null and ops is not null")
+        .select("store_id", "tx_id", "mutation_id", F.posexplode(F.concat(commit, own)).alias("op_ord", "op"))
+        .select("store_id", kind.alias("obj_kind"), F.regexp_extract(op["type"], OP_TYPE, 2).alias("verb"), "tx_id", "op_ord", "mutation_id", body.alias("body"))
+        .select("*", F.when(F.col("obj_kind") == MUTATION, F.col("mutation_id")).otherwise(F.col("body.id")).alias("obj_id"))
+        .where("obj_id is not null")
+        .select(
+            *KEY,
+            F.floor(F.col("tx_id") / BLOCK).cast("decimal(38,0)").alias("block"),
+            *SEQ,
+            F.coalesce(F.col("verb") == "put", F.lit(False)).alias("is_put"),
+            *[F.when((F.col("verb") == "put") & (F.col("obj_kind") == "graph-edge"), F.col(f"body.{c}")).alias(c) for c in ("source", "target")],
+        )
+    )
+
+
+def without_effect(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``store_id, tx_id`` of the transactions in ``rows`` whose mutation id a lower ``tx_id`` owns. Written once, few as they are."""
+    commits, key = rows.where(F.col("obj_kind") == MUTATION).select("store_id", "obj_id", "tx_id"), ["store_id", "obj_id"]
+    owners = commits.groupBy(*key).agg(F.min("tx_id").alias("owner_tx"), F.max("tx_id").alias("last_tx"), F.count(F.lit(1)).alias("n_rows")).where("owner_tx < last_tx")
+    owners = materialize(owners, "owners")
+    lost = spread_join(commits, owners.drop("n_rows"), key, "tx_id", hot_of(owners, key, hot_rows), rows_per_salt=hot_rows).where("tx_id > owner_tx")
+    return materialize(lost.select("store_id", "tx_id").distinct(), "without-effect")
+
+
+def effective(rows: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """``rows`` of transactions with effect, and whether they are still in their buckets."""
+    lost = without_effect(rows, hot_rows)
+    in_place = lost.count() <= SMALL
+    return rows.join(F.broadcast(lost) if in_place else lost, ["store_id", "tx_id"], "left_anti").select(*rows.columns), in_place
 
 
 def explode_ops(transactions: DataFrame) -> DataFrame:
@@ -76,21 +129,26 @@ def without_replays(ops: DataFrame, commits: DataFrame) -> DataFrame:
     return o.join(c, same & (F.col("o.tx_id") > F.col("c.owner_tx")), "left_anti")
 
 
-def merge_runs(ops: DataFrame) -> DataFrame:
-    """The state after all operations: one row per object that exists, with the transaction of its last put.
+def merge_runs(ops: DataFrame, cut: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The state after all operations: one row per object that exists, with its last put: ``store_id, obj_kind, obj_id, tx_id, op_ord, source, target``.
 
-    The last operation of a key is its greatest sequence, an algebraic aggregate that combines before the shuffle, so a key with a third
-    of all operations is no burden. An edge lives if no effective remove of either end comes after its last put.
+    The last operation of a key is its greatest sequence. Rows of a log's buckets (with ``block``) are merged in their bucket first; any others
+    combine map-side, so a key with a third of all operations is no burden. An edge lives if no effective remove of
+    either end comes after its last put. ``cut`` writes the last puts once and spreads the edges of hot nodes; for large logs.
     """
-    last = ops.groupBy(*KEY).agg(F.max(F.struct(*SEQ, "is_put", "source", "target")).alias("last"))
+    this = F.max(F.struct(*SEQ, "is_put", "source", "target"))
+    last = ops.groupBy(*CLUSTER).agg(this.alias("last")).groupBy(*KEY).agg(F.max("last").alias("last")) if "block" in ops.columns else ops.groupBy(*KEY).agg(this.alias("last"))
     objects = last.where("last.is_put").select(*KEY, "last.*").drop("is_put")
+    if cut:
+        objects = materialize(objects, "last-puts")
     gone = effective_removes(ops)
-    edges = objects.where("obj_kind = 'graph-edge'").withColumn("put_seq", F.struct(*SEQ)).alias("e")
+    edges = objects.where("obj_kind = 'graph-edge'")
     for end in ("source", "target"):
-        g = gone.alias("g")
-        hit = (F.col("e.store_id") == F.col("g.store_id")) & (F.col(f"e.{end}") == F.col("g.node_id")) & (F.col("g.removed_seq") > F.col("e.put_seq"))
-        edges = edges.join(g, hit, "left_anti").alias("e")
-    return objects.where("obj_kind != 'graph-edge'").select(*KEY, "tx_id").unionByName(edges.select(*KEY, "tx_id"))
+        at = edges.withColumn("node_id", F.col(end))
+        key, g = ["store_id", "node_id"], gone
+        met = spread_join(at, g, key, "obj_id", hot_groups(at, key, hot_rows), "left", hot_rows) if cut else at.join(g, key, "left")
+        edges = met.where(F.coalesce(F.col("removed_seq") <= F.struct(*SEQ), F.lit(True))).select(*objects.columns)
+    return objects.where("obj_kind != 'graph-edge'").unionByName(edges)
 
 
 def effective_removes(ops: DataFrame) -> DataFrame:
@@ -104,13 +162,12 @@ def node_removes(ops: DataFrame) -> DataFrame:
     A node's history is cut into blocks of transaction numbers; the first operation of a block looks back to the last one
     of the block before.
     """
-    nodes = ops.where("obj_kind = 'graph-node'").select("store_id", F.col("obj_id").alias("node_id"), *SEQ, "is_put", F.floor(F.col("tx_id") / BLOCK).alias("block"))
-    block = ["store_id", "node_id", "block"]
-    inside = F.lag("is_put").over(W.partitionBy(*block).orderBy(*SEQ))
-    ends = nodes.groupBy(*block).agg(F.max(F.struct(*SEQ, "is_put")).alias("end"))
-    carry = ends.select(*block, F.lag("end.is_put").over(W.partitionBy("store_id", "node_id").orderBy("block")).alias("carry"))
-    seen = nodes.withColumn("inside", inside).join(carry, block).where(~F.col("is_put") & F.coalesce("inside", "carry", F.lit(False)))
-    return seen.select("store_id", "node_id", *SEQ)
+    nodes = ops.where("obj_kind = 'graph-node'").select(*KEY, F.col("block") if "block" in ops.columns else F.floor(F.col("tx_id") / BLOCK).alias("block"), *SEQ, "is_put").dropDuplicates([*CLUSTER, *SEQ])
+    inside = F.lag("is_put").over(W.partitionBy(*CLUSTER).orderBy(*SEQ))
+    ends = nodes.groupBy(*CLUSTER).agg(F.max(F.struct(*SEQ, "is_put")).alias("end"))
+    carry = ends.select(*CLUSTER, F.lag("end.is_put").over(W.partitionBy(*KEY).orderBy("block")).alias("carry"))
+    seen = nodes.withColumn("inside", inside).where("not is_put").join(carry, CLUSTER).where(F.coalesce("inside", "carry", F.lit(False)))
+    return seen.select("store_id", F.col("obj_id").alias("node_id"), *SEQ)
 
 
 def absent_removes(ops: DataFrame) -> DataFrame:
@@ -120,7 +177,7 @@ def absent_removes(ops: DataFrame) -> DataFrame:
     that put and its remove. Keys and nodes are cut into blocks as in ``node_removes``. ``ops`` is read several times.
     """
     blocked = ops.withColumn("block", F.floor(F.col("tx_id") / BLOCK))
-    this, block = F.struct(*SEQ, "is_put", "source", "target"), [*KEY, "block"]
+    this, block = F.struct(*SEQ, "is_put", "source", "target"), CLUSTER
     inside = F.lag(this).over(W.partitionBy(*block).orderBy(*SEQ))
     ends = blocked.groupBy(*block).agg(F.max(this).alias("end"))
     carry = ends.select(*block, F.lag("end").over(W.partitionBy(*KEY).orderBy("block")).alias("carry"))
@@ -145,19 +202,21 @@ def absent_removes(ops: DataFrame) -> DataFrame:
 class ChangeLog:
     """Runs in a shared folder. ``levels[n]`` lists the runs of level n; ``fan_in`` of them become one of level n + 1.
 
-    The list of runs is published as a manifest below ``root`` with each change, from which ``open`` goes on in a later session.
+    The list of runs is published as a manifest below ``root`` with each change, from which ``open`` goes on in a later session. A run
+    is a partition of the table; what a failed write left is in no manifest and never read.
     """
 
     spark: SparkSession
     root: str
     fan_in: int = 3
+    buckets: int = 16
     levels: list[list[str]] = field(default_factory=list)
-    _serial: int = 0
+    last_batch: int = -1
     _published: int = 0
 
     @classmethod
-    def temporary(cls, spark: SparkSession, fan_in: int = 3) -> ChangeLog:
-        return cls(spark, scratch_path(spark, "changelog"), fan_in)
+    def temporary(cls, spark: SparkSession, fan_in: int = 3, buckets: int = 16) -> ChangeLog:
+        return cls(spark, scratch_path(spark, "changelog"), fan_in, buckets)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> ChangeLog:
@@ -166,18 +225,24 @@ class ChangeLog:
         if last is None:
             return cls(spark, root)
         number, m = last
-        return cls(spark, root, m["fan_in"], [[f"{root}/{r}" for r in level] for level in m["levels"]], m["serial"], number)
+        return cls(spark, root, m["fan_in"], m["buckets"], m["levels"], m["last_batch"], number)
+
+    def append(self, transactions: DataFrame, batch: int | None = None) -> None:
+        """Add a batch, in whatever order, as a sorted run of level 0, then compact the levels that are full.
 
-    def append(self, transactions: DataFrame) -> None:
-        """Add a batch, in whatever order, as a sorted run of level 0, then compact the levels that are full."""
-        self._write(0, explode_ops(transactions), commits_of(transactions))
+        A batch whose number is not above the last one published changes nothing: it is a batch given again.
+        """
+        if batch is not None and batch <= self.last_batch:
+            return
+        self._add(0, self._write(log_rows(transactions).repartition(self.buckets, *CLUSTER)))
+        self.last_batch = self.last_batch if batch is None else batch
         self._publish()
         self._compact_full()
 
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        if sum(map(len, self.levels)) > 1:
-            self._merge([r for level in self.levels for r in level], len(self.levels))
+    def compact(self, settled: DataFrame | None = None) -> None:
+        """Merge all runs into one. ``settled`` gives per ``store_id`` the ``settled_tx`` up to which no transaction arrives any more."""
+        if settled is not None or len(self.runs()) > 1:
+            self._merge(self.runs(), max(len(self.levels) - 1, 1), settled)
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
@@ -186,24 +251,35 @@ class ChangeLog:
         """The current state, merged from all runs: ``store_id, obj_kind, obj_id, tx_id``."""
         if not self.runs():
             return self.spark.createDataFrame([], "store_id string, obj_kind string, obj_id string, tx_id decimal(38,0)")
-        return merge_runs(without_replays(self._load("ops", self.runs()), self._load("commits", self.runs())))
-
-    def _load(self, part: str, runs: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{r}/{part}" for r in runs])
-
-    def _write(self, level: int, ops: DataFrame, commits: DataFrame) -> None:
-        self._serial += 1
-        run = f"{self.root}/run-{self._serial:05d}-{uuid.uuid4().hex[:12]}"  # what a failed write left is never met again
+        rows, _ = effective(self.rows(self.runs()))
+        return merge_runs(rows.where(F.col("obj_kind") != MUTATION), cut=True).select(*KEY, "tx_id")
+
+    def rows(self, runs: list[str]) -> DataFrame:
+        """All rows of ``runs``, in buckets."""
+        name = self._table()
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name).where(F.col("run").isin(runs)).drop("run")
+
+    def _table(self) -> str:
+        name = f"changelog_{hashlib.sha256(f'{self.root} {self.buckets}'.encode()).hexdigest()[:16]}"
+        order = ", ".join([*CLUSTER, *SEQ])
+        self.spark.sql(f"create table if not exists {name} ({ROW}, run string) using parquet partitioned by (run) clustered by ({', '.join(CLUSTER)}) sorted by ({order}) into {self.buckets} buckets location '{self.root}/rows'")
+        return name
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write ``rows`` as a run; the writer sorts each bucket. Rows are in their buckets already, so a bucket is one file."""
+        run = f"run-{uuid.uuid4().hex}"
         with freeing_shuffles(self.spark):
-            ops.repartitionByRange(*KEY, *SEQ).sortWithinPartitions(*KEY, *SEQ).write.parquet(f"{run}/ops")
-            commits.write.parquet(f"{run}/commits")
+            rows.withColumn("run", F.lit(run)).write.insertInto(self._table())
+        return run
+
+    def _add(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
 
     def _publish(self) -> None:
-        levels = [[r.removeprefix(f"{self.root}/") for r in level] for level in self.levels]
-        publish_manifest(self.spark, self.root, self._published + 1, {"fan_in": self.fan_in, "levels": levels, "serial": self._serial})
+        publish_manifest(self.spark, self.root, self._published + 1, {"fan_in": self.fan_in, "buckets": self.buckets, "levels": self.levels, "last_batch": self.last_batch})
         self._published += 1
 
     def _compact_full(self) -> None:
@@ -213,28 +289,43 @@ class ChangeLog:
                 self._merge(list(self.levels[level]), level + 1)
             level += 1
 
-    def _merge(self, runs: list[str], level: int) -> None:
+    def _merge(self, runs: list[str], level: int, settled: DataFrame | None = None) -> None:
         """Write the merged run first, publish it, then delete its parts: a failure between leaves the old or the new runs valid.
 
         Equal rows of one key and sequence are frames received again; one of each stays.
         """
-        ops = self._load("ops", runs).dropDuplicates([*KEY, *SEQ, "mutation_id", "is_put"])
-        self._write(level, ops, self._load("commits", runs).distinct())
-        for i, have in enumerate(self.levels):
-            keep = [r for r in have if r not in runs]
-            self.levels[i] = keep
+        rows, in_place = effective(self.rows(runs))
+        once = rows.dropDuplicates([*CLUSTER, *SEQ])
+        if settled is not None:
+            once, in_place = self._settled(once, settled), False
+        merged = self._write(once if in_place else once.repartition(self.buckets, *CLUSTER))
+        self.levels = [[r for r in have if r not in runs] for have in self.levels]
+        self._add(level, merged)
         self._publish()
         for r in runs:
-            delete_path(self.spark, r)
+            delete_path(self.spark, f"{self.root}/rows/run={r}")
+
+    def _settled(self, rows: DataFrame, settled: DataFrame) -> DataFrame:
+        """Up to the watermarks only the last puts of what exists there, beside the owners of all mutation ids; beyond them all rows."""
+        marked = rows.join(settled.select("store_id", "settled_tx"), "store_id", "left").withColumn("old", F.coalesce(F.col("tx_id") <= F.col("settled_tx"), F.lit(False)) & (F.col("obj_kind") != MUTATION))
+        marked = materialize(marked.drop("settled_tx"), "settled")
+        kept = merge_runs(marked.where("old").drop("old"), cut=True).withColumns({"is_put": F.lit(True), "block": F.floor(F.col("tx_id") / BLOCK).cast("decimal(38,0)")})
+        return marked.where("not old").drop("old").select(*rows.columns).unionByName(kept.select(*rows.columns))
 
 
 def current_state(feed: DataFrame, order: str = "received_at", runs: int = 4, fan_in: int = 3) -> DataFrame:
-    """The state of a whole feed, appended in ``runs`` arrivals and merged on read."""
-    spark = feed.sparkSession
-    marks = feed.select(F.percentile_approx(F.col(order).cast("timestamp").cast("double"), [i / runs for i in range(1, runs)], 1000)).first()[0] or []
-    log, at = ChangeLog.temporary(spark, fan_in), F.coalesce(F.col(order).cast("timestamp").cast("double"), F.lit(float("-inf")))
-    bounds = [float("-inf"), *sorted(set(marks)), float("inf")]
+    """The state of a whole feed, appended in ``runs`` arrivals and merged on read.
+
+    Arrivals are ranges of ``order`` itself, so each reads its own part of the files; rows without one come first.
+    """
+    rows, marks = feed.select(F.count(F.lit(1)), F.percentile_approx(order, [i / runs for i in range(1, runs)], 1000)).first()
+    log = ChangeLog.temporary(feed.sparkSession, fan_in, min(max(-(-rows // TRANSACTIONS_PER_BUCKET), 2), MOST_BUCKETS))
+    bounds, at, kind = [None, *sorted(set(marks or [])), None], F.col(order), feed.schema[order].dataType
     for low, high in zip(bounds, bounds[1:]):
-        part: Column = (at >= F.lit(low)) & (at < F.lit(high))
+        part: Column = F.lit(True)
+        if low is not None:
+            part &= at >= F.lit(low).cast(kind)
+        if high is not None:
+            part &= (at < F.lit(high).cast(kind)) if low is not None else (at < F.lit(high).cast(kind)) | at.isNull()
         log.append(feed.where(part))
     return log.read()

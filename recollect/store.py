@@ -113,7 +113,7 @@ class DurableStore:
         zero = F.lit(0).cast("decimal(38,0)")
         old = base.select("store_id", "obj_kind", "obj_id", zero.alias("tx_id"), F.lit(0).alias("op_ord"), F.lit(True).alias("is_put"), *ends, F.lit(None).cast("string").alias("mutation_id"))
         ops = without_replays(explode_ops(log), commits_of(log))
-        live = merge_runs(old.unionByName(ops))
+        live = merge_runs(old.unionByName(ops)).select("store_id", "obj_kind", "obj_id", "tx_id")
         bodies = log.select("store_id", "tx_id", F.explode("ops").alias("op")).select("store_id", F.regexp_extract("op.type", r"^ether\.(.+)\.put$", 1).alias("obj_kind"), F.get_json_object("op.payload", "$.id").alias("obj_id"), "tx_id", F.col("op.payload").alias("body"))
         every = base.withColumn("tx_id", zero).unionByName(bodies.where("obj_kind != ''"))
         return live.join(every, ["store_id", "obj_kind", "obj_id", "tx_id"]).dropDuplicates(["store_id", "obj_kind", "obj_id"]).select("store_id", "obj_kind", "obj_id", "body")

@@ -23,15 +23,16 @@ def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 
 @dataclass
 class StreamingReplay:
-    """Appends every micro-batch to a change log as one run. A batch given again after a failure is skipped by its number."""
+    """Appends every micro-batch to a change log as one run.
+
+    The log's manifest holds the number of the last batch beside its runs, published by one rename, so a batch given again after a failure
+    or a restart is skipped. After a restart give it ``ChangeLog.open`` of the same root with the same checkpoint.
+    """
 
     log: ChangeLog
-    done: int = -1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id > self.done:
-            self.log.append(batch)
-            self.done = batch_id
+        self.log.append(batch, batch_id)
 
     def start(self, frames: DataFrame, checkpoint: str) -> StreamingQuery:
         return frames.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
