@@ -286,6 +286,8 @@ class AnchorCover:
     def _pairs(self, w, e, start, count, larger, smaller, out, suspects) -> None:
         """Anchors of two or more frequent words: ``start`` and ``count`` say where a record's frequent words are."""
         reach = np.where(larger >= 0, np.minimum(larger + CLASSES, count - 1), -1)
+        if suspects is not None:  # the first word of a suspect is over the bound, and words are in rising order
+            reach = np.where((reach > 0) & (e[np.minimum(start + np.maximum(reach - 1, 0), len(e) - 1)] > self.pair), reach, -1) if len(e) else reach
         kind = ((w >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int8)
         for r in np.flatnonzero(reach >= WIDE):
             for c in range(CLASSES):
