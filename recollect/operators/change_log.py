@@ -40,8 +40,8 @@ MUTATION = "mutation"
 ROW = "store_id string, obj_kind string, obj_id string, block decimal(38,0), tx_id decimal(38,0), op_ord int, is_put boolean, source string, target string"
 TRANSACTIONS_PER_BUCKET = 30_000
 MOST_BUCKETS = 100_000
-# Rows of transactions without effect that a broadcast takes, about 8 MB; more are joined by shuffle.
-SMALL = 1 << 17
+# Rows of transactions without effect that a broadcast takes, about 6 MB; more are joined by shuffle.
+SMALL = 1 << 15
 
 
 def log_rows(transactions: DataFrame) -> DataFrame:
@@ -295,7 +295,9 @@ class ChangeLog:
         Equal rows of one key and sequence are frames received again; one of each stays.
         """
         rows, in_place = effective(self.rows(runs))
-        once = rows.dropDuplicates([*CLUSTER, *SEQ])
+        order = W.partitionBy(*CLUSTER).orderBy(*SEQ)
+        again = F.lag("tx_id").over(order).eqNullSafe(F.col("tx_id")) & F.lag("op_ord").over(order).eqNullSafe(F.col("op_ord"))
+        once = rows.withColumn("again", again).where("not again").drop("again")
         if settled is not None:
             once, in_place = self._settled(once, settled), False
         merged = self._write(once if in_place else once.repartition(self.buckets, *CLUSTER))

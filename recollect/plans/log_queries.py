@@ -5,10 +5,9 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.operators import dream, history, mutations, portable, validate
+from recollect.operators import change_log, dream, graph, history, mutations, portable, validate
 from recollect.plans.registry import Registry
 from recollect.plans.store_queries import AS_OF, CONDENSE_SQL
 from recollect.session import materialize
@@ -90,11 +89,16 @@ def invalid_notes(spark: SparkSession, root: str) -> DataFrame:
 
 
 @checked_by("""with e as (select distinct id, source, target, data from graph_edges), v as (select 'memory:' || id as id from memory_notes union select 'diary:' || id from diary_entries),
-x as (select id, source not in (select id from v) as a, target not in (select id from v) as b, count(*) over (partition by source, target) > 1 as p from e)
-select id, array_to_string(list_filter([case when a then 'source' end, case when b then 'target' end, case when p then 'pair' end], lambda x: x is not null), ',') as fields from x where a or b or p""")
+i as (select * from e union all select 'twin_' || id, source, target, '[1]' from e where target like 'diary:%' union all select 'lost_' || id, source, 'memory:nowhere', data from e where target like 'memory:%'),
+x as (select id, source not in (select id from v) as a, target not in (select id from v) as b, count(*) over (partition by source, target) > 1 as p, not coalesce(json_type(data) = 'OBJECT', data is null) as d from i)
+select id, array_to_string(list_filter([case when a then 'source' end, case when b then 'target' end, case when p then 'pair' end, case when d then 'data' end], lambda x: x is not null), ',') as fields from x where a or b or p or d""")
 def invalid_edges(spark: SparkSession, root: str) -> DataFrame:
+    """The stored edges, which are sound, among twins of those to the diary (pair in use, data no object) and copies of the others to no node."""
     nodes = table(spark, root, "memory_notes").select(F.concat(F.lit("memory:"), "id").alias("id")).union(table(spark, root, "diary_entries").select(F.concat(F.lit("diary:"), "id"))).distinct()
-    return validate.invalid_edges(views.edges(spark, root), nodes).select("id", F.array_join("fields", ",").alias("fields"))
+    e = views.edges(spark, root).select("id", "source", "target", "data")
+    twins = e.where(F.col("target").startswith("diary:")).select(F.concat(F.lit("twin_"), "id").alias("id"), "source", "target", F.lit("[1]").alias("data"))
+    lost = e.where(F.col("target").startswith("memory:")).select(F.concat(F.lit("lost_"), "id").alias("id"), "source", F.lit("memory:nowhere").alias("target"), "data")
+    return validate.invalid_edges(e.unionByName(twins).unionByName(lost), nodes).select("id", F.array_join("fields", ",").alias("fields"))
 
 
 _RELATIONS = ", ".join(f"'{r}'" for r in views.RELATIONS)
@@ -120,11 +124,12 @@ def restored_notes(spark: SparkSession, root: str) -> DataFrame:
 
 @checked_by(r"""with n as (select distinct id, content, importance, confidence, pinned from memory_notes),
 t as (select *, regexp_replace(content, '^[\s\x{a0}\x{2009}]+|[\s\x{a0}\x{2009}]+$', '', 'g') as body from n)
-select id, body as content, coalesce(greatest(0::double, least(1::double, importance)), 0.5) as importance,
-    coalesce(case when isnan(confidence) then confidence else greatest(0::double, least(1::double, confidence)) end, 0.75) as confidence, coalesce(pinned, false) as pinned from t where body <> ''""")
+select id, body as content, coalesce(greatest(0::double, least(1::double, importance)), 0.5) as importance, coalesce(isnan(confidence), false) as confidence_is_nan,
+    case when not coalesce(isnan(confidence), false) then coalesce(greatest(0::double, least(1::double, confidence)), 0.75) end as confidence, coalesce(pinned, false) as pinned from t where body <> ''""")
 def added_notes(spark: SparkSession, root: str) -> DataFrame:
     raw = records(spark, root, "memory_notes", "id", "content", "tags", "category", "source", "importance", "confidence", "pinned", "status")
-    return mutations.new_notes(raw, F.lit(AS_OF)).select("id", "content", "importance", "confidence", "pinned")
+    nan = F.isnan("confidence")  # a NaN stays one; no two systems agree on whether it equals itself
+    return mutations.new_notes(raw, F.lit(AS_OF)).select("id", "content", "importance", nan.alias("confidence_is_nan"), F.when(~nan, F.col("confidence")).alias("confidence"), "pinned")
 
 
 @checked_by(f"""with {VIEWS_SQL}, p as (select id, length(content) % 2 = 0 as change from notes where status <> 'archived' union all select 'mem_absent', true)
@@ -272,12 +277,20 @@ def repeated_frames(spark: SparkSession, root: str) -> DataFrame:
     return history.repeated_frames(_wal(spark, root)).withColumn("tx_id", F.col("tx_id").cast("string"))
 
 
-@checked_by("""with t as (select distinct store_id, epoch_id, tx_id, base.tx as btx, base.epoch as bep from wal_transactions),
+@checked_by("""with f as (select distinct store_id, epoch_id, tx_id, mutation_id, base.tx as btx, base.epoch as bep, ops[1].type as head from wal_transactions),
+own as (select * from f qualify mutation_id is null or tx_id = min(tx_id) over (partition by store_id, mutation_id)),
+t as (select store_id, epoch_id, tx_id, case when head like 'ether.graph-edge.%' then btx - 1 else btx end as btx, case when head like 'ether.diary.%' then 'another' else bep end as bep from own),
 p as (select *, lag(tx_id) over w as prev_tx, lag(epoch_id) over w as prev_epoch from t window w as (partition by store_id order by tx_id)),
 r as (select *, case when tx_id <> prev_tx + 1 then 'gap' when btx is distinct from prev_tx then 'base' when bep is distinct from prev_epoch then 'epoch' end as reason from p where prev_tx is not null)
 select store_id, tx_id::varchar as tx_id, prev_tx::varchar as prev_tx, reason from r where reason is not null""")
 def chain_breaks(spark: SparkSession, root: str) -> DataFrame:
-    b = history.chain_breaks(_wal(spark, root))
+    """Breaks of a log with faults: transactions without effect are lost, those that begin with an edge or an entry have another base."""
+    w, kind = _wal(spark, root), F.get("ops", F.lit(0))["type"]
+    owner = w.where("mutation_id is not null").groupBy("store_id", "mutation_id").agg(F.min("tx_id").alias("owner_tx"), F.max("tx_id").alias("last_tx")).where("owner_tx < last_tx")
+    kept = w.join(owner, ["store_id", "mutation_id"], "left").where("owner_tx is null or tx_id = owner_tx")
+    tx = F.when(kind.startswith("ether.graph-edge."), F.col("base.tx") - 1).otherwise(F.col("base.tx")).cast("decimal(38,0)")
+    epoch = F.when(kind.startswith("ether.diary."), "another").otherwise(F.col("base.epoch"))
+    b = history.chain_breaks(kept.withColumn("base", F.struct(epoch.alias("epoch"), tx.alias("tx"), F.col("base.digest").alias("digest"))))
     return b.withColumns({c: F.col(c).cast("string") for c in ("tx_id", "prev_tx")})
 
 
@@ -341,24 +354,6 @@ def object_sweep(spark: SparkSession, root: str) -> DataFrame:
     return free.withColumn("state", F.lit("reclaim")).unionByName(lost.withColumn("state", F.lit("missing")))
 
 
-@checked_by("""with t as (select distinct store_id, tx_id, mutation_id, ops from wal_transactions),
-own as (select * from t qualify mutation_id is null or tx_id = min(tx_id) over (partition by store_id, mutation_id)),
-e as (select store_id, tx_id, unnest(ops) as op, generate_subscripts(ops, 1) as ord from own),
-o as (select store_id, tx_id, ord, split_part(op.type, '.', 2) as obj_kind, split_part(op.type, '.', 3) = 'put' as is_put, json_extract_string(op.payload, '$.id') as obj_id from e),
-m as (select *, lag(is_put) over (partition by store_id, obj_kind, obj_id order by tx_id, ord) as was_put from o)
-select store_id, obj_kind, obj_id, tx_id::varchar as tx_id from m where not is_put and not coalesce(was_put, false) and obj_kind <> 'graph-edge'""")
-def absent_removes(spark: SparkSession, root: str) -> DataFrame:
-    """Removes of notes, entries and nodes that were not there; they have no effect. ``all_absent_removes`` has edges too."""
-    from recollect.operators.change_log import KEY, SEQ, commits_of, explode_ops, without_replays
-
-    w = _wal(spark, root)
-    once = w.dropDuplicates(["store_id", "tx_id"])
-    ops = without_replays(explode_ops(once), commits_of(w))
-    was = F.lag("is_put").over(W.partitionBy(*KEY).orderBy(*SEQ))
-    lost = ops.withColumn("was", F.coalesce(was, F.lit(False))).where("not is_put and not was and obj_kind != 'graph-edge'")
-    return lost.select("store_id", "obj_kind", "obj_id", F.col("tx_id").cast("string").alias("tx_id"))
-
-
 @checked_by("""with t as (select distinct store_id, tx_id, mutation_id, ops from wal_transactions),
 own as (select * from t qualify mutation_id is null or tx_id = min(tx_id) over (partition by store_id, mutation_id)),
 e as (select store_id, tx_id, unnest(ops) as op, generate_subscripts(ops, 1) as ord from own),
@@ -371,10 +366,8 @@ ed as (select store_id, obj_kind, obj_id, tx_id, ord, put_tx, put_ord, unnest([s
 c as (select distinct ed.store_id, ed.obj_kind, ed.obj_id, ed.tx_id, ed.ord from ed join g on g.store_id = ed.store_id and g.node = ed.node
     where (g.tx_id > put_tx or g.tx_id = put_tx and g.ord > put_ord) and (g.tx_id < ed.tx_id or g.tx_id = ed.tx_id and g.ord < ed.ord))
 select store_id, obj_kind, obj_id, tx_id::varchar as tx_id from m where not is_put and not was_put union all select store_id, obj_kind, obj_id, tx_id::varchar from c""")
-def all_absent_removes(spark: SparkSession, root: str) -> DataFrame:
+def absent_removes(spark: SparkSession, root: str) -> DataFrame:
     """Removes of objects of every kind that were not there, edges gone with a node included; they have no effect."""
-    from recollect.operators.change_log import absent_removes, commits_of, explode_ops, without_replays
-
     w = _wal(spark, root)
-    ops = materialize(without_replays(explode_ops(w.dropDuplicates(["store_id", "tx_id"])), commits_of(w)), "operations")
-    return absent_removes(ops).withColumn("tx_id", F.col("tx_id").cast("string"))
+    ops = materialize(change_log.without_replays(change_log.explode_ops(w.dropDuplicates(["store_id", "tx_id"])), change_log.commits_of(w)), "operations")
+    return change_log.absent_removes(ops).withColumn("tx_id", F.col("tx_id").cast("string"))

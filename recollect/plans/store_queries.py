@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import phrase, query_tokens, tokens
 from recollect.operators import graph, retrieval
-from recollect.operators.condense import condensed
+from recollect.operators.condense import CATEGORY_RULES, condensed
 from recollect.operators.context import Context
 from recollect.operators.inspect import explained, health_findings, health_report, note_health
 from recollect.plans.registry import Registry
@@ -264,13 +264,6 @@ def context_report(spark: SparkSession, root: str) -> DataFrame:
     return _context(spark, root).report()
 
 
-_RULES = (
-    ("project", "project build built shipped release version code library app deploy feature refactor"),
-    ("preference", "prefer like favourite favorite want love hate dislike wish rather"),
-    ("task", "task todo plan need must schedule deadline assign follow"),
-    ("learning", "learned learnt study studied read tutorial course lesson research figured"),
-    ("event", "meeting met call happened event attended visited trip"),
-)
 CONDENSE_SQL = (
     f"with {VIEWS_SQL},"
     + r""" t as (select id, content, regexp_replace(content, '^[\s\x{a0}\x{2009}]+|[\s\x{a0}\x{2009}]+$', '', 'g') as body, """
@@ -286,7 +279,7 @@ g as (select id, i, sentence from f qualify row_number() over (partition by id o
 facts as (select id, string_agg(sentence, chr(10) order by i) as key_facts, count(*) as n from g group by id),
 a as (select s.id, coalesce(key_facts, '') as key_facts, coalesce(n, 0) as n, case when length(body) <= 200 then body else substr(body, 1, 197) || '...' end as summary,
     array_to_string(list_slice(list_sort(list_distinct(toks)), 1, 8), ' ') as tags, case """
-    + " ".join(f"when list_has_any(toks, {_list(words.split())}) then '{name}'" for name, words in _RULES)
+    + " ".join(f"when list_has_any(toks, {_list(list(words))}) then '{name}'" for name, words in CATEGORY_RULES)
     + """ end as category from s left join facts using (id))
 select id, key_facts, summary, tags, category, greatest(0::double, least(1::double, 0::double + 0.4::double + case when n > 0 then 0.1::double else 0 end + least(n, 5) * 0.02::double
     + case when category is not null then 0.1::double else 0 end + case when tags <> '' then 0.05::double else 0 end + 0::double)) as confidence from a"""

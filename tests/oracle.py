@@ -17,7 +17,7 @@ def connect(root):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else v
+        return object() if math.isnan(v) else v  # a NaN equals nothing, as for the driver
     if isinstance(v, (list, tuple)) and not hasattr(v, "asDict"):
         return tuple(map(plain, v))
     if hasattr(v, "asDict"):
