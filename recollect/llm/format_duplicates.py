@@ -1,9 +1,10 @@
 """Duplicates hidden by formatting differences (problem 1).
 
 The canonical key of a note is a digest of its content and its tag set, each reduced to letters and digits in lower case.
-Hot keys are found exactly: map-side partial counts by key, then the keys with ``hot_rows`` rows or more, at most
-``rows / hot_rows`` of them. Their rows get a salt, all others salt 0, and one shuffle by (key, salt) sorts each group by id, where a
-streaming window yields the first id. Hot keys then take the least of their salts' first ids in a second level.
+Keys are written once. Hot keys are found exactly: map-side partial counts by key, then the largest groups of ``hot_rows`` rows or more, at
+most 8,192 of them, which are broadcast. Their rows get a salt, all others salt 0, before anything is shuffled by key; one shuffle by (key,
+salt) sorts each group by id, where a streaming window yields the first id. Hot keys then take the least of their salts' first ids in
+a second level.
 
 Defined results: null content and content without a letter or digit belong to no group; null ``tags`` equals no tags, null or
 blank tags and tags left with nothing are dropped; a redelivered row is the same note and no copy; ties cannot occur as ids
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import letters_digits
 from recollect.operators.skew import hot_groups, salt_of
+from recollect.session import materialize
 
 HOT_ROWS = 20_000
 
@@ -33,27 +35,27 @@ def canonical_keys(notes: DataFrame) -> DataFrame:
     )
 
 
-def _salted(notes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Notes with salt and the first id of their (key, salt), redelivered rows gone; and the hot keys."""
-    keyed = canonical_keys(notes)
-    hot = hot_groups(keyed.select(F.xxhash64("key").alias("key_hash")), ["key_hash"], hot_rows)
-    salted = keyed.withColumn("key_hash", F.xxhash64("key")).join(hot, "key_hash", "left").select("note_id", "key", (F.col("n_rows").isNotNull()).alias("is_hot"), salt_of(F.col("note_id"), F.col("n_rows"), hot_rows).alias("salt"))
+def _salted(notes: DataFrame, hot_rows: int) -> DataFrame:
+    """``note_id, key, is_hot, salt`` of each note, from keys computed and written once."""
+    keyed = materialize(canonical_keys(notes), "canonical-keys")
+    hot = hot_groups(keyed, ["key"], hot_rows)
+    return keyed.join(hot, "key", "left").select("note_id", "key", F.col("n_rows").isNotNull().alias("is_hot"), salt_of(F.col("note_id"), F.col("n_rows"), hot_rows).alias("salt"))
+
+
+def _with_first(salted: DataFrame) -> DataFrame:
+    """Notes with the first id of their (key, salt), redelivered rows gone."""
     group = W.partitionBy("key", "salt").orderBy("note_id")
-    return (
-        salted.withColumns({"first_id": F.first("note_id").over(group), "again": F.lag("note_id").over(group).eqNullSafe(F.col("note_id"))})
-        .where("not again")
-        .drop("again"),
-        hot,
-    )
+    marked = salted.withColumns({"first_id": F.first("note_id").over(group), "again": F.lag("note_id").over(group).eqNullSafe(F.col("note_id"))})
+    return marked.where("not again").drop("again")
 
 
 def format_copies(notes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``first_id, note_id`` for each note that is not the smallest id of its group."""
-    first, _ = _salted(notes, hot_rows)
-    least = first.where("is_hot").groupBy("key").agg(F.min("first_id").alias("least_id"))
-    cold = first.where("not is_hot").select("first_id", "note_id")
-    hot = first.where("is_hot").join(least, "key").select(F.col("least_id").alias("first_id"), "note_id")
-    return cold.unionByName(hot).where("first_id != note_id")
+    salted = _salted(notes, hot_rows)
+    by_salt = salted.where("is_hot").groupBy("key", "salt").agg(F.min("note_id").alias("first_id"))
+    least = by_salt.groupBy("key").agg(F.min("first_id").alias("least_id"))  # a row per hot key, at most MOST_HOT
+    first = _with_first(salted).join(F.broadcast(least), "key", "left").withColumn("first_id", F.coalesce("least_id", "first_id"))
+    return first.where("first_id != note_id").select("first_id", "note_id")
 
 
 def collapsed_notes(notes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -61,6 +63,5 @@ def collapsed_notes(notes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     Two levels for all groups: counts by (key, salt), then by key, where only the hot keys have more than one partial.
     """
-    first, _ = _salted(notes, hot_rows)
-    partial = first.groupBy("key", "salt").agg(F.min("note_id").alias("note_id"), F.count(F.lit(1)).alias("n"))
+    partial = _with_first(_salted(notes, hot_rows)).groupBy("key", "salt").agg(F.min("note_id").alias("note_id"), F.count(F.lit(1)).alias("n"))
     return partial.groupBy("key").agg(F.min("note_id").alias("note_id"), F.sum("n").alias("n_copies")).select("note_id", "n_copies")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -66,7 +67,7 @@ def test_incremental_counts_equal_a_full_count(spark):
     for n in (25, 30, 10, 0, 5):
         after = table(n)
         rows = [[(k, *v) for k, v in t.items()] for t in (before, after)]
-        store.apply(images(spark, rows[0]), images(spark, rows[1] + rows[1][:3]))
+        store.apply(term_counts.changes(images(spark, rows[0]), images(spark, rows[1] + rows[1][:3])))
         want = {}
         for tags, category in after.values():
             for field, values in (("note_tag", tags or []), ("note_category", [category])):
@@ -83,9 +84,9 @@ def test_incremental_counts_equal_a_full_count(spark):
 def test_unchanged_records_touch_nothing(spark):
     store = term_counts.TermCounts.temporary(spark, 4)
     one = images(spark, [("a", ["x"], None)])
-    store.apply(one.limit(0), one)
+    store.apply(term_counts.additions(one))
     version = store.version
-    store.apply(one, one)
+    store.apply(term_counts.changes(one, one))
     assert store.version == version
     marked = term_counts.marked_terms(store.read(), term_counts.FIELDS).collect()
     assert [(m.field, m.term, m.mark) for m in marked] == [("note_tag", "x", "rare")]
@@ -94,15 +95,17 @@ def test_unchanged_records_touch_nothing(spark):
 def test_counts_go_on_in_a_later_session(spark):
     store = term_counts.TermCounts.temporary(spark, 4)
     first, second = images(spark, [("a", ["x", "y"], "c")]), images(spark, [("a", ["x"], "c"), ("b", ["z"], None)])
-    store.apply(first.limit(0), first)
+    store.apply(term_counts.additions(first), 7)
     later = term_counts.TermCounts.open(spark, store.root)
     assert (later.buckets, later.version, counts(later)) == (4, 1, counts(store))
-    later.apply(first, second)
+    later.apply(term_counts.changes(first, second), 7)
+    assert counts(later) == counts(store)
+    later.apply(term_counts.changes(first, second), 8)
     want = {("note_tag", "x"): (1, 1), ("note_tag", "z"): (1, 1), ("note_category", "c"): (1, 1), (term_counts.TOTAL, "note"): (2, 2)}
     assert counts(later) == counts(term_counts.TermCounts.open(spark, store.root)) == want
     for stale in (store, term_counts.TermCounts(spark, store.root, 4)):
         with pytest.raises(ValueError, match="CONFLICT"):
-            stale.apply(first.limit(0), second)
+            stale.apply(term_counts.additions(second))
     assert counts(term_counts.TermCounts.open(spark, store.root)) == want
     assert counts(term_counts.TermCounts.open(spark, store.root + "-none")) == {}
 
@@ -177,3 +180,17 @@ def test_branch_and_bound_equals_trying_all():
                 best = key if best is None or key < best else best
         want = {b: "" for b in names} | (dict(zip(live, best[1])) if best else {})
         assert survivorship.branch_and_bound(cands, deps) == want
+
+
+def test_hot_keys_are_salted_before_any_shuffle_by_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes = spark.createDataFrame([(f"n{i:03d}", "Same text" if i % 3 == 0 else f"text {i}", ["a"]) for i in range(300)], "id string, content string, tags array<string>")
+        salted = format_duplicates._salted(notes, 20)
+        assert [r.salts for r in salted.where("is_hot").agg(F.countDistinct("salt").alias("salts")).collect()] == [5]
+        plan = format_duplicates._with_first(salted)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"hashpartitioning\((\w+)#\d+, (\w+)", plan) == [("key", "salt")]
+        assert len(format_duplicates.format_copies(notes, 20).collect()) == 99
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
