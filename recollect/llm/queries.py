@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import cooccurrence, format_duplicates, lookalikes, mixing, near_duplicates, survivorship, term_counts, tokenizer
+from recollect.functions.text import strip_white
 from recollect.sources.tables import table
 
 
@@ -43,6 +44,12 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
     return _p2(spark, root)
 
 
+def p2_revised(spark: SparkSession, root: str) -> DataFrame:
+    """Counts kept in a store that is opened again and told that archived notes are gone and pinned ones lost their tags."""
+    archived, pinned = F.coalesce(F.lower(strip_white(F.col("status"))) == "archived", F.lit(False)), F.coalesce("pinned", F.lit(False))
+    return term_counts.revised_counts(_notes(spark, root), _diary(spark, root), archived, pinned)
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     weighted = cooccurrence.all_baskets(_notes(spark, root), _diary(spark, root))
     return cooccurrence.strong_pairs(cooccurrence.item_pairs(weighted, cooccurrence.MIN_RECORDS))
@@ -109,7 +116,7 @@ def p10_classes(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_collapsed, p2_found, p2_counts, p3_found, p3_pairs, p5_found, p5_consistent, p6_found, p6_degrees, p8_ids, p8_roundtrip, p9_draws, p9_shares, p10_found, p10_forms, p10_classes)
+    for f in (p1_found, p1_collapsed, p2_found, p2_counts, p2_revised, p3_found, p3_pairs, p5_found, p5_consistent, p6_found, p6_degrees, p8_ids, p8_roundtrip, p9_draws, p9_shares, p10_found, p10_forms, p10_classes)
 }
 
 _CANONICAL = r"""
@@ -121,13 +128,18 @@ g as (select id, min(id) over (partition by c, t) as first_id, count(*) over (pa
 
 _TERM = r"lower(regexp_replace({0}, '^[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+|[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '', 'g'))"
 
-_COUNTS = f"""
-with n as (select distinct id, tags, category from memory_notes), d as (select distinct id, tags from diary_entries),
+def _counts(notes: str) -> str:
+    return f"""
+with n as ({notes}), d as (select distinct id, tags from diary_entries),
 raw as (select 'note_tag' as field, id, unnest(tags) as v from n union all select 'note_category', id, category from n union all select 'diary_tag', id, unnest(tags) from d),
 t as (select field, id, {_TERM.format('v')} as term from raw),
 c as (select field, term, count(*) as n_occurrences, count(distinct id) as n_records from t where term <> '' group by field, term),
 m as (select *, case when field = 'diary_tag' then (select count(*) from d) else (select count(*) from n) end as total from c)
 """
+
+
+_COUNTS = _counts("select distinct id, tags, category from memory_notes")
+_REVISED = _counts(f"select distinct id, case when not coalesce(pinned, false) then tags end as tags, category from memory_notes where {_TERM.format('status')} is distinct from 'archived'")
 _MARK = "case when n_records < 3 then 'rare' when n_records * 10 > total then 'common' end"
 
 _PAIRS = f"""
@@ -198,6 +210,7 @@ select doc_id, class_id, n_texts from n join c using (form) where n_texts > 1"""
     "p1_collapsed": _CANONICAL + "select id as note_id, n_copies from g where id = first_id",
     "p2_found": _COUNTS + f"select field, term, {_MARK} as mark from m where {_MARK} is not null",
     "p2_counts": _COUNTS + f"select field, term, n_occurrences, n_records, {_MARK} as mark from m",
+    "p2_revised": _REVISED + f"select field, term, n_occurrences, n_records, {_MARK} as mark from m",
     "p3_found": _PAIRS + "select collection, tag_a, tag_b from p where n_ab >= 8 and n_ab::hugeint * n >= 3 * n_a::hugeint * n_b",
     "p3_pairs": _PAIRS
     + """select collection, tag_a, tag_b, n_ab, n_a, n_b, n, n_ab::double * n::double / (n_a::double * n_b::double) as lift,

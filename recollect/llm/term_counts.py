@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import term_of
-from recollect.session import freeing_shuffles, last_manifest, materialize, publish_manifest, scratch_path
+from recollect.session import delete_path, freeing_shuffles, last_manifest, materialize, publish_manifest, scratch_path
 
 RARE_RECORDS = 3
 COMMON_SHARE = (1, 10)
@@ -36,18 +36,29 @@ def record_image(df: DataFrame, fields: dict[str, Column], table: str) -> DataFr
     return df.where("id is not null").select("id", F.array_sort(F.concat(total, *terms)).alias("image")).dropDuplicates(["id"])
 
 
-def signed_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``field, term, d_occurrences, d_records`` between two sets of record images; unchanged records give nothing."""
-    changed = before.select("id", F.col("image").alias("old")).join(after.select("id", F.col("image").alias("new")), "id", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``id, old, new`` of two sets of record images; a record added has no ``old``, one deleted no ``new``."""
+    return before.select("id", F.col("image").alias("old")).join(after.select("id", F.col("image").alias("new")), "id", "full_outer")
+
+
+def additions(after: DataFrame) -> DataFrame:
+    """The changes of records that were never there: no join is needed."""
+    return after.select("id", F.lit(None).cast(after.schema["image"].dataType).alias("old"), F.col("image").alias("new"))
+
+
+def signed_deltas(changed: DataFrame) -> DataFrame:
+    """``field, term, d_occurrences, d_records`` of changes ``id, old, new``; unchanged records give nothing.
+
+    Images are sorted, so a term's first occurrence in a record is the one that differs from its neighbour before.
+    """
     sides = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("image")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("image"))))
-    none = F.array().cast("array<struct<field:string,term:string>>")
-    image = F.coalesce("s.image", none)
-    distinct = F.transform(F.array_distinct(image), lambda x: F.struct(x.alias("x"), F.size(F.filter(image, lambda y: y == x)).alias("n")))
+    each = F.posexplode("s.image").alias("i", "x")
+    here = changed.where(~F.col("old").eqNullSafe(F.col("new"))).select(sides.alias("s")).select("s.sign", "s.image", each)
+    is_first = (F.col("i") == 0) | (F.col("x") != F.get("image", F.col("i") - 1))
     return (
-        changed.select(sides.alias("s"))
-        .select("s.sign", F.explode(distinct).alias("x"))
-        .groupBy(F.col("x.x.field").alias("field"), F.col("x.x.term").alias("term"))
-        .agg(F.sum(F.col("sign") * F.col("x.n")).alias("d_occurrences"), F.sum("sign").cast("bigint").alias("d_records"))
+        here.select("sign", "x", is_first.alias("is_first"))
+        .groupBy(F.col("x.field").alias("field"), F.col("x.term").alias("term"))
+        .agg(F.sum("sign").cast("bigint").alias("d_occurrences"), F.sum(F.when(F.col("is_first"), F.col("sign")).otherwise(0)).cast("bigint").alias("d_records"))
         .where("d_occurrences != 0 or d_records != 0")
     )
 
@@ -56,7 +67,8 @@ def signed_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 class TermCounts:
     """Persistent counts in ``buckets`` partitions by term; ``current`` names the version folder of each written bucket.
 
-    Each version is published with a manifest below ``root``, from which ``open`` goes on in a later session.
+    Each version is published with a manifest below ``root``, from which ``open`` goes on in a later session. It holds the number of the last
+    batch too, so a batch given again changes nothing.
     """
 
     spark: SparkSession
@@ -64,6 +76,7 @@ class TermCounts:
     buckets: int = 16
     current: dict[int, str] = field(default_factory=dict)
     version: int = 0
+    last_batch: int = -1
 
     @classmethod
     def temporary(cls, spark: SparkSession, buckets: int = 16) -> TermCounts:
@@ -76,7 +89,7 @@ class TermCounts:
         if last is None:
             return cls(spark, root)
         version, m = last
-        return cls(spark, root, m["buckets"], {int(b): f"{root}/{p}" for b, p in m["current"].items()}, version)
+        return cls(spark, root, m["buckets"], {int(b): f"{root}/{p}" for b, p in m["current"].items()}, version, m["last_batch"])
 
     def read(self, only: list[int] | None = None) -> DataFrame:
         """``field, term, n_occurrences, n_records`` of the current version."""
@@ -84,28 +97,41 @@ class TermCounts:
         schema = "field string, term string, n_occurrences bigint, n_records bigint"
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def apply(self, before: DataFrame, after: DataFrame) -> None:
-        """Merge the deltas of a batch into the touched buckets and publish them as a new version."""
+    def apply(self, changed: DataFrame, batch: int | None = None) -> None:
+        """Merge the deltas of a batch of changes into the touched buckets and publish them as a new version.
+
+        A batch whose number is not above the last one published changes nothing.
+        """
+        if batch is not None and batch <= self.last_batch:
+            return
+        if (last_manifest(self.spark, self.root) or (0,))[0] != self.version:
+            raise ValueError("CONFLICT: another version was published below this root")
         bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-        deltas = materialize(signed_deltas(before, after).withColumn("bucket", bucket), "term-deltas")
+        deltas = materialize(signed_deltas(changed).withColumn("bucket", bucket), "term-deltas")
         touched = [r[0] for r in deltas.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-        if not touched:
+        path, have, last = f"{self.root}/v{self.version + 1:06d}-{uuid.uuid4().hex[:12]}", set(), self.last_batch if batch is None else batch  # what a failed write left is never met again
+        if not touched and last == self.last_batch:
             return
-        path = f"{self.root}/v{self.version + 1:06d}-{uuid.uuid4().hex[:12]}"  # what a failed write left is never met again
-        old = self.read(touched).withColumn("bucket", bucket)
-        new = deltas.select("field", "term", F.col("d_occurrences").alias("n_occurrences"), F.col("d_records").alias("n_records"), "bucket")
-        merged = old.unionByName(new).groupBy("bucket", "field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-        with freeing_shuffles(self.spark):
-            merged.where("n_records > 0").write.partitionBy("bucket").parquet(path)
-        have = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if self._any(path) else set()
+        if touched:
+            old = self.read(touched).withColumn("bucket", bucket)
+            new = deltas.select("field", "term", F.col("d_occurrences").alias("n_occurrences"), F.col("d_records").alias("n_records"), "bucket")
+            # Both sides hold a term once, so a bucket is summed and written by the one task it is sent to.
+            merged = old.unionByName(new).repartition(len(touched), "bucket").groupBy("bucket", "field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+            with freeing_shuffles(self.spark):
+                merged.where("n_records > 0").write.partitionBy("bucket").parquet(path)
+            have = self._buckets_below(path)
+        gone = [p for b, p in self.current.items() if b in touched]
         current = {b: p for b, p in self.current.items() if b not in touched} | {b: f"{path}/bucket={b}" for b in touched if b in have}
-        publish_manifest(self.spark, self.root, self.version + 1, {"buckets": self.buckets, "current": {b: p.removeprefix(f"{self.root}/") for b, p in current.items()}})
-        self.version, self.current = self.version + 1, current
+        publish_manifest(self.spark, self.root, self.version + 1, {"buckets": self.buckets, "current": {b: p.removeprefix(f"{self.root}/") for b, p in current.items()}, "last_batch": last})
+        self.version, self.current, self.last_batch = self.version + 1, current, last
+        for p in gone:
+            delete_path(self.spark, p)
 
-    def _any(self, path: str) -> bool:
+    def _buckets_below(self, path: str) -> set[int]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        return any(s.isDirectory() for s in p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+        names = [s.getPath().getName() for s in p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+        return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
 
 
 def marked_terms(counts: DataFrame, tables: dict[str, str], rare: int = RARE_RECORDS, common: tuple[int, int] = COMMON_SHARE) -> DataFrame:
@@ -117,6 +143,18 @@ def marked_terms(counts: DataFrame, tables: dict[str, str], rare: int = RARE_REC
 
 
 FIELDS = {"note_tag": "note", "note_category": "note", "diary_tag": "diary"}
+RECORDS_PER_BUCKET, MOST_BUCKETS = 100_000, 4096
+
+
+def images(notes: DataFrame, diary: DataFrame) -> dict[str, DataFrame]:
+    """Record images of both tables, ids with the table's name before them."""
+    note = record_image(notes, {"note_tag": F.col("tags"), "note_category": F.array("category")}, "note")
+    entry = record_image(diary, {"diary_tag": F.col("tags")}, "diary")
+    return {n: df.select(F.concat(F.lit(f"{n}:"), "id").alias("id"), "image") for n, df in (("note", note), ("diary", entry))}
+
+
+def buckets_for(*tables: DataFrame) -> int:
+    return min(max(-(-sum(t.count() for t in tables) // RECORDS_PER_BUCKET), 4), MOST_BUCKETS)
 
 
 def corpus_counts(notes: DataFrame, diary: DataFrame, order: str = "ingested_at") -> DataFrame:
@@ -125,13 +163,31 @@ def corpus_counts(notes: DataFrame, diary: DataFrame, order: str = "ingested_at"
     The second arrival's images before it are the first arrival's records of the same ids, so what was only delivered
     again changes nothing.
     """
-    store = TermCounts.temporary(notes.sparkSession)
-    for name, df, fields in (("note", notes, {"note_tag": F.col("tags"), "note_category": F.array("category")}), ("diary", diary, {"diary_tag": F.col("tags")})):
+    store = TermCounts.temporary(notes.sparkSession, buckets_for(notes, diary))
+    early, late = [], []
+    for df in (notes, diary):
         at = F.unix_millis(F.col(order).cast("timestamp"))
         low, high = df.agg(F.min(at), F.max(at)).first()
-        late = F.coalesce(at > F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
-        first, second = record_image(df.where(~late), fields, name), record_image(df.where(late), fields, name)
-        nothing = first.limit(0)
-        store.apply(nothing, first)
-        store.apply(first.join(second.select("id"), "id", "left_semi"), second)
+        is_late = F.coalesce(at > F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
+        early.append(df.where(~is_late))
+        late.append(df.where(is_late))
+    first, second = images(*early), images(*late)
+    store.apply(additions(first["note"]).unionByName(additions(first["diary"])), 0)
+    again = [second[n].select("id", F.col("image").alias("new")).join(first[n].select("id", F.col("image").alias("old")), "id", "left").select("id", "old", "new") for n in second]
+    store.apply(again[0].unionByName(again[1]), 1)
     return marked_terms(store.read(), FIELDS)
+
+
+def revised_counts(notes: DataFrame, diary: DataFrame, dropped: Column, untagged: Column) -> DataFrame:
+    """Marked term counts after a store is loaded, opened again, and told of notes deleted (``dropped``) or left without tags (``untagged``).
+
+    The batch is given twice; the second time changes nothing.
+    """
+    spark, now = notes.sparkSession, images(notes, diary)
+    store = TermCounts.temporary(spark, buckets_for(notes, diary))
+    store.apply(additions(now["note"]).unionByName(additions(now["diary"])), 0)
+    revised = notes.where(~dropped).withColumn("tags", F.when(~untagged, F.col("tags")))
+    again = TermCounts.open(spark, store.root)
+    for _ in range(2):
+        again.apply(changes(now["note"], images(revised, diary)["note"]), 1)
+    return marked_terms(TermCounts.open(spark, store.root).read(), FIELDS)
