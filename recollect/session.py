@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import re
 import shutil
 import tempfile
@@ -101,30 +102,56 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def publish_manifest(spark: SparkSession, root: str, number: int, value: dict[str, Any]) -> None:
-    """Write ``value`` as manifest ``number`` below ``root``, whole or not at all by one rename, then drop the one before.
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file from the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.hsync()
+    stream.close()
+
 
-    For one writer at a time: one that did not see the newest manifest is refused.
+def place(spark: SparkSession, text: str, to: str) -> bool:
+    """Make the file ``to`` with this content, whole or not at all; False, and nothing changed, where it exists already.
+
+    The content is written beside it first. A rename onto an existing file is refused by shared file systems; local ones would
+    overwrite it, so there a hard link is made, which is refused.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    temp, to, old = path(f"{root}/_manifest-{uuid.uuid4().hex[:12]}"), *[path(f"{root}/manifest-{n:06d}.json") for n in (number, number - 1)]
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if _newest_manifest(spark, root) != number - 1:
-        raise ValueError("CONFLICT: another version was published below this root")
-    stream = fs.create(temp, True)
-    stream.write(bytearray(json.dumps(value).encode()))
-    stream.close()
-    if fs.exists(to) or not fs.rename(temp, to):
+    folder, name = to.rsplit("/", 1)
+    temp, final = path(f"{folder}/_{name}-{uuid.uuid4().hex[:12]}"), path(to)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write_text(spark, temp.toString(), text)
+    try:
+        if fs.getScheme() == "file":
+            os.link(temp.toUri().getPath(), final.toUri().getPath())
+            return True
+        return bool(not fs.exists(final) and fs.rename(temp, final))
+    except FileExistsError:
+        return False
+    finally:
         fs.delete(temp, False)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is directly below ``folder``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def publish_manifest(spark: SparkSession, root: str, number: int, value: dict[str, Any]) -> None:
+    """Write ``value`` as manifest ``number`` below ``root``, whole or not at all, then drop the one before.
+
+    Of several writers one succeeds; the others, and one that did not see the newest manifest, are refused.
+    """
+    if _newest_manifest(spark, root) != number - 1 or not place(spark, json.dumps(value), f"{root}/manifest-{number:06d}.json"):
         raise ValueError("CONFLICT: another version was published below this root")
-    fs.delete(old, False)
+    delete_path(spark, f"{root}/manifest-{number - 1:06d}.json")
 
 
 def _newest_manifest(spark: SparkSession, root: str) -> int:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return max((int(n[9:-5]) for n in names if n.startswith("manifest-")), default=0)
+    return max((int(n[9:-5]) for n in file_names(spark, root) if n.startswith("manifest-") and n.endswith(".json")), default=0)
 
 
 def last_manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, Any]] | None:

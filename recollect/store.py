@@ -1,9 +1,10 @@
 """A durable store on the transaction log: idempotent commits, recovery, rotation and garbage collection.
 
-Layout below ``root``: generations (checkpoints) with their ledger of receipts, and ``wal``, one folder per transaction since the current
-generation. State is always checkpoint plus log, merged by the same operator as any change feed. There is one writer at a time;
-a transaction folder is moved into place by one rename, so it is there whole or not at all, and a second writer's commit of the same
-number fails.
+Layout below ``root``: generations (checkpoints with digests) with their ledger of receipts; ``wal``, one JSON file per transaction since the
+current generation, each with the digest of the one before; and ``objects``, payloads too large to travel inline, named by
+their digest. State is always checkpoint plus log, merged by the same operator as any change feed. A transaction is placed under its
+number whole or not at all, and never over another, so of two writers one succeeds and the other is told to recover. The active log is
+bounded by the envelope; the writer keeps its identities and sizes, so a commit does not read it again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import json
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from recollect.functions.canonical import EncodingError
 from recollect.operators.change_log import commits_of, explode_ops, merge_runs, without_replays
-from recollect.operators.history import ENVELOPE, MUTATION_BOUND, receipts
-from recollect.session import delete_path
+from recollect.operators.history import ENVELOPE, INLINE_OP, INLINE_TOTAL, MUTATION_BOUND, merge_ledgers, receipts, reclaimable, resolved_ops
+from recollect.session import delete_path, file_names, place
 from recollect.sources.snapshot import GenerationStore
 from recollect.streaming.log_stream import FRAME_SCHEMA
 
 # The first transaction number lies above what a double can count, defaults of new records.
 FIRST_TX = 9007199254740993
 STATE = "store_id string, obj_kind string, obj_id string, body string"
+FRAME = "store_id string, epoch_id string, tx_id decimal(38,0), base struct<epoch:string,tx:decimal(38,0),digest:string>, mutation_id string, intent_digest string, ops array<struct<type:string,version:string,payload:string>>, received_at string"
+# An operation of this version holds the digest of an object in place of its payload.
+BY_REFERENCE = "reference"
 NOTE_DEFAULTS = {"tags": [], "source": "user", "importance": 0.5, "confidence": 0.75, "pinned": False, "status": "active", "metadata": {}}
 
 
@@ -58,6 +61,10 @@ class DurableStore:
     envelope: int = ENVELOPE
     tip: int = FIRST_TX - 1
     epoch: str = ""
+    closed: bool = False
+    _last: str = ""
+    _bytes: int = 0
+    _known: dict[str, dict[str, Any]] = field(default_factory=dict)
     _generations: GenerationStore = field(init=False)
 
     def __post_init__(self) -> None:
@@ -83,26 +90,86 @@ class DurableStore:
         return s
 
     def inspect(self) -> str:
-        return "active" if self._generations.head() else "missing"
-
-    def recover(self) -> None:
+        """``active``, ``legacy-json`` where there is only a snapshot document, or ``missing``."""
+        if self._generations.head():
+            return "active"
+        return "legacy-json" if "snapshot.json" in file_names(self.spark, self.root) else "missing"
+
+    def recover(self, verify: bool = False) -> list[str]:
+        """Take up the current generation and the log after it. Gives the torn frames put aside: only the last one may be torn.
+
+        Each frame must name this store and epoch, follow the one before and hold its digest. ``verify`` reads the
+        generation against its digests too. Files of writers that were lost are deleted.
+        """
+        if verify:
+            self._generations.verify()
         head = self._generations.read("head").first()
-        self.epoch, self.tip = head.epoch, int(head.tx_id)
-        for tx in self._wal_numbers():
+        self.epoch, self.tip, self._last, self._bytes, self._known = head.epoch, int(head.tx_id), "", 0, {}
+        for name in file_names(self.spark, f"{self.root}/wal"):
+            if name.startswith("_"):
+                delete_path(self.spark, f"{self.root}/wal/{name}")
+        numbers, torn = self._wal_numbers(), []
+        texts = self.spark.read.text([self._wal(n) for n in numbers], wholetext=True).select("value").collect() if numbers else []  # at most the envelope
+        frames = {}
+        for r in texts:
+            try:
+                f = json.loads(r.value)
+                frames[f["tx_id"]] = (f, hashlib.sha256(r.value.encode()).hexdigest())
+            except (ValueError, KeyError, TypeError):
+                continue
+        for tx in numbers:
             if tx <= self.tip:
                 continue
-            if tx != self.tip + 1:
-                raise StoreError("PERSISTENCE_CORRUPTION", f"transaction {self.tip + 1} is missing")
-            self.tip = tx
+            if tx not in frames:
+                if tx != numbers[-1]:
+                    raise StoreError("PERSISTENCE_CORRUPTION", f"transaction {tx} is no frame")
+                torn.append(self._put_aside(tx))
+                break
+            f, digest = frames[tx]
+            follows = f["store_id"] == self.store_id and f["epoch_id"] == self.epoch and tx == self.tip + 1 and f["base"]["tx"] == self.tip and (not self._last or f["base"]["digest"] == self._last)
+            if not follows:
+                raise StoreError("PERSISTENCE_CORRUPTION", f"transaction {tx} does not follow {self.tip}")
+            self._note(f, digest)
+        return torn
+
+    def _put_aside(self, tx: int) -> str:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        to = f"{self.root}/torn-{tx}-{uuid.uuid4().hex[:8]}"
+        path(to).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(path(self._wal(tx)), path(to))
+        return to
+
+    def _note(self, frame: dict[str, Any], digest: str) -> None:
+        """Keep what later commits ask about a frame of the active log."""
+        self.tip, self._last = frame["tx_id"], digest
+        self._bytes += frame["bytes"]
+        self._known[frame["mutation_id"]] = {"mutation_id": frame["mutation_id"], "tx_id": str(frame["tx_id"]), "intent_digest": frame["intent_digest"], "operations": [o["type"] for o in frame["ops"]]}
+
+    def close(self) -> None:
+        """No commit is taken any more."""
+        self.closed = True
 
     # --- reading
 
     def transactions(self) -> DataFrame:
-        """The log since the current generation."""
+        """The log since the current generation, payloads resolved."""
         numbers = self._wal_numbers()
         if not numbers:
             return self.spark.createDataFrame([], FRAME_SCHEMA)
-        return self.spark.read.schema(FRAME_SCHEMA).parquet(*[self._wal(n) for n in numbers])
+        frames = self.spark.read.schema(FRAME).json([self._wal(n) for n in numbers]).withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+        stored = self._objects()
+        if not stored:
+            return frames
+        own = [c for c in frames.columns if c != "ops"]
+        by_reference = F.col("op.version") == BY_REFERENCE
+        each = frames.select(*own, F.posexplode("ops").alias("at", "op")).select("*", F.when(by_reference, F.col("op.payload")).alias("digest"), F.when(~by_reference, F.col("op.payload")).alias("payload"))
+        have = self.spark.read.text([f"{self.root}/objects/{d}" for d in stored], wholetext=True).select(F.sha2("value", 256).alias("digest"), F.col("value").alias("payload"))
+        full = resolved_ops(each, have)
+        op = F.struct(F.col("op.type").alias("type"), F.when(F.col("digest").isNotNull(), "1").otherwise(F.col("op.version")).alias("version"), F.when(F.col("missing"), F.raise_error(F.lit("PERSISTENCE_CORRUPTION: an object is missing"))).otherwise(F.col("payload")).alias("payload"))
+        whole = full.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("at", op.alias("op")))).alias("l"))
+        return frames.drop("ops").join(whole.select("tx_id", F.col("l.op").alias("ops")), "tx_id").select(*frames.columns)
+
+    def _objects(self) -> list[str]:
+        return [n for n in file_names(self.spark, f"{self.root}/objects") if len(n) == 64]
 
     def objects(self) -> DataFrame:
         """``store_id, obj_kind, obj_id, body`` of everything that exists."""
@@ -128,14 +195,18 @@ class DurableStore:
         return json.loads(row.body)
 
     def receipt(self, mutation_id: str) -> dict[str, Any] | None:
-        """The receipt of a mutation, from the log or the ledger."""
-        found = receipts(self.transactions()).unionByName(self._generations.read("ledger")).where(F.col("mutation_id") == mutation_id).first()
+        """The receipt of a mutation, from the active log or the ledger."""
+        if mutation_id in self._known:
+            return dict(self._known[mutation_id])
+        found = self._generations.read("ledger").where(F.col("mutation_id") == mutation_id).first()
         return found and {"mutation_id": mutation_id, "tx_id": str(found.tx_id), "intent_digest": found.intent_digest, "operations": list(found.op_types)}
 
     # --- writing
 
     def commit(self, mutation_id: str, command: dict[str, Any]) -> dict[str, Any]:
         """Commit a command once. The same id with the same intent gives the first receipt again; with another it is refused."""
+        if self.closed:
+            raise StoreError("CLOSED", "the store is closed")
         if not isinstance(mutation_id, str) or not mutation_id.strip():
             raise StoreError("INVALID_INPUT", "a mutation needs a stable id")
         intent = intent_digest(command)
@@ -147,18 +218,27 @@ class DurableStore:
             return known | {"status": "already-committed"}
         ops = self._effects(command)
         size = sum(len(p.encode()) for _, _, p in ops)
-        if self._active_bytes() + size > self.envelope:
+        if self._bytes + size > self.envelope:
             raise StoreError("RECOVERY_REQUIRED", "the active log is full; rotate first")
         tx = self.tip + 1
-        row = (self.store_id, self.epoch, Decimal(tx), (self.epoch, Decimal(self.tip), None), mutation_id, intent, ops, datetime.now(timezone.utc).replace(tzinfo=None))
-        temp = f"{self.root}/wal/.tx-{tx}-{uuid.uuid4().hex[:8]}"
-        self.spark.createDataFrame([row], FRAME_SCHEMA).coalesce(1).write.parquet(temp)
-        if not self._move(temp, self._wal(tx)):
-            delete_path(self.spark, temp)
-            raise StoreError("STALE_TRANSACTION_BASE", "another writer committed first")
-        self.tip = tx
+        sent = [self._sent(o, size > INLINE_TOTAL) for o in ops]
+        at = datetime.now(timezone.utc).replace(tzinfo=None).isoformat(timespec="milliseconds")
+        frame = {"store_id": self.store_id, "epoch_id": self.epoch, "tx_id": tx, "base": {"epoch": self.epoch, "tx": self.tip, "digest": self._last or None}, "mutation_id": mutation_id, "intent_digest": intent, "ops": sent, "bytes": size, "received_at": at}
+        text = json.dumps(frame, ensure_ascii=False, separators=(",", ":"))
+        if not place(self.spark, text, self._wal(tx)):
+            raise StoreError("STALE_TRANSACTION_BASE", "another writer committed first; recover")
+        self._note(frame, hashlib.sha256(text.encode()).hexdigest())
         return {"mutation_id": mutation_id, "tx_id": str(tx), "intent_digest": intent, "operations": [o[0] for o in ops], "status": "committed"}
 
+    def _sent(self, op: tuple[str, str, str], all_by_reference: bool) -> dict[str, str]:
+        """An operation as it travels. A large payload is installed first as an object under its digest, where an equal one may be."""
+        kind, version, payload = op
+        if len(payload.encode()) <= INLINE_OP and not all_by_reference:
+            return {"type": kind, "version": version, "payload": payload}
+        digest = hashlib.sha256(payload.encode()).hexdigest()
+        place(self.spark, payload, f"{self.root}/objects/{digest}")
+        return {"type": kind, "version": BY_REFERENCE, "payload": digest}
+
     def _effects(self, c: dict[str, Any]) -> list[tuple[str, str, str]]:
         """The operations of a command, prepared on the current state."""
         put = lambda kind, body: (f"ether.{kind}.put", "1", json.dumps(body, ensure_ascii=False, sort_keys=True))
@@ -202,20 +282,42 @@ class DurableStore:
     # --- maintenance
 
     def rotate(self) -> str:
-        """Write state and receipts as a new generation, move the pointer, then drop the log it covers."""
+        """Write state and receipts as a new generation, read it back, publish it, then drop the log it covers. An identity both in the
+        ledger and in the log is corruption."""
         covered = self._wal_numbers()
-        ledger = self._generations.read("ledger").unionByName(receipts(self.transactions()))
-        name = self._publish(self.objects(), ledger)
+        ledger = merge_ledgers(self._generations.read("ledger"), receipts(self.transactions()))
+        if not ledger.where("corrupt").isEmpty():
+            raise StoreError("PERSISTENCE_CORRUPTION", "a mutation id comes up twice in retired history")
+        name = self._publish(self.objects(), ledger.drop("corrupt").repartitionByRange("mutation_id").sortWithinPartitions("mutation_id"))
         for tx in covered:
             delete_path(self.spark, self._wal(tx))
+        self._last, self._bytes, self._known = "", 0, {}
         return name
 
+    def sweep(self) -> dict[str, int]:
+        """Delete the objects no transaction of the active log names. One named but not there is corruption."""
+        numbers, stored = self._wal_numbers(), self._objects()
+        inventory = self.spark.createDataFrame([(d,) for d in stored], "digest string")
+        marks = self.spark.createDataFrame([], "digest string")
+        if numbers:
+            named = self.spark.read.schema(FRAME).json([self._wal(n) for n in numbers]).select(F.explode("ops").alias("op")).where(F.col("op.version") == BY_REFERENCE)
+            marks = named.select(F.col("op.payload").alias("digest"))
+        free, lost = reclaimable(inventory, marks)
+        if not lost.isEmpty():
+            raise StoreError("PERSISTENCE_CORRUPTION", "an object is missing")
+        gone = [r.digest for r in free.collect()]  # names of files the driver listed
+        for d in gone:
+            delete_path(self.spark, f"{self.root}/objects/{d}")
+        return {"scanned": len(stored), "marked": len(stored) - len(gone), "reclaimed": len(gone)}
+
     def collect_garbage(self) -> list[str]:
+        """Delete superseded generations and unnamed objects; gives the names of the generations."""
+        self.sweep()
         return self._generations.collect_garbage()
 
     def maintain(self) -> dict[str, Any]:
         """Rotate where the log could not take another mutation of the largest size, and only then collect garbage."""
-        active, bound = self._active_bytes(), min(MUTATION_BOUND, self.envelope)
+        active, bound = self._bytes, min(MUTATION_BOUND, self.envelope)
         plan = {"active_bytes": active, "envelope_bytes": self.envelope, "headroom_bytes": self.envelope - active, "rotate": active + bound > self.envelope}
         if not plan["rotate"]:
             return plan | {"performed": []}
@@ -232,21 +334,7 @@ class DurableStore:
         return receipts(self.spark.createDataFrame([], FRAME_SCHEMA))
 
     def _wal(self, tx: int) -> str:
-        return f"{self.root}/wal/tx-{tx}"
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return f"{self.root}/wal/tx-{tx}.json"
 
     def _wal_numbers(self) -> list[int]:
-        path, fs = self._fs(f"{self.root}/wal")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n[3:]) for n in names if n.startswith("tx-"))
-
-    def _move(self, temp: str, to: str) -> bool:
-        (a, fs), (b, _) = self._fs(temp), self._fs(to)
-        return not fs.exists(b) and fs.rename(a, b)
-
-    def _active_bytes(self) -> int:
-        size = F.aggregate(F.transform("ops", lambda o: F.octet_length(o["payload"]).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y)
-        return self.transactions().agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        return sorted(int(n[3:-5]) for n in file_names(self.spark, f"{self.root}/wal") if n.startswith("tx-") and n.endswith(".json"))

@@ -37,6 +37,7 @@ def test_commits_recovery_and_maintenance(spark, tmp_path):
         again.tip -= 1
         again.commit("m5", {"kind": "note.update", "id": "n", "patch": {"tags": ["t"]}})
     assert x.value.code == "STALE_TRANSACTION_BASE"
+    again.recover()
     assert s.maintain()["performed"] == []
     before = sorted(map(tuple, s.objects().collect()))
     s.rotate()
@@ -51,6 +52,55 @@ def test_commits_recovery_and_maintenance(spark, tmp_path):
     assert x.value.code == "RECOVERY_REQUIRED"
 
 
+def test_two_writers_torn_frames_and_broken_chains(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "snapshot.json").write_text("{}")
+    assert DurableStore(spark, root, "s").inspect() == "legacy-json"
+    (tmp_path / "store" / "snapshot.json").unlink()
+    one = DurableStore.create(spark, root, "s")
+    two = DurableStore.open(spark, root, "s")
+    one.commit("m1", {"kind": "diary.put", "input": {"id": "a", "content": "first"}})
+    with pytest.raises(StoreError) as x:
+        two.commit("m2", {"kind": "diary.put", "input": {"id": "b", "content": "second"}})
+    assert x.value.code == "STALE_TRANSACTION_BASE" and two.state("diary").count() == 1
+    assert two.recover(verify=True) == [] and two.commit("m2", {"kind": "diary.put", "input": {"id": "b", "content": "second"}})["tx_id"] == str(FIRST_TX + 1)
+    wal = tmp_path / "store" / "wal"
+    (wal / "_tx-lost").write_text("left by a lost writer")
+    (wal / f"tx-{FIRST_TX + 2}.json").write_text('{"store_id": "s", "tx_')
+    assert len(one.recover()) == 1 and one.tip == FIRST_TX + 1 and sorted(p.name for p in wal.iterdir() if p.name[0] != ".") == [f"tx-{FIRST_TX + i}.json" for i in range(2)]
+    for wrong in ('"store_id":"t"', '"tx":1'):
+        frame = (wal / f"tx-{FIRST_TX + 1}.json").read_text().replace(f'"tx_id":{FIRST_TX + 1}', f'"tx_id":{FIRST_TX + 2}')
+        frame = frame.replace('"store_id":"s"', wrong) if "store" in wrong else frame
+        (wal / f"tx-{FIRST_TX + 2}.json").write_text(frame)
+        with pytest.raises(StoreError) as x:
+            one.recover()
+        assert x.value.code == "PERSISTENCE_CORRUPTION"
+    one.close()
+    with pytest.raises(StoreError) as x:
+        one.commit("m9", {"kind": "diary.remove", "id": "a"})
+    assert x.value.code == "CLOSED"
+
+
+def test_large_payloads_are_objects(spark, tmp_path):
+    s = DurableStore.create(spark, f"file://{tmp_path}/store", "s")
+    big = "y" * 100_000
+    s.commit("m1", {"kind": "diary.put", "input": {"id": "a", "content": big}})
+    s.commit("m2", {"kind": "diary.put", "input": {"id": "b", "content": "small"}})
+    objects = tmp_path / "store" / "objects"
+    assert len([p for p in objects.iterdir() if len(p.name) == 64]) == 1
+    assert s.get("diary", "a")["content"] == big and s.sweep() == {"scanned": 1, "marked": 1, "reclaimed": 0}
+    again = DurableStore.open(spark, s.root, "s")
+    assert again._bytes == s._bytes and again.get("diary", "b")["content"] == "small"
+    again.rotate()
+    assert again.sweep() == {"scanned": 1, "marked": 0, "reclaimed": 1} and again.get("diary", "a")["content"] == big
+    data = next((tmp_path / "store" / "generations" / again._generations.head() / "objects").glob("*.parquet"))
+    assert set(again._generations.verify()) == {"objects", "ledger", "head"}
+    spark.createDataFrame([("s", "diary", "a", "{}")], "store_id string, obj_kind string, obj_id string, body string").coalesce(1).write.mode("append").parquet(str(data.parent))
+    with pytest.raises(ValueError, match="PERSISTENCE_CORRUPTION"):
+        again._generations.verify()
+
+
 def test_summaries():
     text, refs = "x" * 50, [("note", "a"), ("diary", "b")]
     find = {"note": "first text", "diary": "second"}
