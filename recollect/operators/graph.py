@@ -128,6 +128,18 @@ def incident_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return adjacency(edges).join(nodes.select("node"), "node").select("node", "edge_id", "relationship", "other").distinct()
 
 
+def edge_evidence(edges: DataFrame, nodes: DataFrame, limit: int = 8) -> DataFrame:
+    """``node, known, shown``: the number of edges at each node and the first ``limit`` of them by id.
+
+    Rank and limit stand alone, so of a node with a third of all edges only the first rows are shuffled to its task.
+    """
+    at = incident_edges(edges, nodes).select("node", "edge_id").distinct()
+    known = at.groupBy("node").agg(F.count(F.lit(1)).alias("known"))
+    first = at.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy(code_unit_key(F.col("edge_id"))))).where(F.col("nth") <= limit)
+    shown = first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nth", "edge_id"))).alias("s"))
+    return known.join(shown, "node").select("node", "known", F.col("s.edge_id").alias("shown"))
+
+
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``, self-loops included."""
     return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("id", "source", "target", "relationship")
@@ -138,4 +150,4 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select("id", F.explode(F.array_distinct(F.array("source", "target"))).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-__all__ = ["Recall", "class_rank", "neighbourhood", "query_with_recall", "recall_nodes"]
+__all__ = ["Recall", "class_rank", "edge_evidence", "neighbourhood", "query_with_recall", "recall_nodes"]

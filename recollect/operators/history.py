@@ -77,10 +77,11 @@ def lookup(ledger: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(have, ["store_id", "mutation_id"], "left").select("store_id", "mutation_id", outcome.alias("outcome"), "owner_tx")
 
 
-def merge_ledgers(previous: DataFrame, segment: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The union of two ledgers and the identities in both, which are corruption."""
-    both = previous.select("store_id", "mutation_id").join(segment.select("store_id", "mutation_id"), ["store_id", "mutation_id"], "left_semi")
-    return previous.unionByName(segment), both
+def merge_ledgers(previous: DataFrame, segment: DataFrame) -> DataFrame:
+    """The union of two ledgers by identity, the first transaction of each, and ``corrupt`` for identities that come up twice."""
+    every = previous.unionByName(segment)
+    first = F.min_by(F.struct(*[c for c in every.columns if c not in ("store_id", "mutation_id")]), "tx_id").alias("first")
+    return every.groupBy("store_id", "mutation_id").agg(first, (F.count(F.lit(1)) > 1).alias("corrupt")).select("store_id", "mutation_id", "first.*", "corrupt")
 
 
 def op_transport(transactions: DataFrame, inline_op: int = INLINE_OP, inline_total: int = INLINE_TOTAL) -> DataFrame:

@@ -35,19 +35,28 @@ def new_notes(raw: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def new_entries(raw: DataFrame, at: Column) -> DataFrame:
+    """Diary entries to add: trimmed content, defaults; blank content is left out."""
+    body = strip_white(F.col("content"))
+    return raw.where(body != "").select("id", body.alias("content"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), at.alias("created_at"), at.alias("updated_at"))
+
+
 def patched(notes: DataFrame, patches: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """Notes after ``patches`` (id and the changed columns, null for unchanged), and the patches refused: ``id, code``.
+    """Notes or diary entries after ``patches`` (id and the changed columns, null for unchanged), and the patches refused: ``id, code``.
 
-    A patch of an unknown note is NOT_FOUND; one that changes the content of a pinned note is CONFLICT.
+    A patch of an unknown record is NOT_FOUND, one to a blank content INVALID_INPUT; one that changes the content of a pinned note is CONFLICT.
     """
     columns = [c for c in patches.columns if c != "id"]
+    if "content" in columns:
+        patches = patches.withColumn("content", strip_white(F.col("content")))
     p = patches.select("id", F.lit(True).alias("__p"), *[F.col(c).alias(f"__{c}") for c in columns])
-    guard = F.col("pinned") & F.coalesce(F.col("__content") != F.col("content"), F.lit(False)) if "content" in columns else F.lit(False)
-    both = notes.join(p, "id", "left").withColumn("__no", guard)
-    use = F.col("__p").isNotNull() & ~F.col("__no")
+    blank = F.coalesce(F.col("__content") == "", F.lit(False)) if "content" in columns else F.lit(False)
+    guard = F.col("pinned") & F.coalesce(F.col("__content") != F.col("content"), F.lit(False)) if "content" in columns and "pinned" in notes.columns else F.lit(False)
+    both = notes.join(p, "id", "left").withColumn("__no", F.when(guard, "CONFLICT").when(blank, "INVALID_INPUT"))
+    use = F.col("__p").isNotNull() & F.col("__no").isNull()
     new = {c: F.when(use, F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}
     out = both.select(*[(new[c] if c in new else F.when(use, at).otherwise(F.col(c)) if c == "updated_at" else F.col(c)).alias(c) for c in notes.columns])
-    refused = both.where("__p and __no").select("id", F.lit("CONFLICT").alias("code"))
+    refused = both.where("__p and __no is not null").select("id", F.col("__no").alias("code"))
     absent = patches.select("id").join(notes.select("id"), "id", "left_anti").select("id", F.lit("NOT_FOUND").alias("code"))
     return out, refused.unionByName(absent)
 

@@ -96,9 +96,37 @@ def receipt(records: DataFrame, issues: DataFrame, max_records: int = MAX_RECORD
     return n.join(i).select("n_records", (F.col("n_issues") + over.cast("int")).alias("n_issues"), blocked.alias("blocking"), F.when(blocked, 0).otherwise(F.col("n_records")).alias("imported"))
 
 
+def text_size(records: DataFrame) -> Column:
+    """Characters of all strings of a record, the names of its fields included."""
+    kinds = dict(records.dtypes)
+    own = lambda c: F.length(c) if kinds[c] == "string" else F.lit(0)
+    fields = [c for c in ("schema", "id", "kind", "text", "category", "source", "status", "confidence", "createdAt", "updatedAt") if c in kinds]
+    parts = [F.coalesce(F.lit(len(c)) + own(c) if kinds[c] == "string" else F.when(F.col(c).isNotNull(), F.lit(len(c))), F.lit(0)) for c in fields]
+    parts.append(F.coalesce(F.lit(len("tags")) + F.aggregate("tags", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))), F.lit(0)))
+    cite = [F.lit(len("citation")), *[F.coalesce(F.lit(len(c)) + F.length(f"citation.{c}"), F.lit(0)) for c in ("ref", "kind", "id")]]
+    parts.append(F.when(F.col("citation").isNotNull(), sum(cite[1:], cite[0])).otherwise(0))
+    return sum(parts[1:], parts[0]).cast("bigint")
+
+
+def receipts(records: DataFrame, issues: DataFrame, by: str, max_records: int = MAX_RECORDS, max_total: int = MAX_TOTAL) -> DataFrame:
+    """The receipts of many imports at once, told apart by the column ``by``: records, those with issues, size, whether blocked, records imported.
+
+    An import of too many records, or of too many characters in all, is blocked as a whole.
+    """
+    bad = issues.select("record_index").distinct().withColumn("bad", F.lit(True))
+    r = records.withColumn("chars", text_size(records)).select(by, "record_index", "chars").join(bad, "record_index", "left")
+    per = r.groupBy(by).agg(F.count(F.lit(1)).alias("n_records"), F.count("bad").alias("n_bad"), F.sum("chars").alias("chars"))
+    blocked = (F.col("n_bad") > 0) | (F.col("n_records") > max_records) | (F.col("chars") > max_total)
+    return per.withColumn("blocking", blocked).withColumn("imported", F.when(blocked, 0).otherwise(F.col("n_records")))
+
+
 def imported(records: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notes and diary entries with the defaults of an import; none at all where there is an issue."""
-    clean = records.join(issues.select(F.lit(1).alias("__x")).limit(1), F.lit(True), "left_anti")
+    return accepted(records if issues.isEmpty() else records.limit(0))
+
+
+def accepted(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notes and diary entries of sound records, with the defaults of an import."""
     text = strip_white(F.col("text"))
     times = [parsed_time(F.col("createdAt")).alias("created_at"), parsed_time(F.col("updatedAt")).alias("updated_at")]
     notes = clean.where("kind = 'note'").select(

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators import change_log, dream, graph, history, mutations, portable, validate
+from recollect.operators import change_log, dream, history, mutations, portable, validate
 from recollect.plans.registry import Registry
 from recollect.plans.store_queries import AS_OF, CONDENSE_SQL
 from recollect.session import materialize
@@ -250,9 +250,8 @@ def dream_outputs(spark: SparkSession, root: str) -> DataFrame:
     return out.select("id", "content", F.array_join("key_facts", "\n").alias("key_facts"))
 
 
-@checked_by(None)
-def dream_cycle(spark: SparkSession, root: str) -> DataFrame:
-    """Plan and result of one cycle over the most linked eligible notes, as one row of JSON.
+def linked_plan(spark: SparkSession, root: str) -> tuple[dream.Plan, dict]:
+    """Plan and result of one cycle over the most linked eligible notes.
 
     A cycle is bounded by its format: as many ids are asked for as a selector takes, and the plan cuts them to its sources.
     """
@@ -261,7 +260,13 @@ def dream_cycle(spark: SparkSession, root: str) -> DataFrame:
     ok = dream.selected(notes, _request({"kind": "all_active"})).select("id", F.concat(F.lit("memory:"), "id").alias("node"))
     ids = [r.id for r in ok.join(linked, "node").orderBy(F.col("n").desc(), "id").limit(dream.MAX_NAMES).collect()]
     plan = dream.preview(notes, edges, _request({"kind": "ids", "ids": ids}))
-    result = dream.run(notes, edges, plan)
+    return plan, dream.run(notes, edges, plan)
+
+
+@checked_by(None)
+def dream_cycle(spark: SparkSession, root: str) -> DataFrame:
+    """Plan and result of one cycle as one row of JSON; ``dream_plan`` and ``dream_proposals`` check its parts."""
+    plan, result = linked_plan(spark, root)
     return spark.createDataFrame([(plan.plan_id, dream.as_json(plan.fields), dream.as_json(result))], "plan_id string, plan string, result string")
 
 

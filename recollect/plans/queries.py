@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import data_queries, log_queries, store_queries
+from recollect.plans import data_queries, exchange_queries, log_queries, record_queries, store_queries
 
-PARTS = (store_queries, log_queries, data_queries)
+PARTS = (store_queries, log_queries, exchange_queries, record_queries, data_queries)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

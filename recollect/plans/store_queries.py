@@ -12,7 +12,9 @@ from recollect.operators import graph, retrieval
 from recollect.operators.condense import CATEGORY_RULES, condensed
 from recollect.operators.context import Context
 from recollect.operators.inspect import explained, health_findings, health_report, note_health
+from recollect.operators.note_index import NoteIndex
 from recollect.plans.registry import Registry
+from recollect.session import scratch_path
 from recollect.sources import views
 from recollect.sources.views import TOKENS_SQL, VIEWS_SQL
 
@@ -26,15 +28,15 @@ _registry = Registry()
 checked_by, QUERIES, ORACLE_SQL = _registry.checked_by, _registry.queries, _registry.oracle_sql
 
 
-def _index(spark: SparkSession, root: str) -> DataFrame:
+def note_index_of(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.note_index(views.notes(spark, root, once=False))
 
 
-def _diary_index(spark: SparkSession, root: str) -> DataFrame:
+def diary_index_of(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.diary_index(views.diary(spark, root, once=False))
 
 
-def _list(words: list[str]) -> str:
+def text_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
@@ -56,8 +58,8 @@ def match_sql(text: str, passes: str) -> str:
     q = query_tokens(text)
     return (
         INDEX_SQL
-        + f""", m as (select *, list_filter({_list(q)}, lambda t: list_contains(toks, t)) as mtoks, list_filter({_list(q)}, lambda t: list_contains(tt, t)) as mtags,
-    list_filter({_list(q)}, lambda t: list_contains(mt, t)) as mmeta, contains(' ' || array_to_string(toks, ' ') || ' ', ' {" ".join(q)} ') as ex from idx where {_PASS[passes]}),
+        + f""", m as (select *, list_filter({text_list(q)}, lambda t: list_contains(toks, t)) as mtoks, list_filter({text_list(q)}, lambda t: list_contains(tt, t)) as mtags,
+    list_filter({text_list(q)}, lambda t: list_contains(mt, t)) as mmeta, contains(' ' || array_to_string(toks, ' ') || ' ', ' {" ".join(q)} ') as ex from idx where {_PASS[passes]}),
 c as (select *, case when ex then 'exact_phrase' when len(mtoks) = {len(q)} then 'full_token_match' when len(mtoks) > 0 then 'partial_token_match' when len(mtags) + len(mmeta) > 0 then 'tag_metadata_match' end as match_class from m),
 l as (select *, case match_class when 'exact_phrase' then 0.9::double + len(mtoks) * 0.02::double when 'full_token_match' then 0.7::double + len(mtoks) * 0.02::double
     when 'partial_token_match' then 0.5::double + len(mtoks) * 0.02::double else 0.3::double + (len(mtags) + len(mmeta)) * 0.02::double end as lexical,
@@ -82,22 +84,41 @@ def note_phrases(spark: SparkSession, root: str) -> DataFrame:
 
 @checked_by(top_sql(TEXT, "default") + "select rank, id, match_class, score from ranked where rank <= 50")
 def query_memories(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.query_notes(_index(spark, root), retrieval.Query(TEXT, AS_OF)).select(*MATCH)
+    return retrieval.query_notes(note_index_of(spark, root), retrieval.Query(TEXT, AS_OF)).select(*MATCH)
 
 
 @checked_by(top_sql("project", "wide") + "select rank, id, match_class, score from ranked where rank <= 50")
 def query_all_states(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.query_notes(_index(spark, root), retrieval.Query("project", AS_OF, WIDE)).select(*MATCH)
+    return retrieval.query_notes(note_index_of(spark, root), retrieval.Query("project", AS_OF, WIDE)).select(*MATCH)
 
 
 @checked_by(top_sql(TEXT, "narrow") + "select rank, id, match_class, score from ranked where rank <= 20")
 def query_filtered(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.query_notes(_index(spark, root), retrieval.Query(TEXT, AS_OF, NARROW, 20)).select(*MATCH)
+    return retrieval.query_notes(note_index_of(spark, root), retrieval.Query(TEXT, AS_OF, NARROW, 20)).select(*MATCH)
+
+
+def _texts_sql(texts: tuple[str, ...]) -> str:
+    return " union all ".join(f"(select '{t}' as text, rank, id, match_class, score from ({top_sql(t, 'default')} select * from ranked where rank <= 50))" for t in texts)
+
+
+TEXTS = ("archive choir", "moved to the archive", "nosuchwordanywhere")
+
+
+@checked_by(_texts_sql(TEXTS))
+def query_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """Queries of rare, common and unknown words over an index built from all notes and opened again."""
+    path = scratch_path(spark, "note-index")
+    NoteIndex.build(views.notes(spark, root, once=False), path)
+    index, out = NoteIndex.open(spark, path), None
+    for t in TEXTS:
+        one = index.query(retrieval.Query(t, AS_OF)).select(F.lit(t).alias("text"), *MATCH)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @checked_by(match_sql("the archive choir", "default") + "select match_class, count(*) as n, sum(len(mtoks))::bigint as n_hits, max(score) as best from scored group by 1")
 def match_classes(spark: SparkSession, root: str) -> DataFrame:
-    found = retrieval.direct_matches(_index(spark, root), retrieval.Query("the archive choir", AS_OF))
+    found = retrieval.direct_matches(note_index_of(spark, root), retrieval.Query("the archive choir", AS_OF))
     return found.groupBy("match_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("matched_tokens")).alias("n_hits"), F.max("score").alias("best"))
 
 
@@ -108,19 +129,19 @@ case when match_class = 'exact_phrase' then 'archive choir archive' end as exact
 )
 def match_evidence(spark: SparkSession, root: str) -> DataFrame:
     text = "archive choir archive"
-    e = retrieval.evidence(retrieval.direct_matches(_index(spark, root), retrieval.Query(text, AS_OF, WIDE)), text).select("id", "evidence.*")
+    e = retrieval.evidence(retrieval.direct_matches(note_index_of(spark, root), retrieval.Query(text, AS_OF, WIDE)), text).select("id", "evidence.*")
     return e.select("id", "match_class", "score", *[F.array_join(c, " ").alias(c) for c in ("matched_tokens", "tags", "metadata_fields")], "exact_phrase", "by_text", "by_importance", "by_confidence")
 
 
 _DIARY = f"""with {VIEWS_SQL}, d as (select *, {TOKENS_SQL.format("content || ' ' || array_to_string(tags, ' ')")} as toks from diary),
-h as (select id, updated_at, contains(' ' || array_to_string(toks, ' ') || ' ', ' {TEXT} ') as ex from d where list_has_any(toks, {_list(query_tokens(TEXT))})),
+h as (select id, updated_at, contains(' ' || array_to_string(toks, ' ') || ' ', ' {TEXT} ') as ex from d where list_has_any(toks, {text_list(query_tokens(TEXT))})),
 r as (select *, row_number() over (order by updated_at desc nulls last, id) as rank from h)
 """
 
 
 @checked_by(_DIARY + "select rank, id, case when ex then 'exact_phrase token' else 'token' end as matched_by from r where rank <= 20")
 def diary_search(spark: SparkSession, root: str) -> DataFrame:
-    found = retrieval.search_diary(_diary_index(spark, root), TEXT)
+    found = retrieval.search_diary(diary_index_of(spark, root), TEXT)
     return found.select("rank", "id", F.array_join("matched_by", " ").alias("matched_by"))
 
 
@@ -218,13 +239,13 @@ def query_with_recall(spark: SparkSession, root: str) -> DataFrame:
 
 def _context(spark: SparkSession, root: str) -> Context:
     q = retrieval.Query(TEXT, AS_OF)
-    return Context(_index(spark, root), _diary_index(spark, root), views.nodes(spark, root), views.edges(spark, root), q)
+    return Context(note_index_of(spark, root), diary_index_of(spark, root), views.nodes(spark, root), views.edges(spark, root), q)
 
 
 _CONTEXT = (
     top_sql(TEXT, "default")
     + f""", dd as (select *, {TOKENS_SQL.format("content || ' ' || array_to_string(tags, ' ')")} as toks from diary),
-dr as (select id, content, row_number() over (order by updated_at desc nulls last, id) as rank from dd where list_has_any(toks, {_list(query_tokens(TEXT))})),
+dr as (select id, content, row_number() over (order by updated_at desc nulls last, id) as rank from dd where list_has_any(toks, {text_list(query_tokens(TEXT))})),
 ch as (select 'note' as kind, id, content, rank as ord from ranked where rank <= 12 union all select 'diary', id, content, 12 + rank from dr where rank <= 4),
 rm as (select *, greatest(0, 12000 - coalesce(sum(length(content)) over (order by ord rows between unbounded preceding and 1 preceding), 0)) as room from ch),
 sh as (select *, case when length(content) <= room then content when room >= 3 then substr(content, 1, (room - 3)::int) || '...' else substr(content, 1, room::int) end as shown from rm),
@@ -279,7 +300,7 @@ g as (select id, i, sentence from f qualify row_number() over (partition by id o
 facts as (select id, string_agg(sentence, chr(10) order by i) as key_facts, count(*) as n from g group by id),
 a as (select s.id, coalesce(key_facts, '') as key_facts, coalesce(n, 0) as n, case when length(body) <= 200 then body else substr(body, 1, 197) || '...' end as summary,
     array_to_string(list_slice(list_sort(list_distinct(toks)), 1, 8), ' ') as tags, case """
-    + " ".join(f"when list_has_any(toks, {_list(list(words))}) then '{name}'" for name, words in CATEGORY_RULES)
+    + " ".join(f"when list_has_any(toks, {text_list(list(words))}) then '{name}'" for name, words in CATEGORY_RULES)
     + """ end as category from s left join facts using (id))
 select id, key_facts, summary, tags, category, greatest(0::double, least(1::double, 0::double + 0.4::double + case when n > 0 then 0.1::double else 0 end + least(n, 5) * 0.02::double
     + case when category is not null then 0.1::double else 0 end + case when tags <> '' then 0.05::double else 0 end + 0::double)) as confidence from a"""
@@ -347,4 +368,4 @@ def health_failures(spark: SparkSession, root: str) -> DataFrame:
 select claim_key, count(*) as n_notes, string_agg(id, ',' order by id) as note_ids from k where claim_key is not null group by 1 having count(*) > 1""")
 def claim_groups(spark: SparkSession, root: str) -> DataFrame:
     k = views.notes(spark, root).select("id", F.get_json_object("metadata", "$.claimKey").alias("claim_key")).where("claim_key is not null")
-    return k.groupBy("claim_key").agg(F.count(F.lit(1)).alias("n_notes"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("note_ids")).where("n_notes > 1")
+    return k.groupBy("claim_key").agg(F.count(F.lit(1)).alias("n_notes"), F.array_join(F.array_sort(F.collecttext_list("id")), ",").alias("note_ids")).where("n_notes > 1")
