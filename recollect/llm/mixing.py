@@ -71,9 +71,9 @@ def draw_mixes(docs: DataFrame, targets: DataFrame, total_tokens: int | None = N
     return prefix_sums(sized, docs_per_range).join(budgets, "source").select("mix_name", "doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 
 
-def mix_shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def mix_shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """Per mix and source what was asked for and what was reached, in tokens and as shares of the mix."""
-    sized = sized_documents(docs)
+    sized = sized_documents(docs) if sized is None else sized
     drawn = draw_mixes(docs, targets, total_tokens, sized=sized).groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"), F.sum("repeats").alias("n_draws"))
     t = mix_budgets(sized, targets, total_tokens).join(drawn, ["mix_name", "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0))

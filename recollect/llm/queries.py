@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.llm import cooccurrence, format_duplicates, lookalikes, mixing, near_duplicates, survivorship, term_counts, tokenizer
 from recollect.functions.text import strip_white
+from recollect.llm import cooccurrence, format_duplicates, lookalikes, mixing, near_duplicates, survivorship, term_counts, tokenizer
+from recollect.session import materialize
 from recollect.sources.tables import table
 
 
@@ -86,12 +88,12 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    """Per document the number of tokens and whether decoding gives the text again (null and empty: the empty text)."""
+    """Per document whether it has tokens, and whether decoding them gives the text again (null and empty: the empty text)."""
     docs = _docs(spark, root)
-    ids = tokenizer.token_ids(docs)
+    ids = materialize(tokenizer.token_ids(docs), "token-ids")
     back = tokenizer.decoded(ids).withColumnRenamed("text", "decoded")
-    counted = ids.select("doc_id", F.size("ids").alias("n_tokens"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").join(counted, "doc_id").select("doc_id", "n_tokens", (F.col("text") == F.col("decoded")).alias("same"))
+    counted = ids.select("doc_id", (F.size("ids") > 0).alias("has_tokens"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").join(counted, "doc_id").select("doc_id", "has_tokens", (F.col("text") == F.col("decoded")).alias("same"))
 
 
 def p9_draws(spark: SparkSession, root: str) -> DataFrame:
@@ -102,6 +104,17 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_shares(_docs(spark, root), table(spark, root, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What every row of ``p9_shares`` must hold: the cut is within one text of its budget, no text is over its repeats, shares add up."""
+    docs = _docs(spark, root)
+    sized = mixing.sized_documents(docs)
+    s = mixing.mix_shares(docs, table(spark, root, "mix_targets"), sized=sized)
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    s = s.join(longest, "source", "left").withColumn("total", F.sum("reached_share").over(W.partitionBy("mix_name")))
+    cut = F.coalesce((F.col("budget") - F.col("tokens")).between(0, F.col("longest")), F.col("tokens") == 0)
+    return s.select("mix_name", "source", "max_repeats", (F.col("source_tokens") > 0).alias("has_tokens"), cut.alias("cut_exactly"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("total") - 1) < 1e-9).alias("whole"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.lookalike_pairs(_docs(spark, root))
 
@@ -116,7 +129,7 @@ def p10_classes(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_collapsed, p2_found, p2_counts, p2_revised, p3_found, p3_pairs, p5_found, p5_consistent, p6_found, p6_degrees, p8_ids, p8_roundtrip, p9_draws, p9_shares, p10_found, p10_forms, p10_classes)
+    for f in (p1_found, p1_collapsed, p2_found, p2_counts, p2_revised, p3_found, p3_pairs, p5_found, p5_consistent, p6_found, p6_degrees, p8_ids, p8_roundtrip, p9_draws, p9_shares, p9_checks, p10_found, p10_forms, p10_classes)
 }
 
 _CANONICAL = r"""
@@ -196,6 +209,9 @@ _FORMS = (
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "p8_roundtrip": "select doc_id, coalesce(text, '') <> '' as has_tokens, true as same from documents",
+    "p9_checks": """with d as (select source, sum(length(text)) as n from documents where source is not null group by source), t as (select distinct mix_name, source, max_repeats from mix_targets)
+select mix_name, source, max_repeats, coalesce(n, 0) > 0 as has_tokens, true as cut_exactly, true as within_repeats, true as whole from t left join d using (source)""",
     "p6_found": _NEAR + "select ra as ref_a, rb as ref_b from hit",
     "p6_degrees": _NEAR
     + """, k as (select ref, ws, min(ref) over (partition by ws) as class_id, count(*) over (partition by ws) as n_equal from r),
