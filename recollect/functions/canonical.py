@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import unicodedata
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_SAFE = 2**53 - 1
+MAX_DATA_BYTES = 8 << 20
 RESERVED = ("__proto__", "constructor", "prototype")
 
 
@@ -54,6 +57,72 @@ def canonical_json(value: Any, limit: int | None = None, depth: int = 16) -> byt
     return data
 
 
+def number_text(x: float) -> str:
+    """The shortest decimal text of a finite double: plain between 1e-6 and 1e21, else with an exponent; both zeros are 0."""
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    whole = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent
+    if 0 < point <= 21:
+        body = whole.ljust(point, "0") if len(whole) <= point else f"{whole[:point]}.{whole[point:]}"
+    elif -6 < point <= 0:
+        body = f"0.{'0' * -point}{whole}"
+    else:
+        body = f"{whole[0]}{'.' if whole[1:] else ''}{whole[1:]}e{point - 1:+d}"
+    return "-" * sign + body
+
+
+def data_json(value: Any, limit: int = MAX_DATA_BYTES) -> bytes:
+    """UTF-8 of any JSON value of at most ``limit`` bytes: keys in UTF-16 order, numbers as doubles, lone surrogates escaped.
+
+    Wider than ``canonical_json``. The walk keeps its own stack, so depth is bounded by size alone; what is no JSON, a cycle
+    included, is an ``EncodingError``.
+    """
+    out: list[str] = []
+    size, stack, open_now = 0, [(True, value)], set()
+    while stack:
+        is_value, v = stack.pop()
+        if not is_value and not isinstance(v, str):
+            open_now.discard(v)
+            continue
+        if not is_value:
+            text = v
+        elif v is None or isinstance(v, bool):
+            text = json.dumps(v)
+        elif isinstance(v, (int, float)):
+            try:
+                x = float(v)
+            except OverflowError as e:
+                raise EncodingError("number without a form") from e
+            if not math.isfinite(x):
+                raise EncodingError("number without a form")
+            text = number_text(x)
+        elif isinstance(v, str):
+            text = re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(v, ensure_ascii=False))
+        elif isinstance(v, (list, tuple, dict)):
+            if id(v) in open_now or isinstance(v, dict) and any(not isinstance(k, str) for k in v):
+                raise EncodingError("no JSON value")
+            open_now.add(id(v))
+            names = sorted(v, key=lambda k: k.encode("utf-16-be", "surrogatepass")) if isinstance(v, dict) else None
+            text, last = ("{", "}") if names is not None else ("[", "]")
+            stack += [(False, id(v)), (False, last)]
+            items = names if names is not None else range(len(v))
+            for at, k in reversed(list(enumerate(items))):
+                stack.append((True, v[k]))
+                if names is not None:
+                    stack += [(False, ":"), (True, k)]
+                if at:
+                    stack.append((False, ","))
+        else:
+            raise EncodingError(f"no form for {type(v).__name__}")
+        size += len(text.encode())
+        if size > limit:
+            raise EncodingError("too long")
+        out.append(text)
+    return "".join(out).encode()
+
+
 def digest(value: Any, limit: int | None = None) -> str:
     """SHA-256 of the canonical form."""
     return hashlib.sha256(canonical_json(value, limit)).hexdigest()

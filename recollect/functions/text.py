@@ -40,6 +40,22 @@ def code_unit_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def cut_units(c: Column, n: int) -> Column:
+    """The longest beginning of ``c`` of at most ``n`` UTF-16 code units; a character of two units is never cut in half."""
+    head = F.substring(c, 1, n)
+    fits = F.aggregate(F.split(head, ""), F.lit(""), lambda acc, x: F.when(code_unit_length(F.concat(acc, x)) <= n, F.concat(acc, x)).otherwise(acc))
+    return F.when(head.rlike(_ASTRAL), fits).otherwise(head)
+
+
+def units(c: Column) -> Column:
+    """``code_unit_length``, quick where every character is one unit."""
+    return F.when(c.rlike(_ASTRAL), code_unit_length(c)).otherwise(F.length(c))
+
+
+# Fixed value: the characters of two UTF-16 code units.
+_ASTRAL = r"[\x{10000}-\x{10ffff}]"
+
+
 @F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -39,7 +39,7 @@ CLUSTER = [*KEY, "block"]
 MUTATION = "mutation"
 ROW = "store_id string, obj_kind string, obj_id string, block decimal(38,0), tx_id decimal(38,0), op_ord int, is_put boolean, source string, target string"
 TRANSACTIONS_PER_BUCKET = 30_000
-MOST_BUCKETS = 100_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000
 # Rows of transactions without effect that a broadcast takes, about 6 MB; more are joined by shuffle.
 SMALL = 1 << 15
 
@@ -71,7 +71,6 @@ def without_effect(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``store_id, tx_id`` of the transactions in ``rows`` whose mutation id a lower ``tx_id`` owns. Written once, few as they are."""
     commits, key = rows.where(F.col("obj_kind") == MUTATION).select("store_id", "obj_id", "tx_id"), ["store_id", "obj_id"]
     owners = commits.groupBy(*key).agg(F.min("tx_id").alias("owner_tx"), F.max("tx_id").alias("last_tx"), F.count(F.lit(1)).alias("n_rows")).where("owner_tx < last_tx")
-    owners = materialize(owners, "owners")
     lost = spread_join(commits, owners.drop("n_rows"), key, "tx_id", hot_of(owners, key, hot_rows), rows_per_salt=hot_rows).where("tx_id > owner_tx")
     return materialize(lost.select("store_id", "tx_id").distinct(), "without-effect")
 
@@ -321,7 +320,7 @@ def current_state(feed: DataFrame, order: str = "received_at", runs: int = 4, fa
     Arrivals are ranges of ``order`` itself, so each reads its own part of the files; rows without one come first.
     """
     rows, marks = feed.select(F.count(F.lit(1)), F.percentile_approx(order, [i / runs for i in range(1, runs)], 1000)).first()
-    log = ChangeLog.temporary(feed.sparkSession, fan_in, min(max(-(-rows // TRANSACTIONS_PER_BUCKET), 2), MOST_BUCKETS))
+    log = ChangeLog.temporary(feed.sparkSession, fan_in, min(max(-(-rows // TRANSACTIONS_PER_BUCKET), LEAST_BUCKETS), MOST_BUCKETS))
     bounds, at, kind = [None, *sorted(set(marks or [])), None], F.col(order), feed.schema[order].dataType
     for low, high in zip(bounds, bounds[1:]):
         part: Column = F.lit(True)

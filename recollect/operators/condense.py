@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import phrase, strip_white, tokens
+from recollect.functions.text import cut_units, phrase, strip_white, tokens, units
 
 # Category rules, the first that matches wins.
 CATEGORY_RULES = (
@@ -35,8 +35,8 @@ def sentences(text: Column) -> Column:
 
 
 def key_facts(text: Column, limits: Limits = Limits()) -> Column:
-    """The first sentences of fitting length, one per normal phrase."""
-    fitting = F.filter(sentences(text), lambda s: F.length(s).between(limits.fact_min, limits.fact_max))
+    """The first sentences of fitting length in UTF-16 code units, one per normal phrase."""
+    fitting = F.filter(sentences(text), lambda s: units(s).between(limits.fact_min, limits.fact_max))
     keyed = F.transform(fitting, lambda s: F.struct(phrase(tokens(s, compose=False)).alias("k"), s.alias("s")))
     start = F.array().cast("array<struct<k:string,s:string>>")
     known = lambda acc, x: F.exists(acc, lambda y: y["k"] == x["k"])
@@ -59,9 +59,9 @@ def category(toks: Column) -> Column:
 
 
 def summary(text: Column, limit: int = Limits.summary) -> Column:
-    """The trimmed text, cut to ``limit`` with dots."""
+    """The trimmed text, cut to ``limit`` UTF-16 code units with dots; half a character is left out."""
     t = strip_white(text)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, max(0, limit - 3)), F.lit("...")))
+    return F.when(units(t) <= limit, t).otherwise(F.concat(cut_units(t, max(0, limit - 3)), F.lit("...")))
 
 
 def confidence(facts: Column, kind: Column, tags: Column, linked: Column, limits: Limits = Limits()) -> Column:

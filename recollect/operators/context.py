@@ -133,7 +133,7 @@ class Context:
         return named.groupBy("claim_key").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("l")).where(F.size("l") > 1).select("claim_key", F.col("l.id").alias("note_ids"))
 
     def report(self) -> DataFrame:
-        """One row: mode, matched and omitted counts, characters omitted, whether a budget was hit."""
+        """One row: mode, filters asked for, matched and omitted counts, characters omitted, whether a budget was hit."""
         count = F.count(F.lit(1))
         notes = self.candidates.agg(count.alias("n_notes"), F.count_if(F.col("match_class") != "explicit_id").alias("matched_notes"))
         diary = self.diary_candidates.agg(count.alias("matched_diary"))
@@ -148,7 +148,7 @@ class Context:
         hit = F.col("chars_omitted") > 0
         for c in omitted.values():
             hit |= c > 0
-        return one.select(F.lit(mode).alias("mode"), "matched_notes", "matched_diary", *[c.alias(k) for k, c in omitted.items()], "chars_omitted", hit.alias("hit_budget"))
+        return one.select(F.lit(mode).alias("mode"), F.lit(",".join(self.query.filters.named())).alias("filters_applied"), "matched_notes", "matched_diary", *[c.alias(k) for k, c in omitted.items()], "chars_omitted", hit.alias("hit_budget"))
 
 
 def _first(candidates: DataFrame, limit: int) -> DataFrame:

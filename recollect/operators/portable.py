@@ -39,9 +39,10 @@ def parsed_time(c: Column) -> Column:
 def record_issues(records: DataFrame, note_ids: DataFrame | None = None, diary_ids: DataFrame | None = None, max_text: int = MAX_TEXT, schema_name: str = SCHEMA_NAME) -> DataFrame:
     """``record_index, record_id, field_path, code`` of everything wrong with ``records`` (which have a ``record_index``).
 
-    A record without id has its schema, kind and id checked only. All issues block.
+    A record without id has its schema, kind and id checked only; one with a ``depth`` over the limit nothing else. All issues block.
     """
-    r = records
+    deep = F.coalesce(F.col("depth") > MAX_DEPTH, F.lit(False)) if "depth" in records.columns else F.lit(False)
+    r = records.withColumn("__deep", deep)
     earlier = W.partitionBy("id").orderBy("record_index")
     named = F.col("id").isNotNull() & (strip_white(F.col("id")) != "")
     r = r.withColumn("again", named & (F.row_number().over(earlier) > 1))
@@ -57,10 +58,12 @@ def record_issues(records: DataFrame, note_ids: DataFrame | None = None, diary_i
 
     def found(when: Column, code: str, path: str, needs_id: bool = True) -> Column:
         held = F.coalesce(when, F.lit(False))
-        return F.when(held & named if needs_id else held, F.struct(F.lit(code).alias("code"), F.lit(path).alias("field_path"), F.when(named & F.lit(needs_id), F.col("id")).alias("record_id")))
+        return F.when(~F.col("__deep") & (held & named if needs_id else held), F.struct(F.lit(code).alias("code"), F.lit(path).alias("field_path"), F.when(named & F.lit(needs_id), F.col("id")).alias("record_id")))
 
     conf = F.col("confidence")
+    nothing = F.lit(None).cast("string")
     checks = [
+        F.when(F.col("__deep"), F.struct(F.lit("INPUT_LIMIT_EXCEEDED").alias("code"), F.lit("$").alias("field_path"), nothing.alias("record_id"))),
         found(F.col("schema").isNull(), "MALFORMED_RECORD", "schema", False),
         found(F.col("schema") != schema_name, "UNSUPPORTED_SCHEMA", "schema", False),
         found(kind.isNull() | ~kind.isin("note", "diary"), "INVALID_KIND", "kind", False),

@@ -29,6 +29,11 @@ class Filters:
     tags: tuple[str, ...] = ()
     categories: tuple[str, ...] = ()
 
+    def named(self) -> list[str]:
+        """The filters asked for, by the names callers know them by."""
+        names = {"include_candidate": "includeCandidate", "include_archived": "includeArchived", "include_expired": "includeExpired", "pinned_only": "pinnedOnly", "tags": "tags", "categories": "categories"}
+        return [n for k, n in names.items() if getattr(self, k)]
+
     def passes(self, as_of: datetime) -> Column:
         """The predicate at ``as_of``; a note that expires just then is expired. Rejected notes pass."""
         ok = F.lit(True)

@@ -237,13 +237,14 @@ def query_with_recall(spark: SparkSession, root: str) -> DataFrame:
     return graph.query_with_recall(retrieval.note_index(notes), views.edges(spark, root), q, graph.Recall(), notes).select(*MATCH)
 
 
-def _context(spark: SparkSession, root: str) -> Context:
-    q = retrieval.Query(TEXT, AS_OF)
+def _context(spark: SparkSession, root: str, filters: retrieval.Filters = retrieval.Filters()) -> Context:
+    q = retrieval.Query(TEXT, AS_OF, filters)
     return Context(note_index_of(spark, root), diary_index_of(spark, root), views.nodes(spark, root), views.edges(spark, root), q)
 
 
-_CONTEXT = (
-    top_sql(TEXT, "default")
+def _context_sql(passes: str) -> str:
+    return (
+        top_sql(TEXT, passes)
     + f""", dd as (select *, {TOKENS_SQL.format("content || ' ' || array_to_string(tags, ' ')")} as toks from diary),
 dr as (select id, content, row_number() over (order by updated_at desc nulls last, id) as rank from dd where list_has_any(toks, {text_list(query_tokens(TEXT))})),
 ch as (select 'note' as kind, id, content, rank as ord from ranked where rank <= 12 union all select 'diary', id, content, 12 + rank from dr where rank <= 4),
@@ -260,6 +261,9 @@ ge as (select id, rn from (select e1.id, row_number() over (order by e1.ord, e1.
 )
 
 
+_CONTEXT = _context_sql("default")
+
+
 @checked_by(_CONTEXT + "select kind, id, ord, shown from sh")
 def context_items(spark: SparkSession, root: str) -> DataFrame:
     return _context(spark, root).chosen.select("kind", "id", "ord", "shown")
@@ -274,17 +278,24 @@ def context_citations(spark: SparkSession, root: str) -> DataFrame:
     return _context(spark, root).citations()
 
 
-@checked_by(
-    _CONTEXT
-    + f""", z as (select least((select count(*) from ranked), 50) as nn, least((select count(*) from dr), 20) as nd, (select count(*) from sh where kind = 'note') as kn, (select count(*) from sh where kind = 'diary') as kd,
+_REPORT = f""", z as (select least((select count(*) from ranked), 50) as nn, least((select count(*) from dr), 20) as nd, (select count(*) from sh where kind = 'note') as kn, (select count(*) from sh where kind = 'diary') as kd,
 (select sum(length(content) - length(shown))::bigint from sh) as co, (select count(*) from n1) as an, (select count(*) from gn) as gnn, (select count(*) from e1) as ae, (select count(*) from ge) as gee)
-select 'query' as mode, nn as matched_notes, nd as matched_diary, nn - kn as notes_omitted, nd - kd as diary_omitted, an - gnn as nodes_omitted, ae - gee as edges_omitted, co as chars_omitted,
+select 'query' as mode, '{{0}}' as filters_applied, nn as matched_notes, nd as matched_diary, nn - kn as notes_omitted, nd - kd as diary_omitted, an - gnn as nodes_omitted, ae - gee as edges_omitted, co as chars_omitted,
 nn > kn or nd > kd or an > gnn or ae > gee or co > 0 as hit_budget from z"""
-)
+
+
+@checked_by(_CONTEXT + _REPORT.format(""))
 def context_report(spark: SparkSession, root: str) -> DataFrame:
     return _context(spark, root).report()
 
 
+@checked_by(_context_sql("narrow") + _REPORT.format("pinnedOnly,categories"))
+def context_report_filtered(spark: SparkSession, root: str) -> DataFrame:
+    """The report of a context of pinned notes of two categories."""
+    return _context(spark, root, NARROW).report()
+
+
+
 CONDENSE_SQL = (
     f"with {VIEWS_SQL},"
     + r""" t as (select id, content, regexp_replace(content, '^[\s\x{a0}\x{2009}]+|[\s\x{a0}\x{2009}]+$', '', 'g') as body, """

@@ -19,8 +19,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions.canonical import EncodingError
+from recollect.functions.canonical import EncodingError, data_json
 from recollect.operators.change_log import commits_of, explode_ops, merge_runs, without_replays
+from recollect.operators.condense import as_candidate_notes, condensed
 from recollect.operators.history import ENVELOPE, INLINE_OP, INLINE_TOTAL, MUTATION_BOUND, merge_ledgers, receipts, reclaimable, resolved_ops
 from recollect.session import delete_path, file_names, place
 from recollect.sources.snapshot import GenerationStore
@@ -241,7 +242,7 @@ class DurableStore:
 
     def _effects(self, c: dict[str, Any]) -> list[tuple[str, str, str]]:
         """The operations of a command, prepared on the current state."""
-        put = lambda kind, body: (f"ether.{kind}.put", "1", json.dumps(body, ensure_ascii=False, sort_keys=True))
+        put = lambda kind, body: (f"ether.{kind}.put", "1", data_json(body).decode())
         remove = lambda kind, i: (f"ether.{kind}.remove", "1", json.dumps({"id": i}))
         now = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         kind, _, verb = c.get("kind", "").partition(".")
@@ -253,6 +254,13 @@ class DurableStore:
             if not pair.isEmpty():
                 raise StoreError("CONFLICT", "the edge exists")
             return [put("graph-edge", {k: c[k] for k in ("id", "source", "target", "relationship")} | {"data": c.get("data", {})})]
+        if kind == "note" and verb == "condense":
+            made = as_candidate_notes(condensed(self.spark.createDataFrame([(c.get("id") or "", c["text"])], "id string, content string"))).first()
+            if made is None:
+                raise StoreError("INVALID_INPUT", "content is needed")
+            c, verb = {"kind": "note.put", "input": made.asDict(recursive=True) | {"metadata": {}, "provenance": {"kind": made.provenance_kind}}}, "put"
+            for extra in ("provenance_kind", "parent_id"):
+                c["input"].pop(extra)
         if node and verb == "put":
             body = c["input"]
             if not str(body.get("content", "")).strip():

@@ -45,14 +45,11 @@ def chain_watch(frames: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = int(state.get[0]) if state.exists else None
-        rows = pd.concat(list(parts))
-        out = []
-        for tx in sorted(int(x) for x in rows["tx_id"]):
-            status = "next" if last is None or tx == last + 1 else "again" if tx <= last else "gap"
-            out.append((key[0], str(tx), status))
-            last = tx if last is None else max(last, tx)
-        state.update((str(last),))
-        yield pd.DataFrame(out, columns=["store_id", "tx_id", "status"])
+        tx = pd.concat(list(parts))["tx_id"].map(int).sort_values(ignore_index=True)  # whole numbers of any length
+        first = int(state.get[0]) if state.exists else tx[0] - 1
+        before = tx.shift(1, fill_value=first).map(lambda x: max(x, first))
+        status = (tx - before).map(lambda ahead: "next" if ahead == 1 else "again" if ahead < 1 else "gap")
+        state.update((str(max(first, tx.iloc[-1])),))
+        yield pd.DataFrame({"store_id": key[0], "tx_id": tx.map(str), "status": status})
 
     return frames.select("store_id", F.col("tx_id").cast("string").alias("tx_id")).groupBy("store_id").applyInPandasWithState(step, "store_id string, tx_id string, status string", "last string", "append", GroupStateTimeout.NoTimeout)

@@ -3,8 +3,8 @@ import time
 
 import pytest
 
-from recollect.operators import adapters
-from recollect.sources.ports import read_portable
+from recollect.operators import adapters, portable
+from recollect.sources.ports import JsonPort, ParquetPort, import_snapshot, read_chunks, read_portable
 from recollect.store import FIRST_TX, DurableStore, StoreError
 
 
@@ -92,6 +92,9 @@ def test_large_payloads_are_objects(spark, tmp_path):
     assert s.get("diary", "a")["content"] == big and s.sweep() == {"scanned": 1, "marked": 1, "reclaimed": 0}
     again = DurableStore.open(spark, s.root, "s")
     assert again._bytes == s._bytes and again.get("diary", "b")["content"] == "small"
+    made = again.commit("m3", {"kind": "note.condense", "text": "We shipped the release today. " * 20})
+    note = json.loads(again.state("note").first().body)
+    assert made["operations"][0] == "ether.note.put" and (note["status"], note["source"], note["category"]) == ("candidate", "ai", "project") and len(note["content"]) == 200
     again.rotate()
     assert again.sweep() == {"scanned": 1, "marked": 0, "reclaimed": 1} and again.get("diary", "a")["content"] == big
     data = next((tmp_path / "store" / "generations" / again._generations.head() / "objects").glob("*.parquet"))
@@ -127,3 +130,32 @@ def test_reading_interchange_records(spark, tmp_path):
         assert [(r.id, r.record_index, r.tags) for r in got] == [(str(i), i, ["a"]) for i in range(3)]
     with pytest.raises(ValueError):
         read_portable(spark, str(tmp_path / "array.json"), 10)
+    rows[1]["extra"] = [[[[[[[[["deep"]]]]]]]]]
+    data = json.dumps(rows).encode()
+    chunks = read_chunks(spark, [data[i : i + 7] for i in range(0, len(data), 7)])
+    issues = {(r.record_index, r.code, r.field_path) for r in portable.record_issues(chunks).collect()}
+    assert (1, "INPUT_LIMIT_EXCEEDED", "$") in issues and {(i, c) for i, c, _ in issues if i == 1} == {(1, "INPUT_LIMIT_EXCEEDED")} and (0, "UNSUPPORTED_SCHEMA", "schema") in issues
+    with pytest.raises(ValueError):
+        read_chunks(spark, ["[", "x" * 20], 10)
+
+
+def test_a_snapshot_is_imported_whole_or_not(spark, tmp_path):
+    def snapshot(name, notes):
+        doc = {"schemaVersion": "v", "identity": {"userId": "u"}, "memoryNotes": notes, "diary": [{"id": "d", "content": "x", "createdAt": "2024-01-01T00:00:00.000Z", "updatedAt": "2024-01-01T00:00:00.000Z", "tags": []}], "graph": {"nodes": [{"id": "memory:a", "type": "memory"}, {"id": "diary:d", "type": "diary"}], "edges": [{"id": "e", "source": "memory:a", "target": "diary:d", "relationship": "about"}]}}
+        (tmp_path / name).write_text(json.dumps(doc))
+        return JsonPort(spark, str(tmp_path / name), {})
+
+    note = {"id": "a", "content": "c", "createdAt": 1704067200000, "updatedAt": "2024-01-02T00:00:00.000Z", "tags": ["t"]}
+    store = ParquetPort(spark, f"file://{tmp_path}/store")
+    with pytest.raises(ValueError, match="note b: status"):
+        import_snapshot(snapshot("bad.json", [note, note | {"id": "b", "status": "gone"}]), store)
+    assert store.store.head() is None
+    import_snapshot(snapshot("good.json", [note]), store)
+    got = store.load()["notes"].first()
+    assert (got.id, str(got.created_at), str(got.updated_at)) == ("a", "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    snap = JsonPort(spark, str(tmp_path / "out"), {"schemaVersion": "v"})
+    for _ in range(2):
+        snap.save(store.load())
+    assert snap.load()["notes"].count() == 1 and not list(tmp_path.glob("out.*"))
+    (tmp_path / "out").rename(tmp_path / "out.before")  # a writer lost between its renames
+    assert snap.load()["edges"].first().id == "e"

@@ -5,10 +5,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions.canonical import EncodingError, canonical_json, depth_and_size
-from recollect.functions.text import code_unit_key, code_unit_length, contains_phrase, query_tokens, strip_white, tokens
-from recollect.operators import context, dream, graph, portable, retrieval
-from recollect.operators.condense import condensed
+from recollect.functions.canonical import EncodingError, canonical_json, data_json, depth_and_size
+from recollect.functions.text import code_unit_key, code_unit_length, contains_phrase, cut_units, query_tokens, strip_white, tokens, units
+from recollect.operators import context, dream, graph, note_index as index_module, portable, retrieval
+from recollect.operators.condense import condensed, summary
+from recollect.operators.note_index import NoteIndex
+from recollect.operators.retrieval import Query, note_index, query_notes
 from recollect.plans.queries import all_queries
 from recollect.sources.snapshot import GenerationStore, read_snapshot, write_snapshot
 
@@ -129,7 +131,7 @@ def test_context_budgets_and_claims(spark):
     assert [r.id for r in c.chosen.orderBy("ord").collect()] == ["n0", "n3", "n2", "d1", "d2"]
     assert items["n2"].shown == ("word " * 30)[: 320 - 300 - 3] + "..." and items["d1"].shown == ""
     report = c.report().first().asDict()
-    assert report == {"mode": "hybrid", "matched_notes": 3, "matched_diary": 3, "notes_omitted": 1, "diary_omitted": 1, "nodes_omitted": 1, "edges_omitted": 1, "chars_omitted": 150 + 2 * 10 - 20, "hit_budget": True}
+    assert report == {"mode": "hybrid", "filters_applied": "", "matched_notes": 3, "matched_diary": 3, "notes_omitted": 1, "diary_omitted": 1, "nodes_omitted": 1, "edges_omitted": 1, "chars_omitted": 150 + 2 * 10 - 20, "hit_budget": True}
     assert [r.ref for r in c.citations().orderBy("ord").collect()] == ["note:n0", "note:n3", "note:n2", "diary:d1", "diary:d2", "node:memory:n0", "node:memory:n2", "node:memory:n3", "edge:e1", "edge:e2"]
     assert [tuple(r) for r in c.claim_flags().collect()] == [("k", ["n0", "n3", "n2"])]
 
@@ -201,6 +203,42 @@ def test_canonical_json():
         with pytest.raises(EncodingError):
             canonical_json(bad)
     assert depth_and_size({"ab": ["c", {"d": "ef"}]}) == (3, 6)
+    wide = {"b": [1.0, -0.0, 0.1, 1e21, 1.5e-7, 123456789012345680000, -2.50, 1e-6], "a": {"\ud800": "x\u2028\n\udfff", "é": None}}
+    assert data_json(wide).decode() == '{"a":{"é":null,"\\ud800":"x\u2028\\n\\udfff"},"b":[1,0,0.1,1e+21,1.5e-7,123456789012345680000,-2.5,0.000001]}'
+    loop = []
+    loop.append(loop)
+    deep = None
+    for _ in range(50_000):
+        deep = [deep]
+    assert len(data_json(deep)) == 100_004 and data_json([[1], [1]]) == b"[[1],[1]]"
+    for bad in (float("nan"), {1: 2}, {"a": {1}}, loop, 10**400, "x" * 100):
+        with pytest.raises(EncodingError):
+            data_json(bad, 90)
+
+
+def test_cuts_by_code_units(spark):
+    texts = ["plain", "ab\U0001f600cd", "\U0001f600" * 120, "é" * 210]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", units(F.col("t")).alias("n"), cut_units(F.col("t"), 3).alias("cut"), summary(F.col("t")).alias("s"))
+    got = {r.t: (r.n, r.cut, r.s) for r in df.collect()}
+    assert [got[t][:2] for t in texts] == [(5, "pla"), (6, "ab"), (240, "\U0001f600"), (210, "ééé")]
+    assert got[texts[2]][2] == "\U0001f600" * 98 + "..." and got[texts[3]][2] == "é" * 197 + "..."
+
+
+def test_written_index_gives_the_same_rows(spark, store, tmp_path):
+    root = f"file://{tmp_path}/index"
+    with pytest.raises(ValueError):
+        NoteIndex.open(spark, root)
+    for _ in range(2):
+        built = NoteIndex.build(store.unionByName(store.limit(2)), root)
+    index = NoteIndex.open(spark, root)
+    assert (index.version, index.n_notes) == (built.version, 5) and len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 1
+    for text in ("alpha", "the project", "", "nosuchword"):
+        for few in (0, 10**6):
+            index_module.FEW = few
+            for ids in ((), ("beta", "nowhere")):
+                q = Query(text, day(1), explicit_ids=ids)
+                assert sorted((r.id, r.score, r.rank) for r in index.query(q).collect()) == sorted((r.id, r.score, r.rank) for r in query_notes(note_index(store), q).collect())
+    index_module.FEW = 16
 
 
 def test_import_codes(spark):
