@@ -59,7 +59,7 @@ HASH_CACHE = 1 << 20
 SEEN_KEYS = 1 << 18
 ROWS_PER_BUCKET = 20_000
 ROWS_PER_PARTITION = 8_000
-MOST_BUCKETS = 100_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000
 DICTIONARY_BYTES = 16 << 20
 PARITY = [f"parity{i}" for i in range(4)]
 
@@ -80,7 +80,12 @@ def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         import regex
         import xxhash
 
-        find, cache, seen = regex.compile(WORD).findall, {}, set()
+        class Hashes(dict):
+            def __missing__(self, word: str) -> int:
+                self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
+                return h
+
+        find, cache, seen = regex.compile(WORD).findall, Hashes(), set()
         for batch in batches:
             keep, sizes, keys, flat, own = [], [], [], [], []
             refs = batch.column(0).to_pylist()
@@ -90,13 +95,8 @@ def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     continue
                 if len(cache) > HASH_CACHE:
                     cache.clear()
-                hashes = []
-                for w in words:
-                    h = cache.get(w)
-                    if h is None:
-                        h = cache[w] = xxhash.xxh3_64_intdigest(w.encode())
-                    hashes.append(h)
-                hashes = np.unique(np.array(hashes, np.uint64).view(np.int64))
+                hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)).view(np.int64)
+                hashes.sort()
                 key = xxhash.xxh3_128_digest(hashes.tobytes())
                 again = key in seen
                 if not again:
@@ -128,7 +128,7 @@ def word_classes(records: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     """
     spark = records.sparkSession
     rows = records.count()
-    parts = min(max(-(-rows // ROWS_PER_BUCKET), 2), MOST_BUCKETS)
+    parts = min(max(-(-rows // ROWS_PER_BUCKET), LEAST_BUCKETS), MOST_BUCKETS)
     path = scratch_path(spark, "word-classes")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     names = ["c1", "k1", "k2", "ref", "n", "words", *PARITY]
@@ -272,6 +272,8 @@ class AnchorCover:
         seen = self.sketch[(words.view(np.uint64) >> self.shift).astype(np.int64)]
         larger, smaller = (m - np.bincount(rec[seen == 0], minlength=len(n)) for m in self.misses(n))
         kept = (seen > 0) & (larger[rec] >= 0)
+        if out is None:
+            kept &= self._may_be_suspect(rec, seen, kept, larger, len(n))[rec]
         order = np.flatnonzero(kept)[np.lexsort((words[kept], seen[kept], rec[kept]))]
         rec, w, e = rec[order], words[order].view(np.uint64), np.exp2(seen[order] / STEPS)
         first = np.searchsorted(rec, np.arange(len(n)))
@@ -283,6 +285,13 @@ class AnchorCover:
         n_rare = np.bincount(rec[rare], minlength=len(n))
         self._pairs(w, e, first + n_rare, np.bincount(rec, minlength=len(n)) - n_rare, larger - n_rare, smaller - n_rare, out, suspects)
 
+    def _may_be_suspect(self, rec, seen, kept, larger, n: int) -> np.ndarray:
+        """Whether a record has a pair within reach whose rarer word is over the bound; counted, not sorted."""
+        e = np.exp2(seen / STEPS)
+        rare, low, all_kept = (np.bincount(rec[kept & x], minlength=n) for x in (e <= self.rare, e <= self.pair, seen > 0))
+        reach = np.minimum(larger - rare + CLASSES, all_kept - rare - 1)
+        return (larger - rare >= 0) & (np.maximum(low - rare, 0) < reach)
+
     def _pairs(self, w, e, start, count, larger, smaller, out, suspects) -> None:
         """Anchors of two or more frequent words: ``start`` and ``count`` say where a record's frequent words are."""
         reach = np.where(larger >= 0, np.minimum(larger + CLASSES, count - 1), -1)
