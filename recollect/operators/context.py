@@ -46,27 +46,38 @@ class Context:
     recall: Recall | None = None
 
     @cached_property
+    def found(self) -> DataFrame:
+        """All candidates of both kinds, ``kind, id, place, match_class, score``, from one job."""
+        return materialize(self._notes().withColumn("kind", F.lit("note")).unionByName(self._diary().withColumn("kind", F.lit("diary")), allowMissingColumns=True), "candidates")
+
+    @property
     def candidates(self) -> DataFrame:
         """``id, place, match_class, score``: explicit ids in the order asked for, with score 0, then matches by rank."""
+        return self.found.where("kind = 'note'").drop("kind")
+
+    @property
+    def diary_candidates(self) -> DataFrame:
+        """``id, place``: explicit entries, unfiltered, then diary search."""
+        return self.found.where("kind = 'diary'").select("id", "place")
+
+    def _notes(self) -> DataFrame:
         asked = self.query.explicit_ids
         q = Query(self.query.text, self.query.as_of, self.query.filters, max(self.budget.max_notes * 4, 50))
         found = query_with_recall(self.index, self.edges, q, self.recall) if self.recall else query_notes(self.index, q)
         ranked = found.select("id", (F.col("rank") + len(asked)).alias("place"), "match_class", "score")
         if not asked:
-            return materialize(ranked, "candidates")
+            return ranked
         own = self.index.where(F.col("id").isin(*asked) & self.query.filters.passes(self.query.as_of))
         own = own.select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place"), F.lit("explicit_id").alias("match_class"), F.lit(0.0).alias("score")).dropDuplicates(["id"])
-        return materialize(own.unionByName(ranked.join(own.select("id"), "id", "left_anti")), "candidates")
+        return own.unionByName(ranked.join(own.select("id"), "id", "left_anti"))
 
-    @cached_property
-    def diary_candidates(self) -> DataFrame:
-        """``id, place``: explicit entries, unfiltered, then diary search."""
+    def _diary(self) -> DataFrame:
         asked = self.diary_ids
         found = search_diary(self.diary_index, self.query.text, max(self.budget.max_diary * 4, 20)).select("id", (F.col("rank") + len(asked)).alias("place"))
         if not asked:
-            return materialize(found, "diary-candidates")
+            return found
         own = self.diary_index.where(F.col("id").isin(*asked)).select("id", F.array_position(F.array(*map(F.lit, asked)), F.col("id")).cast("int").alias("place")).dropDuplicates(["id"])
-        return materialize(own.unionByName(found.join(own.select("id"), "id", "left_anti")), "diary-candidates")
+        return own.unionByName(found.join(own.select("id"), "id", "left_anti"))
 
     @cached_property
     def chosen(self) -> DataFrame:
@@ -88,7 +99,7 @@ class Context:
 
     @cached_property
     def reached(self) -> tuple[DataFrame, DataFrame]:
-        """All nodes and edges of the neighbourhoods with their first place: ``id, seed_ord, part``."""
+        """All nodes and edges of the neighbourhoods, ``id`` and their first place ``at``, from one job."""
         seeds = self.chosen.select(F.concat(F.when(F.col("kind") == "note", "memory:").otherwise("diary:"), "id").alias("seed"), F.col("ord").alias("seed_ord"))
         known = self.nodes.select(F.col("id").alias("node"))
         seeds = seeds.join(known.withColumnRenamed("node", "seed"), "seed", "left_semi")
@@ -97,7 +108,8 @@ class Context:
         others = near.join(seeds, "seed").select(F.col("node").alias("id"), "seed_ord", F.lit(1).alias("part"))
         nodes = roots.unionByName(others).groupBy("id").agg(F.min(F.struct("seed_ord", "part")).alias("at"))
         edges = used.join(seeds, "seed").groupBy(F.col("edge_id").alias("id")).agg(F.min("seed_ord").alias("at"))
-        return materialize(nodes, "context-nodes"), materialize(edges, "context-edges")
+        both = materialize(nodes.select(F.lit("node").alias("kind"), "id", "at").unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.struct(F.col("at").alias("seed_ord"), F.lit(0).alias("part")).alias("at"))), "reached")
+        return tuple(both.where(F.col("kind") == k).drop("kind") for k in ("node", "edge"))
 
     @cached_property
     def graph_nodes(self) -> DataFrame:
@@ -113,7 +125,7 @@ class Context:
         full = self.reached[1].join(self.edges, "id")
         for end in ("source", "target"):
             full = full.join(kept.select(F.col("id").alias(end)), end, "left_semi")
-        order = [F.col("at"), code_unit_key(F.col("id"))]
+        order = [F.col("at.seed_ord"), code_unit_key(F.col("id"))]
         kept = full.orderBy(*order).limit(self.budget.max_edges).select("id", "source", "target", "relationship", F.row_number().over(W.orderBy(*order)).alias("ord"))
         return materialize(kept, "graph-edges")
 
