@@ -10,14 +10,15 @@ with its fingerprint to every anchor within that reach (covering radius plus thr
 the replicas cover all ways to miss ``m`` words. Words found in one record only are misses for certain and lessen ``m``.
 
 The smaller record of a pair needs the lesser reach (it misses at most ``n - 14 n / 17`` words at 0.7), so each replica says whether its
-record may also play the smaller one; only such replicas meet the others. Fingerprints fold the words into 118 parity bits: a word in
+record may also play the smaller one; only such replicas meet the others. Fingerprints fold the words into 117 parity bits: a word in
 one record only changes one bit, hence records whose fingerprints differ in more bits than the threshold allows are dropped unseen,
 without loss. A second fingerprint of 256 parity bits thins what remains, and the word sets decide exactly.
 
 Anchors that could be hot are counted over all records before any record goes there: an anchor holds at most as many records as its
 rarest word, and where that bound is over ``PAIR_ROWS`` the anchor's records are counted, by cells of a fixed number, so a count is never too
 low. A hot anchor is split by each further word its pairs must share, which lies one place further at most, for up to ``ROUNDS`` rounds
-of counting. What is hot even then is text that really shares that many words; its join is left to adaptive skew handling.
+of counting. What is hot even then is text that really shares that many words; it is counted once more and goes to a join that adaptive skew
+handling splits. All other anchors hold few records, which are compared in blocks as they stream by in the order of anchors.
 
 Equal word sets form one class first; links are found between classes and members expanded only where the result is pairs of
 records. A class of copies is collapsed in the task that reads it: its words travel once per task, and the other copies are slim rows
@@ -53,8 +54,9 @@ CELL_BITS = 24
 BLOCK_BITS = 16
 STEPS = 8
 WIDE = 48
-PRINT_BITS = (54, 64)
+PRINT_BITS = (53, 64)
 SIZE_LIMIT = (1 << 9) - 1
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 1 << 20
 HASH_CACHE = 1 << 20
 SEEN_KEYS = 1 << 18
 ROWS_PER_BUCKET = 20_000
@@ -230,23 +232,25 @@ def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
 
 
 class AnchorCover:
-    """Replicates records to anchors. ``sketch`` gives the levels of words, ``hot`` per round which cells of anchors are hot."""
+    """Replicates records to anchors. ``sketch`` gives the levels of words, ``hot`` per round which cells of anchors are hot, ``left`` those hot after the last."""
 
     def __init__(self, sketch: np.ndarray, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, pair: int = PAIR_ROWS):
         self.sketch, self.rare, self.share, self.pair = sketch, rare, share, pair
         self.shift = np.uint64(64 - (len(sketch).bit_length() - 1))
         self.hot: list[np.ndarray] = []
+        self.left: np.ndarray | None = None
 
     @staticmethod
     def rounds(min_words: int, share: tuple[int, int]) -> int:
         """How often a hot anchor may be split: all pairs must share enough words for one more."""
         return max(0, min(ROUNDS, -(-share[0] * min_words // share[1]) - CLASSES - 1))
 
-    def is_hot(self, depth: int, key: np.ndarray) -> np.ndarray:
-        if depth >= len(self.hot):
+    @staticmethod
+    def _in(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+        if bits is None:
             return np.zeros(len(key), bool)
         cell = (key >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-        return (self.hot[depth][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
     def misses(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words a record of ``n`` may miss as the larger and as the smaller of a pair: with at least p/q of all words shared,
@@ -254,9 +258,9 @@ class AnchorCover:
         p, q = self.share
         return n - -(-p * n // q), n - -(-2 * p * n // (p + q))
 
-    def anchors(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Record number, anchor and role (whether the record may be the smaller one) of each replica."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def anchors(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Record number, anchor, role (whether the record may be the smaller one) and whether the anchor stayed hot, of each replica."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self._each(words, offsets, out, None)
         return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -281,7 +285,7 @@ class AnchorCover:
         rare = e <= self.rare
         if out is not None:
             single = rare & (position <= larger[rec])
-            out.append((rec[single], _mix(w[single]), position[single] <= smaller[rec[single]]))
+            out.append((rec[single], _mix(w[single]), position[single] <= smaller[rec[single]], np.zeros(int(single.sum()), bool)))
         n_rare = np.bincount(rec[rare], minlength=len(n))
         self._pairs(w, e, first + n_rare, np.bincount(rec, minlength=len(n)) - n_rare, larger - n_rare, smaller - n_rare, out, suspects)
 
@@ -321,10 +325,11 @@ class AnchorCover:
             if suspects is not None and depth == len(self.hot):
                 suspects.append(key[may_grow])
                 return
-            hot = may_grow & self.is_hot(depth, key)
+            hot = may_grow & self._in(self.hot[depth] if depth < len(self.hot) else None, key)
             if out is not None:
                 done = ~hot
-                out.append((r[done], key[done], (smaller[r[done]] >= 0) & (b[done] - start[r[done]] <= smaller[r[done]] + CLASSES + depth)))
+                left = may_grow & self._in(self.left if depth == len(self.hot) else None, key)
+                out.append((r[done], key[done], (smaller[r[done]] >= 0) & (b[done] - start[r[done]] <= smaller[r[done]] + CLASSES + depth), left[done]))
             r, key, k = r[hot], key[hot], b[hot] + 1
             grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             while len(r):
@@ -339,7 +344,7 @@ class AnchorCover:
 
 
 def fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per word set 118 parity bits in two numbers, of 54 and 64 bits."""
+    """Per word set 117 parity bits in two numbers, of 53 and 64 bits."""
     low = PRINT_BITS[0]
     bit = words.view(np.uint64) % np.uint64(sum(PRINT_BITS))
     rec = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -351,7 +356,7 @@ def fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 def anchor_rows(classes: DataFrame, cover: AnchorCover) -> DataFrame:
     """``anchor, k1, info, more``: every class at every anchor within reach.
 
-    ``info`` packs the first part of the fingerprint, size (9 bits) and role (1 bit), ``more`` is its second part.
+    ``info`` packs the first part of the fingerprint, whether the anchor stayed hot (1 bit), size (9 bits) and role (1 bit), ``more`` is its second part.
     """
     shared = classes.sparkSession.sparkContext.broadcast(cover)
 
@@ -361,10 +366,10 @@ def anchor_rows(classes: DataFrame, cover: AnchorCover) -> DataFrame:
                 batch = whole.slice(at, 2000)
                 lists = batch.column(2)
                 offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
-                r, anchor, smaller = shared.value.anchors(words, offsets)
+                r, anchor, smaller, left = shared.value.anchors(words, offsets)
                 k1, n = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), SIZE_LIMIT).astype(np.uint64)
                 first, second = fingerprints(words, offsets)
-                info = (first << np.uint64(10) | n << np.uint64(1))[r] | smaller.astype(np.uint64)
+                info = (first << np.uint64(11) | n << np.uint64(1))[r] | left.astype(np.uint64) << np.uint64(10) | smaller.astype(np.uint64)
                 columns = [anchor.view(np.int64), k1[r], info.view(np.int64), second.view(np.int64)[r]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "k1", "info", "more"])
 
@@ -391,17 +396,32 @@ def hot_anchors(classes: DataFrame, cover: AnchorCover) -> np.ndarray | None:
     return np.packbits(hot, bitorder="little") if hot.any() else None
 
 
+def count_hot(classes: DataFrame, cover: AnchorCover, min_words: int) -> None:
+    """Count what may be hot, round by round, until nothing is or the rounds end."""
+    if not (cover.sketch > STEPS * np.log2(max(cover.pair, 1))).any():
+        return
+    rounds = cover.rounds(min_words, cover.share)
+    for depth in range(rounds + 1):
+        hot = hot_anchors(classes, cover)
+        if hot is None:
+            return
+        if depth == rounds:
+            cover.left = hot
+        else:
+            cover.hot.append(hot)
+
+
 def class_links(classes: DataFrame, rows: int, min_words: int = MIN_WORDS, rare: int = RARE_ROWS, share: tuple[int, int] = SHARE, pair: int | None = None) -> DataFrame:
     """``a1, a2, ra, b1, b2, rb``: every two different classes whose word sets share at least ``share`` of all their words."""
     p, q = share
     partitions = partitions_for(classes, rows)
     cover = AnchorCover(frequency_sketch(classes), rare, share, PAIR_ROWS if pair is None else pair)
-    for _ in range(cover.rounds(min_words, share) if (cover.sketch > STEPS * np.log2(max(cover.pair, 1))).any() else 0):
-        hot = hot_anchors(classes, cover)
-        if hot is None:
-            break
-        cover.hot.append(hot)
-    near = meetings(anchor_rows(classes, cover), p, q)
+    count_hot(classes, cover, min_words)
+    at = anchor_rows(classes, cover)
+    left = F.col("info").bitwiseAND(F.lit(1 << 10)) != 0
+    near = block_meetings(at if cover.left is None else at.where(~left), partitions, p, q)
+    if cover.left is not None:
+        near = near.unionByName(meetings(at.where(left), p, q))
     ends = {s: classes.select(F.col("k1").alias(f"k{s}"), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in PARITY]) for s in "ab"}
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PARITY), F.lit(0))
     near = near.join(ends["a"], "ka").join(ends["b"], "kb").where(apart * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("ka", "kb").distinct()
@@ -412,6 +432,63 @@ def class_links(classes: DataFrame, rows: int, min_words: int = MIN_WORDS, rare:
     return materialize(linked.select(F.col("ka").alias("a1"), F.col("k2a").alias("a2"), "ra", F.col("kb").alias("b1"), F.col("k2b").alias("b2"), "rb"), "class-links", partitions)
 
 
+def compared(anchor: np.ndarray, k1: np.ndarray, info: np.ndarray, more: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes, as ``meetings`` gives them, of rows in order of anchor and size.
+
+    The partners of a row as the smaller one are those after it at its anchor up to the greatest size the threshold allows; a row that may not
+    be the smaller one only meets rows of its own size.
+    """
+    size = (info >> np.uint64(1) & np.uint64(SIZE_LIMIT)).astype(np.int64)
+    role = (info & np.uint64(1)).astype(bool)
+    run = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])]) * (2 * SIZE_LIMIT)
+    upto = np.where(role, np.minimum(size * q // p, 2 * SIZE_LIMIT - 1), size)
+    at = np.arange(len(size))
+    many = np.searchsorted(run + size, run + upto, side="right") - at - 1
+    ends, low = np.cumsum(many), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS_AT_ONCE, side="right")))
+        n = many[low:high]
+        i = np.repeat(at[low:high], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        apart = np.bitwise_count((info[i] ^ info[j]) >> np.uint64(11)) + np.bitwise_count(more[i] ^ more[j])
+        si, sj = size[i], size[j]
+        ok = (apart.astype(np.int64) * (p + q) <= (si + sj) * (q - p)) | (sj == SIZE_LIMIT)
+        i, j, even = i[ok], j[ok], (si == sj)[ok]
+        ok = (role[i] | even & role[j]) & (k1[i] != k1[j])
+        a, b, even = k1[i[ok]], k1[j[ok]], even[ok]
+        yield np.where(even, np.minimum(a, b), a), np.where(even, np.maximum(a, b), b)
+        low = high
+
+
+def block_meetings(at: DataFrame, partitions: int, p: int, q: int) -> DataFrame:
+    """``ka, kb`` as ``meetings`` gives them, for anchors of few records: rows stream by in order, a few anchors at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((columns[2].view(np.uint64) >> np.uint64(1) & np.uint64(SIZE_LIMIT), columns[0]))
+            anchor, k1, info, more = (c[order] for c in columns)
+            for a, b in compared(anchor, k1, info.view(np.uint64), more.view(np.uint64), p, q):
+                if len(a):
+                    once = np.unique(np.stack([a, b], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], names=["ka", "kb"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) < ROWS_AT_ONCE:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
+            held = [[c[cut:] for c in rows]]
+            if cut:
+                yield from pairs([c[:cut] for c in rows])
+        if held:
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
+
+    return at.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "ka bigint, kb bigint").distinct()
+
+
 def meetings(at: DataFrame, p: int, q: int) -> DataFrame:
     """``ka, kb``: classes that meet at an anchor, the smaller first, and whose sizes and fingerprints allow the threshold.
 
@@ -420,11 +497,12 @@ def meetings(at: DataFrame, p: int, q: int) -> DataFrame:
     x, y = at.alias("x"), at.alias("y")
     size = {s: F.shiftrightunsigned(f"{s}.info", 1).bitwiseAND(F.lit(SIZE_LIMIT)) for s in "xy"}
     as_smaller = F.when(F.col("x.info").bitwiseAND(F.lit(1)) == 1, size["x"]).otherwise(F.lit(SIZE_LIMIT + 1))
-    apart = F.bit_count(F.shiftrightunsigned(F.col("x.info").bitwiseXOR(F.col("y.info")), 10)) + F.bit_count(F.col("x.more").bitwiseXOR(F.col("y.more")))
+    apart = F.bit_count(F.shiftrightunsigned(F.col("x.info").bitwiseXOR(F.col("y.info")), 11)) + F.bit_count(F.col("x.more").bitwiseXOR(F.col("y.more")))
     meet = (
         (F.col("x.anchor") == F.col("y.anchor"))
         & ((as_smaller < size["y"]) | ((as_smaller == size["y"]) & (F.col("x.k1") != F.col("y.k1"))))
-        & ((size["y"] == SIZE_LIMIT) | ((size["x"] * q >= size["y"] * p) & (apart * (p + q) <= (size["x"] + size["y"]) * (q - p))))
+        & (size["x"] * q >= size["y"] * p)
+        & ((size["y"] == SIZE_LIMIT) | (apart * (p + q) <= (size["x"] + size["y"]) * (q - p)))
     )
     found = x.join(y, meet).select(F.col("x.k1").alias("ka"), F.col("y.k1").alias("kb"), (size["x"] == size["y"]).alias("even"))
     low, high = F.least("ka", "kb"), F.greatest("ka", "kb")

@@ -114,7 +114,7 @@ def test_reach_covers_all_ways_to_miss_words():
             found = cover.suspects(flat, offsets) >> np.uint64(64 - near_duplicates.CELL_BITS)
             hot = np.bincount(found.astype(np.int64), minlength=1 << near_duplicates.CELL_BITS) > cover.pair
             cover.hot.append(np.packbits(hot, bitorder="little"))
-        rec, anchor, smaller = cover.anchors(flat, offsets)
+        rec, anchor, smaller, _ = cover.anchors(flat, offsets)
         at = [(set(anchor[rec == i]), set(anchor[(rec == i) & smaller])) for i in range(len(sets))]
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
@@ -123,6 +123,26 @@ def test_reach_covers_all_ways_to_miss_words():
                     assert at[i][1] & at[j][0], trial
 
 
+def test_blocks_meet_as_the_join_does(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    n = 3000
+    size, role = r.choice([20, 21, 25, 30, 40, 300, 400, 511], n).astype(np.uint64), r.integers(0, 2, n).astype(np.uint64)
+    near = r.integers(0, 4, n).astype(np.uint64)
+    columns = [r.integers(-9, 9, n) ** 3, r.integers(0, 400, n), (near << np.uint64(11) | size << np.uint64(1) | role).view(np.int64), r.integers(0, 9, n)]
+    columns[0][:900] = -7
+    df = spark.createDataFrame(list(zip(*(c.tolist() for c in columns))), "anchor bigint, k1 bigint, info bigint, more bigint")
+    want = sorted(tuple(x) for x in near_duplicates.meetings(df, 7, 10).where("ka != kb").collect())
+    for rows, pairs in ((100_000, 1 << 20), (50, 17)):
+        monkeypatch.setattr(near_duplicates, "ROWS_AT_ONCE", rows)
+        monkeypatch.setattr(near_duplicates, "PAIRS_AT_ONCE", pairs)
+        size_of = lambda c: (c[2] >> 1) & 511
+        order = np.lexsort((size_of(columns), columns[0]))
+        ordered = [c[order] for c in columns]
+        got = [x for a, b in near_duplicates.compared(ordered[0], ordered[1], ordered[2].view(np.uint64), ordered[3].view(np.uint64), 7, 10) for x in zip(a.tolist(), b.tolist())]
+        assert sorted(set(got)) == want
+        assert sorted(tuple(x) for x in near_duplicates.block_meetings(df, 4, 7, 10).collect()) == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = " ".join(f"word{i}" for i in range(25))
     huge = " ".join(f"h{i}" for i in range(20_000))
@@ -171,8 +191,7 @@ def test_hot_anchors_are_split(spark, monkeypatch):
         monkeypatch.setattr(near_duplicates, "PAIR_ROWS", pair)
         classes, _, n = near_duplicates.word_classes(records(spark, rows))
         cover = near_duplicates.AnchorCover(near_duplicates.frequency_sketch(classes), rare=3, pair=pair)
-        while len(cover.hot) < cover.rounds(20, near_duplicates.SHARE) and (hot := near_duplicates.hot_anchors(classes, cover)) is not None:
-            cover.hot.append(hot)
+        near_duplicates.count_hot(classes, cover, 20)
         met = near_duplicates.anchor_rows(classes, cover).groupBy("anchor").agg(F.sum(F.col("info").bitwiseAND(F.lit(1))).alias("small"), F.count("*").alias("n"))
         most[pair] = met.agg(F.max(F.col("small") * F.col("n"))).first()[0]
         assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(records(spark, rows), rare=3).collect()} == brute(rows)
