@@ -438,7 +438,7 @@ def compared(anchor: np.ndarray, k1: np.ndarray, info: np.ndarray, more: np.ndar
     The partners of a row as the smaller one are those after it at its anchor up to the greatest size the threshold allows; a row that may not
     be the smaller one only meets rows of its own size.
     """
-    size = (info >> np.uint64(1) & np.uint64(SIZE_LIMIT)).astype(np.int64)
+    size = (info >> np.uint64(1) & np.uint64(SIZE_LIMIT)).astype(np.int32)
     role = (info & np.uint64(1)).astype(bool)
     run = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])]) * (2 * SIZE_LIMIT)
     upto = np.where(role, np.minimum(size * q // p, 2 * SIZE_LIMIT - 1), size)
@@ -450,11 +450,13 @@ def compared(anchor: np.ndarray, k1: np.ndarray, info: np.ndarray, more: np.ndar
         n = many[low:high]
         i = np.repeat(at[low:high], n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
-        apart = np.bitwise_count((info[i] ^ info[j]) >> np.uint64(11)) + np.bitwise_count(more[i] ^ more[j])
-        si, sj = size[i], size[j]
-        ok = (apart.astype(np.int64) * (p + q) <= (si + sj) * (q - p)) | (sj == SIZE_LIMIT)
-        i, j, even = i[ok], j[ok], (si == sj)[ok]
-        ok = (role[i] | even & role[j]) & (k1[i] != k1[j])
+        limit = (size[i] + size[j]) * (q - p)
+        apart = np.bitwise_count((info[i] ^ info[j]) >> np.uint64(11)).astype(np.int32)
+        ok = (apart * (p + q) <= limit) | (size[j] == SIZE_LIMIT)  # most pairs end here
+        i, j, limit, apart = i[ok], j[ok], limit[ok], apart[ok]
+        apart += np.bitwise_count(more[i] ^ more[j])
+        even = size[i] == size[j]
+        ok = ((apart * (p + q) <= limit) | (size[j] == SIZE_LIMIT)) & (role[i] | even & role[j]) & (k1[i] != k1[j])
         a, b, even = k1[i[ok]], k1[j[ok]], even[ok]
         yield np.where(even, np.minimum(a, b), a), np.where(even, np.maximum(a, b), b)
         low = high
