@@ -219,9 +219,8 @@ def analysed(notes: DataFrame) -> DataFrame:
 
 def novel_outputs(notes: DataFrame) -> DataFrame:
     """Analyses worth proposing: content unlike every source body, and the first by id of equal (content, facts)."""
-    out = analysed(notes)
-    bodies = notes.select("content").distinct()
-    fresh = out.join(bodies, "content", "left_anti")
+    digest = F.unhex(F.sha2("content", 256)).alias("digest")  # bodies are compared, and sent, by digest
+    fresh = analysed(notes).select("*", digest).join(notes.select(digest).distinct(), "digest", "left_anti")
     once = fresh.groupBy("content", "key_facts").agg(F.min(F.struct(code_unit_key(F.col("id")).alias("k"), "id")).alias("m"))
     return once.select(F.col("m.id").alias("id"), "content", "key_facts")
 

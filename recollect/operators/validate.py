@@ -21,17 +21,14 @@ def _object(c: str) -> Column:
 
 def _coded(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     errors = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), field) for field, ok in checks]))
-    return df.select("id", errors.alias("fields")).where(F.size("fields") > 0)
+    return df.select("id", errors.alias("fields"))
 
 
 def invalid_notes(notes: DataFrame) -> DataFrame:
     """``id, fields``: notes that no store accepts, with the fields at fault."""
-    n_id = F.count(F.lit(1)).over(W.partitionBy("id"))
-    df = notes.withColumn("__n", n_id)
-    return _coded(
-        df,
+    coded = _coded(
+        notes,
         [
-            ("id", F.col("id").isNotNull() & (F.col("id") != "") & (F.col("__n") == 1)),
             ("content", F.col("content").isNotNull()),
             ("tags", F.col("tags").isNull() | ~F.exists("tags", lambda t: t.isNull())),
             ("source", F.col("source").isNull() | F.col("source").isin(*SOURCES)),
@@ -43,6 +40,10 @@ def invalid_notes(notes: DataFrame) -> DataFrame:
             ("updatedAt", F.col("updated_at").isNotNull()),
         ],
     )
+    # Repeats are sought among ids and codes, without the texts.
+    once = F.col("id").isNotNull() & (F.col("id") != "") & (F.count(F.lit(1)).over(W.partitionBy("id")) == 1)
+    fields = F.when(F.coalesce(once, F.lit(False)), F.col("fields")).otherwise(F.concat(F.array(F.lit("id")), "fields"))
+    return coded.select("id", fields.alias("fields")).where(F.size("fields") > 0)
 
 
 def invalid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def invalid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     df = edges.withColumn("__pair", pair)
     for end in ("source", "target"):
         df = df.join(nodes.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
-    return _coded(df, [("source", F.col("__source")), ("target", F.col("__target")), ("pair", F.col("__pair") == 1), ("data", _object("data"))])
+    coded = _coded(df, [("source", F.col("__source")), ("target", F.col("__target")), ("pair", F.col("__pair") == 1), ("data", _object("data"))])
+    return coded.where(F.size("fields") > 0)
 
 
 def normal_relations(edges: DataFrame) -> DataFrame:
