@@ -140,12 +140,13 @@ def merge_runs(ops: DataFrame, cut: bool = False, hot_rows: int = HOT_ROWS) -> D
     objects = last.where("last.is_put").select(*KEY, "last.*").drop("is_put")
     if cut:
         objects = materialize(objects, "last-puts")
-    gone = effective_removes(ops)
-    edges = objects.where("obj_kind = 'graph-edge'")
+    gone, key = effective_removes(ops), ["store_id", "node_id"]
+    if cut:
+        gone = materialize(gone, "removed-nodes")
+    every = edges = objects.where("obj_kind = 'graph-edge'")
     for end in ("source", "target"):
         at = edges.withColumn("node_id", F.col(end))
-        key, g = ["store_id", "node_id"], gone
-        met = spread_join(at, g, key, "obj_id", hot_groups(at, key, hot_rows), "left", hot_rows) if cut else at.join(g, key, "left")
+        met = spread_join(at, gone, key, "obj_id", hot_groups(every.withColumn("node_id", F.col(end)), key, hot_rows), "left", hot_rows) if cut else at.join(gone, key, "left")
         edges = met.where(F.coalesce(F.col("removed_seq") <= F.struct(*SEQ), F.lit(True))).select(*objects.columns)
     return objects.where("obj_kind != 'graph-edge'").unionByName(edges)
 
