@@ -1,12 +1,17 @@
 """Best representative of each duplicate group (problem 5).
 
 Fields that depend on each other form a bundle, which is taken whole from one record. For each bundle a trust key ranks the records
-that may give it. The first bound of the search, the best record of every bundle by itself, is one algebraic aggregate per group, so a
-group with a third of all rows is combined map-side. Where the best bundles already satisfy the functional dependencies they are
-the optimum. Only groups in which they do not enter branch and bound: bundles are assigned one by one, from the most trusted
-candidate down, a branch is cut when the trust it can still reach does not beat the best found, and an assignment is feasible if each
-dependency's pair of values occurs together in a record of the group. Without dependencies every group is searched over one candidate a bundle. Candidates are the best record per distinct value of a bundle
-that takes part in a dependency, so a group's search holds its distinct values, not its rows.
+that may give it. Bundles are assigned by branch and bound, one by one, from the most trusted candidate down; a branch is cut when what
+it can still reach does not beat the best found, and an assignment is feasible if each dependency's pair of values occurs together in a
+record of the group.
+
+Without dependencies every usable record is a candidate and the search alone picks among them. The bundles are then independent, so a
+group is searched in parts: first the records of a key within each Arrow batch, whose losers are cut before the shuffle, then what is
+left of all parts. A group with a third of all rows is left with one candidate a bundle from each batch.
+
+With dependencies the first bound, the best record of every bundle by itself, is one algebraic aggregate per group. Where it satisfies the
+dependencies it is the optimum; only groups in which it does not are searched. Candidates are the best record per distinct value of a
+bundle that takes part in a dependency, so a group's search holds its distinct values, not its rows.
 
 Defined results: records with a null key or id are in no group; a redelivered row is one record; a group needs two ids or more; a null
 trust ranks last; equal trust falls to the smaller id; a bundle without usable record has the empty id; empty tables give none.
@@ -50,9 +55,8 @@ def later_first(ts: str) -> Column:
 
 
 def best_by_bundle(records: DataFrame, key: str, order: list[Column], bundles: list[Bundle], trust: Column) -> DataFrame:
-    """One row per key with two ids or more: ``survivor_id`` (first by ``order``, then id), ``<bundle>_id`` of the best usable record and its ``<bundle>_score``."""
-    tops = {b.name: F.min(F.when(b.usable, F.struct(trust.alias("t"), F.col("id")))) for b in bundles}
-    picked = [F.coalesce(top.getField("id"), F.lit("")).alias(f"{n}_id") for n, top in tops.items()] + [_score(top.getField("t")).alias(f"{n}_score") for n, top in tops.items()]
+    """One row per key with two ids or more: ``survivor_id`` (first by ``order``, then id) and ``<bundle>_id`` of the best usable record."""
+    picked = [F.coalesce(F.min(F.when(b.usable, F.struct(trust.alias("t"), F.col("id")))).getField("id"), F.lit("")).alias(f"{b.name}_id") for b in bundles]
     first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("id"))).getField("id").alias("survivor_id")
     return records.where(F.col(key).isNotNull() & F.col("id").isNotNull()).groupBy(key).agg(first, *picked, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
 
@@ -80,7 +84,7 @@ def branch_and_bound(candidates: dict[str, list[tuple[int, str, str]]], witnesse
         chosen, rest = stack[-1]
         c = next(rest, None)
         i, have = len(chosen), sum(x[0] for x in chosen)
-        if c is None or (best is not None and have + c[0] + ahead[i + 1] < best[0]):  # candidates only get worse
+        if c is None or (best is not None and (-have - c[0] - ahead[i + 1], (*(x[1] for x in chosen), c[1])) > (-best[0], best[1][: i + 1])):  # candidates only get worse
             stack.pop()
             continue
         if not fits(chosen, i, c):
@@ -95,12 +99,12 @@ def branch_and_bound(candidates: dict[str, list[tuple[int, str, str]]], witnesse
 
 
 def consistent_bundles(records: DataFrame, key: str, order: list[Column], bundles: list[Bundle], trust: Column, dependencies: list[tuple[str, str]]) -> DataFrame:
-    """As ``best_by_bundle``, with the bundles chosen together under ``dependencies`` (pairs of bundle names).
+    """Rows as of ``best_by_bundle``, with the bundles chosen together under ``dependencies`` (pairs of bundle names).
 
     The trust of a choice is the sum of its records' trust (later is more, null is 0); no feasible choice gives empty ids.
     """
     if not dependencies:
-        return searched(best_by_bundle(records, key, order, bundles, trust), key, bundles)
+        return searched(records, key, order, bundles, trust)
     records = materialize(records, "claims")
     best = best_by_bundle(records, key, order, bundles, trust)
     by = {b.name: b for b in bundles}
@@ -147,21 +151,44 @@ def consistent_bundles(records: DataFrame, key: str, order: list[Column], bundle
     return joined.select(key, "survivor_id", *[fixed.get(f"{b.name}_id", F.col(f"{b.name}_id")).alias(f"{b.name}_id") for b in bundles])
 
 
-def searched(best: DataFrame, key: str, bundles: list[Bundle]) -> DataFrame:
-    """The search of groups whose bundles depend on nothing: a bundle's best record dominates its others and is its only candidate.
+def searched(records: DataFrame, key: str, order: list[Column], bundles: list[Bundle], trust: Column) -> DataFrame:
+    """The rows of ``best_by_bundle`` by branch and bound over all usable records, for bundles that depend on nothing.
 
-    A search of one row each, in the order the rows come, without a shuffle.
+    ``cut`` searches the records of a key in each batch and leaves the winner of each bundle as its only candidate there; ``choose``
+    searches what all batches left of a key. Survivors and the count of ids are aggregates over all records.
     """
     names = [b.name for b in bundles]
+    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("id"))
+    rows = records.where(F.col(key).isNotNull() & F.col("id").isNotNull()).select(key, "id", trust.alias("trust"), first.alias("first"), *[b.usable.alias(b.name) for b in bundles])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, ranks = (batch.column(i).to_pylist() for i in range(3))
+            usable = [batch.column(4 + j).to_pylist() for j in range(len(names))]
+            groups: dict[str, list[int]] = {}
+            for i, k in enumerate(keys):
+                groups.setdefault(k, []).append(i)
+            for at in groups.values():
+                if len(at) > 1:
+                    mine = {n: [i for i in at if u[i]] for n, u in zip(names, usable)}
+                    got = branch_and_bound({n: [(-ranks[i], ids[i], "") for i in c] for n, c in mine.items()}, {})
+                    for n, u in zip(names, usable):
+                        for i in mine[n]:
+                            u[i] = False
+                        if mine[n]:
+                            u[min((i for i in mine[n] if ids[i] == got[n]), key=ranks.__getitem__)] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(u, pa.bool_()) for u in usable]], schema=batch.schema)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for n in names for c in (f"{n}_id", f"{n}_score")}
-            got = [branch_and_bound({n: [(columns[f"{n}_score"][i], columns[f"{n}_id"][i], "")] if columns[f"{n}_id"][i] else [] for n in names}, {}) for i in range(batch.num_rows)]
+            left = [batch.column(2 + j).to_pylist() for j in range(len(names))]
+            got = [branch_and_bound({n: [(-c["trust"], c["id"], "") for c in cs] for n, cs in zip(names, group)}, {}) for group in zip(*left)]
             found = [pa.array([g[n] for g in got], pa.string()) for n in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=[key, "survivor_id", *[f"{n}_id" for n in names]])
 
-    return best.mapInArrow(run, ", ".join(f"{c} string" for c in (key, "survivor_id", *[f"{n}_id" for n in names])))
+    left = [F.collect_list(F.when(F.col(n), F.struct("trust", "id"))).alias(n) for n in names]
+    groups = rows.mapInArrow(cut, rows.schema).groupBy(key).agg(F.min("first").getField("id").alias("survivor_id"), *left, F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return groups.where("lo < hi").drop("lo", "hi").mapInArrow(choose, ", ".join(f"{c} string" for c in (key, "survivor_id", *[f"{n}_id" for n in names])))
 
 
 def claims(notes: DataFrame) -> DataFrame:

@@ -165,6 +165,51 @@ def test_consistent_choice_needs_a_witness(spark):
     assert got == ("a", "d") or (2 + 8) >= (9 + 1)
 
 
+def test_the_search_decides_the_rows(spark, monkeypatch):
+    rows = [claim("a", at=1), claim("b", at=5), claim("c", status="x", at=9), claim("d", None, pinned=None, at=3)]
+    assert survivors(spark, rows)["k"][1:] == ("c", "b", "c")
+    monkeypatch.setattr(survivorship, "branch_and_bound", lambda candidates, witnessed: {b: min(c)[1] if c else "" for b, c in candidates.items()})
+    assert survivors(spark, rows)["k"][1:] == ("a", "a", "a")
+
+
+@pytest.mark.parametrize("batch", [30, 10_000])
+def test_the_search_in_parts_equals_a_plain_choice(spark, monkeypatch, batch):
+    r = random.Random(batch)
+    times = [None, datetime(1960, 1, 1), datetime(1970, 1, 1), datetime(2024, 1, 1), datetime(2024, 1, 2)]
+    states = [*survivorship.STATUSES, " Active ", "x", None]
+    rows = []
+    for i in range(600):
+        key = "hot" if i % 3 == 0 else "late" if i % 3 == 1 else f"k{r.randint(0, 60)}"
+        at = None if key == "late" else r.choice(times)
+        rows.append((f"n{r.randint(0, 900):03d}" if i else "", r.choice([None, -1.0, 0.0, 0.3, 1.0, float("nan")]), r.choice(states), r.choice([True, False, None]), at, f'{{"claimKey": "{key}"}}', ""))
+    rows += r.sample(rows, 50)
+    want = {}
+    for key in {x[5] for x in rows}:
+        mine = [x for x in rows if x[5] == key]
+        if len({x[0] for x in mine}) > 1:
+            usable = [lambda x: x[1] is not None and 0 <= x[1] <= 1, lambda x: (x[2] or "").strip().lower() in survivorship.STATUSES, lambda x: x[3] is not None]
+            late = [sorted((x for x in mine if u(x)), key=lambda x: (x[4] is None, -(x[4] or times[2]).timestamp(), x[0])) for u in usable]
+            want[key[14:-2]] = tuple(c[0][0] if c else "" for c in late)
+    search = survivorship.branch_and_bound
+
+    def small(candidates, witnessed):
+        assert max(map(len, candidates.values())) <= 100  # the claim "hot" has 200 rows
+        return search(candidates, witnessed)
+
+    monkeypatch.setattr(survivorship, "branch_and_bound", small)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert {k: v[1:] for k, v in survivors(spark, rows).items()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_equal_trust_is_cut_by_id():
+    candidates = {b: [(1, f"{i:04d}", "") for i in range(2000)] for b in ("x", "y", "z")}
+    assert survivorship.branch_and_bound(candidates, {}) == {b: "0000" for b in candidates}
+
+
 def test_branch_and_bound_equals_trying_all():
     r = random.Random(5)
     for _ in range(300):
